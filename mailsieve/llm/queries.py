@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import vocabulary_path
 from .common import table
+from .packing import pack
 from .simhash import near_duplicates
 from .tokens import count_tokens, encode_decode
 
@@ -18,9 +19,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), budget=512)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), capacity=2048)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
-QUERIES = {"op3_bpe_trie": op3_bpe_trie, "op4_token_counts": op4_token_counts, "op7_simhash": op7_simhash}
+QUERIES = {"op3_bpe_trie": op3_bpe_trie, "op4_token_counts": op4_token_counts, "op6_packing": op6_packing, "op7_simhash": op7_simhash}
 SQL: dict[str, str] = {}
