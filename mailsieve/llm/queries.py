@@ -7,8 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import vocabulary_path
 from .common import table
 from .packing import pack
+from .rules import JUDGE_SQL, judge
 from .simhash import near_duplicates
 from .tokens import count_tokens, encode_decode
+from .warc import archive_round_trip
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
 
 
 def op3_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +37,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
-QUERIES = {"op3_bpe_trie": op3_bpe_trie, "op4_token_counts": op4_token_counts, "op6_packing": op6_packing, "op7_simhash": op7_simhash}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op6_packing, op7_simhash)}
+SQL = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to, url FROM f""",
+    "op2_quality_rules": JUDGE_SQL,
+}
