@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .bpe import vocabulary_path
 from .common import table
+from .licences import scan, scan_sql
 from .packing import pack
 from .rules import JUDGE_SQL, judge
 from .simhash import near_duplicates
@@ -37,7 +39,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op6_packing, op7_simhash)}
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op6_packing, op7_simhash, op8_licences, op10_neighbours)}
 SQL = {
     "op1_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages),
@@ -45,4 +55,5 @@ SQL = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to, url FROM f""",
     "op2_quality_rules": JUDGE_SQL,
+    "op8_licences": scan_sql(),
 }
