@@ -4,16 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import simhash
+from mailsieve.llm import cotrain, packing, rules, simhash
+from mailsieve.llm.bpe import vocabulary_path
 from mailsieve.llm.common import remove, scratch
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return rules.filter_documents(docs)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier holds for good ones, as likely as not."""
+    judged = cotrain.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.5, keep_columns=True)
+    return judged.where("keep").drop("keep")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
     return simhash.dedupe(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All remaining documents as pieces of sequences of 2048 tokens."""
+    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), capacity=2048)
+
+
+STAGES = [("quality_rules", quality_rules), ("quality_classifier", quality_classifier), ("near_duplicates", near_duplicates), ("packing", pack)]
 #: Model fitting, tokenising and linear programming are beyond SQL.
 ORACLE_SQL = None
 

@@ -8,6 +8,7 @@ of all prefixes. ``encode_words`` visits distinct words in sorted order, which i
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import functools
 import gc
@@ -17,6 +18,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 from tokenizers import Tokenizer
 
@@ -323,11 +325,28 @@ class PrefixCounter:
             counts = counts if len(x) == len(w) else _by_character(w, counts)
             self.words[w] = bytes(counts) if counts[-1] < 250 else array("I", counts)
 
-    def total(self, texts: list[str]) -> list[int]:
+    def total(self, texts: list[str], budget: int | None = None) -> list[int] | list[tuple[int, int]]:
+        """Tokens of each text; with a budget, also the characters of its longest prefix of at most so many tokens."""
         cut = [[(1, ()) if special else (0, CHUNKS.findall(s)) for s, special in self.vocab.segments(t)] for t in texts]
         self.learn({c for parts in cut for _, chunks in parts for c in chunks})
-        get = self.known.__getitem__
-        return [sum([n + sum(map(get, chunks)) for n, chunks in parts]) for parts in cut]
+        get, out = self.known.__getitem__, []
+        for text, parts in zip(texts, cut, strict=True):
+            if len(parts) == 1 and not parts[0][0]:
+                counts = [*map(get, chunks := parts[0][1])]
+                n = sum(counts)
+                if budget is None:
+                    out.append(n)
+                elif n <= budget:
+                    out.append((n, len(text)))
+                else:  # the last chunk that begins below the budget is the last that can fit in part
+                    i = bisect.bisect_left(ends := [*accumulate(counts)], budget)
+                    at, base = sum(map(len, chunks[:i])), ends[i] - counts[i]
+                    inside = self._plain(chunks[i], base) if ends[i] > budget else array("I", [budget] * len(chunks[i]))
+                    out.append((n, at + next((p for p in range(len(inside), 0, -1) if inside[p - 1] <= budget), 0)))
+                continue
+            n = sum([k + sum(map(get, chunks)) for k, chunks in parts])
+            out.append(n if budget is None else (n, len(text) if n <= budget else self.fitting(text, budget)))
+        return out
 
     def prefixes(self, text: str) -> array:
         """The count at each prefix of the text, in characters: item p is the count of text[:p]."""
@@ -344,9 +363,8 @@ class PrefixCounter:
 
     def _plain(self, s: str, base: int) -> array:
         """Counts at the ends of all characters of a text without specials, from `base` on."""
-        out, words, chunks = array("I"), self.words, CHUNKS.findall(s)
-        self.learn(set(chunks))
-        for c in chunks:
+        out, words = array("I"), self.words
+        for c in CHUNKS.findall(s):
             start, at = len(out), base
             found = self.vocab.spans(c)
             self._learn_words({*found, run} if (run := c[: len(c) - len(c.lstrip(SPACES))]) else {*found})

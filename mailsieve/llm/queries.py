@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .bpe import vocabulary_path
 from .common import table
+from .cotrain import score
+from .html import extract
 from .licences import scan, scan_sql
 from .packing import pack
 from .rules import JUDGE_SQL, judge
@@ -31,6 +33,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), budget=512)
 
 
+def op5_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), capacity=2048)
 
@@ -43,11 +49,15 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op6_packing, op7_simhash, op8_licences, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op5_co_training, op6_packing, op7_simhash, op8_licences, op9_main_text, op10_neighbours)}
 SQL = {
     "op1_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages),

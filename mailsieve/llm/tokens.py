@@ -66,10 +66,9 @@ def count_tokens(docs: DataFrame, vocab: str, budget: int = 512, id_col: str = "
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             with no_cycles():
-                totals = counter.total(texts)
-                fit = [len(t) if n <= budget else counter.fitting(t, budget) for t, n in zip(texts, totals, strict=True)]
+                found = counter.total(texts, budget)
                 tables = [counter.prefixes(t).tolist() for t in texts] if prefixes else None
-            columns = [batch.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(totals, pa.int64()), pa.array([n > budget for n in totals], pa.bool_()), pa.array(fit, pa.int64())]
+            columns = [batch.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([n > budget for n, _ in found], pa.bool_()), pa.array([p for _, p in found], pa.int64())]
             names = ["id", "b", "n", "over", "fit"]
             if prefixes:
                 columns.append(pa.array(tables, pa.list_(pa.int32())))
