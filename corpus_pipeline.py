@@ -16,8 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier holds for good ones, as likely as not."""
-    judged = cotrain.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.5, keep_columns=True)
-    return judged.where("keep").drop("keep")
+    return cotrain.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

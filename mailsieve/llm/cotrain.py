@@ -8,8 +8,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
@@ -173,10 +174,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     some = marked.where("y is not null").orderBy("h", "id").limit(max_labelled).unionByName(marked.where("y is null").orderBy("h", "id").limit(max_pool))
     picked = F.broadcast(cut(some.drop("h")))  # at most max_labelled + max_pool ids
 
-    def column(name: str, kind: str):
-        return F.col(f"`{name}`").cast(kind) if name in docs.columns else F.lit(None).cast(kind)
-
-    rows = docs.select(F.col(id_col).alias("id"), column("text", "string").alias("text"), column("source", "string").alias("source"), column("lang", "string").alias("lang"), column("n_chars", "long").alias("n_chars")).join(picked, "id")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), *[_column(docs, name, kind).alias(name) for name, kind in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))]).join(picked, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,25 +199,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     return co_train(sparse("ts", "tw", TEXT_BITS), sparse("ms", "mw", META_BITS), y)
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", label: str = "quality", keep_columns: bool = False, **bounds) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", label: str = "quality", **bounds) -> DataFrame:
     """Quality of every document: the id, text_score, meta_score, score (calibrated probabilities) and keep (score >= threshold).
 
-    The score adds the views' calibrated logits and takes away the prior that both hold. With `keep_columns` all columns
-    of docs stay and only `keep` is added. Fitted on a bounded sample (MAX_LABELLED, MAX_POOL); every whole text is
-    scored. Null and empty texts have a class of their own among the features; null metadata count as a value; repeated
-    labels are averaged; without labels of two classes all scores are null and every document is kept.
+    The score adds the views' calibrated logits and takes away the prior that both hold. Fitted on a bounded sample
+    (MAX_LABELLED, MAX_POOL); every whole text is scored. Null and empty texts have a class of their own among the
+    features; null or missing metadata count as a value; null ids and repeated rows keep a row each; repeated labels are
+    averaged; without labels of two classes all scores are null and every document is kept.
     """
+    view = _judged(docs, labels, id_col, label, bounds).alias("view")
+    source = docs.select(F.col(f"`{id_col}`"), view)
+    return source.select(F.col(f"`{id_col}`"), "view.text_score", "view.meta_score", "view.score", _kept("view", threshold).alias("keep"))
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", label: str = "quality", **bounds) -> DataFrame:
+    """The documents that `score` keeps, with all their columns."""
+    view = "__view"
+    while view in docs.columns:
+        view += "_"
+    return docs.withColumn(view, _judged(docs, labels, id_col, label, bounds)).where(_kept(view, threshold)).drop(view)
+
+
+def _kept(view: str, threshold: float) -> Column:
+    return F.coalesce(F.col(f"{view}.score") >= threshold, F.lit(True))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, label: str, bounds: dict) -> Column:
+    """A struct of the three scores, from a model fitted now."""
     model = fit(docs, labels, id_col, label, **bounds)
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(None if model is None else (*model[:2], model[2]))  # two weight vectors of fixed size
+    held = docs.sparkSession.sparkContext.broadcast(None if model is None else (*model[:2], model[2]))  # two weight vectors of fixed size
 
     @F.pandas_udf("text_score double, meta_score double, score double")
-    def judge(text, source, lang, n_chars):
-        import pandas as pd
-
-        n = len(text)
+    def judge(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        names, n = ("text_score", "meta_score", "score"), len(text)
         if held.value is None:
-            return pd.DataFrame({c: np.full(n, np.nan) for c in ("text_score", "meta_score", "score")}).astype(object).where(lambda x: x.notna(), None).astype("Float64")
+            return pd.DataFrame({c: pd.array([None] * n, "Float64") for c in names})
         a, b, prior = held.value
         odds = []
         for t, s, x, k in zip(text, source, lang, n_chars, strict=True):
@@ -229,13 +243,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: st
         odds = np.array(odds).reshape(n, 2)
         u, v = a.logit(odds[:, 0]), b.logit(odds[:, 1])
         p = lambda z: 1 / (1 + np.exp(-z))
-        return pd.DataFrame({"text_score": p(u), "meta_score": p(v), "score": p(u + v - prior)})
+        return pd.DataFrame(dict(zip(names, (p(u), p(v), p(u + v - prior)), strict=True)))
+
+    return judge(*(_column(docs, name, kind) for name, kind in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))))
 
-    def column(name: str, kind: str):
-        return F.col(f"`{name}`").cast(kind) if name in docs.columns else F.lit(None).cast(kind)
 
-    found = docs.withColumn("__view", judge(column("text", "string"), column("source", "string"), column("lang", "string"), column("n_chars", "long")))
-    keep = F.coalesce(F.col("__view.score") >= threshold, F.lit(True)).alias("keep")
-    if keep_columns:
-        return found.select(*[F.col(f"`{c}`") for c in docs.columns], keep)
-    return found.select(F.col(f"`{id_col}`"), "__view.text_score", "__view.meta_score", "__view.score", keep)
+def _column(docs: DataFrame, name: str, kind: str) -> Column:
+    return F.col(f"`{name}`").cast(kind) if name in docs.columns else F.lit(None).cast(kind)
