@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -189,14 +190,21 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", **bounds) -> tuple[View, View, float, dict] | None:
-    """Co-trained views of a table, or None if the labels have no two classes."""
+    """Co-trained views of a table, or None if the labels have no two classes.
+
+    One task fits on the sample, whose size is bounded; the driver gets two weight vectors.
+    """
     small_batches(docs.sparkSession)
-    rows = sorted(sample_rows(docs, labels, id_col, label, **bounds).collect(), key=lambda r: (r["id"], r["ts"]))
-    y = np.array([np.nan if r["y"] is None else r["y"] for r in rows])
-    if len({*y[~np.isnan(y)]}) < 2:
-        return None
-    sparse = lambda s, w, bits: Rows.of([(np.frombuffer(r[s], np.int32), np.frombuffer(r[w], np.float32)) for r in rows], bits)
-    return co_train(sparse("ts", "tw", TEXT_BITS), sparse("ms", "mw", META_BITS), y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["id"], r["ts"]))
+        y = np.array([np.nan if r["y"] is None else r["y"] for r in rows], float)
+        if len({*y[~np.isnan(y)]}) == 2:
+            sparse = lambda s, w, bits: Rows.of([(np.frombuffer(r[s], np.int32), np.frombuffer(r[w], np.float32)) for r in rows], bits)
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(co_train(sparse("ts", "tw", TEXT_BITS), sparse("ms", "mw", META_BITS), y))], pa.binary())})
+
+    found = sample_rows(docs, labels, id_col, label, **bounds).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", label: str = "quality", **bounds) -> DataFrame:

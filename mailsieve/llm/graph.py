@@ -23,9 +23,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = pairs.union(pairs.select("b", "a"))
         to = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to"))
         onward = to.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        to = cut(to.join(onward, "to").select("node", F.col("further").alias("to")))
+        to = cut(to.join(onward.hint("merge"), "to").select("node", F.col("further").alias("to")))
         levels.append(to)
-        moved = pairs.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        first, second = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        moved = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b")  # merged: these tables grow with the input
         pairs = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     else:
         raise RuntimeError(f"links remain after {max_rounds} rounds")
@@ -34,5 +35,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     out = levels[-1]
     for to in reversed(levels[:-1]):
         after = out.select(F.col("node").alias("to"), F.col("to").alias("last"))
-        out = to.join(after, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
+        out = to.join(after.hint("merge"), "to", "left").select("node", F.coalesce("last", "to").alias("to"))
     return out.withColumnRenamed("to", "component")

@@ -243,10 +243,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     return own.join(named, "node").select(id_col, F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def check_block(nodes: np.ndarray, group: np.ndarray, left: np.ndarray | None, fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Pairs (of row numbers) within the radius that are as similar as asked for and join groups not joined yet.
+def check_block(group: np.ndarray, left: np.ndarray | None, fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of group names that rows within the radius and as similar as asked for join.
 
-    group: rows with equal values count as joined. left: compares rows with left set only with the others (None: all).
+    group: rows with equal values count as joined. left: rows with left set are compared only with the others (None: all).
     Every pair that would pass and is left out runs inside one group of those joined.
     """
     far = distances(fps, fps)
@@ -255,13 +255,12 @@ def check_block(nodes: np.ndarray, group: np.ndarray, left: np.ndarray | None, f
         near &= left[:, None] != left[None, :]
     near &= group[:, None] != group[None, :]
     sizes = np.array([len(s) for s in sets])
-    low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-    near &= low >= similarity * high
+    near &= np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :])
     x, y = np.nonzero(near)
     order = np.argsort(far[x, y], kind="stable")
     parent = {g: g for g in group.tolist()}
 
-    def top(g):
+    def top(g: int) -> int:
         while parent[g] != g:
             parent[g] = parent[parent[g]]
             g = parent[g]
@@ -273,71 +272,77 @@ def check_block(nodes: np.ndarray, group: np.ndarray, left: np.ndarray | None, f
         if u == v:
             continue
         p, q = sets[i], sets[j]
-        if len(p) == 0:
-            both = 0
-        else:
+        both = 0
+        if len(p) and len(q):
             at = np.searchsorted(q, p)
             at[at == len(q)] = 0
-            both = int((q[at] == p).sum()) if len(q) else 0
+            both = int((q[at] == p).sum())
         if both >= similarity * (len(p) + len(q) - both):
-            parent[u] = v
-            out.append((int(nodes[i]), int(nodes[j])))
+            parent[max(u, v)] = min(u, v)
+            out.append((u, v))
     return out
 
 
-def _verify(rows: DataFrame, keys: list[str], radius: int, similarity: float, words: int, two: bool) -> DataFrame:
-    """Links (a, b) that check_block finds in each group of rows; two: rows hold a column `left`."""
+def _block(pdf: pd.DataFrame, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    fps = np.stack(pdf["fp"].to_numpy()).astype(np.int64).view(np.uint64).reshape(len(pdf), words)
+    return fps, [np.frombuffer(s, np.uint64) for s in pdf["set"]]
+
+
+def _join_blocks(rows: DataFrame, keys: list[str], radius: int, similarity: float, words: int, two: bool = False) -> DataFrame:
+    """Links (a, b) of labels that check_block finds in each group of rows; two: rows hold a column `left`."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = np.stack(pdf["fp"].to_numpy()).astype(np.int64).view(np.uint64).reshape(len(pdf), words)
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
-        found = check_block(pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["left"].to_numpy() if two else None, fps, sets, radius, similarity)
+        found = check_block(pdf["label"].to_numpy(), pdf["left"].to_numpy() if two else None, *_block(pdf, words), radius, similarity)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy(*keys).applyInPandas(run, "a long, b long")
 
 
-def verified_links(members: DataFrame, radius: int, similarity: float, words: int) -> DataFrame:
-    """Links (a, b) that join all pairs of one component within the radius whose shingle sets are as similar as asked for.
+def similar_groups(members: DataFrame, radius: int, similarity: float, words: int) -> DataFrame:
+    """node and label (the smallest node of its group), where pairs within the radius whose sets are as similar as asked for are joined.
 
-    members: node, component, fp, set. A component is dealt over blocks of at most about BLOCK_ROWS rows and BLOCK_BYTES
-    bytes. First each block is checked in itself; then, in components of several blocks, one member of each group found;
-    then blocks with other blocks, where groups of over half a block have blocks of their own that needn't meet.
-    So no task gets a whole component, and a large group whose members are alike is compared little.
+    members: node, component (links run inside components), fp, set. A component is dealt over blocks of at most about
+    BLOCK_ROWS rows and BLOCK_BYTES bytes; each block is checked in itself, which settles components of one block. In the
+    others, one member of each group found is checked with the other ones; then blocks with other blocks, where groups of
+    over half a block have blocks of their own that needn't meet. So no task gets a whole component, and a large group
+    whose members are alike is compared little.
     """
     weight = F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.length("set")) / BLOCK_BYTES)
 
     def deal(rows: DataFrame, *keys: str) -> DataFrame:
-        parts = rows.groupBy(*keys).agg(F.ceil(weight).cast("int").alias("parts"))
-        return rows.join(parts, [*keys]).withColumn("part", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("int"))
-
-    dealt = cut(deal(members.withColumn("label", F.col("node")), "component"))
-    first = cut(_verify(dealt, ["component", "part"], radius, similarity, words, False))
-    large = dealt.where("parts > 1").drop("label", "parts", "part")
-    if large.isEmpty():
-        return first
-
-    def labelled(by: DataFrame) -> DataFrame:
-        groups = components(by).withColumnRenamed("component", "label")
-        return cut(large.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")))
-
-    some = labelled(first)
-    several = some.where("label <> node").select(F.col("label").alias("node")).distinct()
-    heads = some.join(several, "node", "left_semi")
-    second = cut(first.unionByName(_verify(deal(heads, "component"), ["component", "part"], radius, similarity, words, False)))
-    some = labelled(second)
+        parts = rows.groupBy(*keys).agg(F.greatest(F.ceil(weight), F.lit(1)).cast("int").alias("parts"))
+        return rows.join(parts, [*keys]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = pdf["node"].to_numpy()
+        least = {n: n for n in nodes.tolist()}
+        for u, v in check_block(nodes, None, *_block(pdf, words), radius, similarity):
+            least[max(u, v)] = min(u, v)
+        for n in sorted(least):
+            least[n] = least[least[n]]
+        return pd.DataFrame({"node": nodes, "label": [least[n] for n in nodes.tolist()], "parts": pdf["parts"]})
+
+    dealt = cut(deal(members, "component"))
+    first = cut(dealt.groupBy("component", "part").applyInPandas(settle, "node long, label long, parts int"))
+    several = first.where("parts > 1")
+    if several.isEmpty():
+        return first.select("node", "label")
+    large = dealt.where("parts > 1").select("node", "component", "fp", "set").join(several.select("node", "label"), "node")
+    heads = large.where("node = label").join(several.where("node <> label").select("label").distinct(), "label", "left_semi")
+    met = components(_join_blocks(deal(heads, "component"), ["component", "part"], radius, similarity, words)).select(F.col("node").alias("label"), F.col("component").alias("to"))
+    some = large.join(met, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
     sizes = some.groupBy("label").agg((F.count("*") >= BLOCK_ROWS // 2).alias("big"))
-    some = some.join(sizes, "label").withColumn("kind", F.when(F.col("big"), F.col("label"))).drop("big")
-    some = some.withColumns({"rest": F.col("kind").isNull(), "kind": F.coalesce("kind", F.lit(0))})
-    some = cut(deal(some, "component", "rest", "kind"))
-    blocks = cut(some.select("component", "rest", "kind", "part").distinct())  # as many rows as blocks
-    x, y = (blocks.select("component", F.struct("rest", "kind", "part").alias(name)) for name in "xy")
-    pairs = cut(x.join(y, "component").where("x < y and (x.rest or y.rest or x.kind <> y.kind) or x = y and x.rest"))
-    pairs = pairs.select("component", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("own"))
-    spread = some.withColumn("own", F.struct("rest", "kind", "part")).join(pairs, ["component", "own"])
-    crossed = _verify(spread.where("x <> y").withColumn("left", F.expr("own = x")).select("component", "x", "y", "left", "node", "label", "fp", "set"), ["component", "x", "y"], radius, similarity, words, True)
-    inside = _verify(spread.where("x = y").select("component", "x", "node", "label", "fp", "set"), ["component", "x"], radius, similarity, words, False)
-    return second.unionByName(cut(crossed)).unionByName(cut(inside))
+    some = some.join(sizes, "label").withColumns({"rest": ~F.col("big"), "kind": F.when(F.col("big"), F.col("label")).otherwise(0)}).drop("big")
+    some = cut(deal(some, "component", "rest", "kind").withColumn("own", F.struct("rest", "kind", "part")))
+    blocks = cut(some.select("component", "own").distinct())  # as many rows as blocks
+    pairs = blocks.withColumnRenamed("own", "x").join(blocks.withColumnRenamed("own", "y"), "component")
+    pairs = pairs.where("x < y and (x.rest or y.rest or x.kind <> y.kind) or x = y and x.rest").withColumn("own", F.explode(F.array_distinct(F.array("x", "y"))))
+    spread = some.join(pairs, ["component", "own"]).select("component", "x", "y", F.expr("own = x").alias("left"), "label", "fp", "set")
+    crossed = _join_blocks(spread.where("x <> y"), ["component", "x", "y"], radius, similarity, words, two=True)
+    inside = _join_blocks(spread.where("x = y"), ["component", "x"], radius, similarity, words)
+    last = components(crossed.unionByName(inside)).select(F.col("node").alias("label"), F.col("component").alias("to"))
+    placed = some.select("node", "label").join(last, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return first.where("parts = 1").select("node", "label").unionByName(placed)
 
 
 def dedupe(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, radius: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,8 +368,8 @@ def dedupe(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: in
 
         few = source.join(near, source[id_col] == near["node"], "left_semi").dropDuplicates([id_col]).mapInArrow(run, "node long, set binary")
         members = near.join(nodes.select("node", "fp"), "node").join(few, "node").select("node", "component", "fp", "set")
-        same = components(verified_links(members, radius, similarity, words))
-        kept = kept.join(same.where("node <> component"), "node", "left_anti")
+        copies = cut(similar_groups(members, radius, similarity, words).where("node <> label").select("node"))
+        kept = kept.join(copies, "node", "left_anti")
     held = "__node"
     while held in docs.columns:
         held += "_"
