@@ -1,0 +1 @@
+"""Recovers the latest human-written message from tables of e-mail documents."""

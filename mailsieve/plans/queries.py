@@ -1,0 +1,269 @@
+"""A query for each operator over whole tables, and the same in DuckDB's SQL where SQL can say it."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.normalize import squeeze, with_nfc
+from ..functions.rx import is_blank
+from ..operators import agents, disclaimer, html, mime, preprocess, reply, score, signature
+from ..sources.history import content_preview, newest
+from ..sources.providers import azure_url_column
+from ..sources.threads import THREADS_SQL, as_eml, threads
+from ..streaming.events import deterministic_events, sse
+from .pipeline import run_pipeline
+from .router import extract
+
+FACTORS = ("length", "noise", "quality", "readability", "completeness")
+
+
+class Echo:
+    """A provider without a network: extracts the first paragraph, calls it valid, rates it by length."""
+
+    def invoke(self, prompt: str, system_message: str) -> str:
+        text = prompt.partition("\n\n")[2]
+        for agent, ask in agents.ASK.items():
+            if prompt.startswith(ask):
+                text = prompt[len(ask) :]
+                return json.dumps({"extraction": {"extracted_message": text.split("\n\n")[0]}, "cleanup": {"cleaned_message": text.strip()}, "validation": {"is_valid": bool(text), "issues": []}, "confidence": {"confidence_score": min(1.0, len(text) / 1000)}}[agent])
+        return text
+
+    def stream(self, prompt: str, system_message: str):
+        yield from (w + " " for w in prompt.partition("\n\n")[2].split("\n\n")[0].split())
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+
+
+def _on_threads(column) -> callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return threads(spark, sf_dir).select("conv_id", column(F.col("content")).alias("text"))
+
+    return query
+
+
+def score_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.score(_documents(spark, sf_dir)).select("doc_id", *[f"{f}_score" for f in FACTORS])
+
+
+def score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score.score(_documents(spark, sf_dir))
+    return found.select("doc_id", "score", "is_reliable", score.band(F.col("score")).alias("band"))
+
+
+def score_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.score(threads(spark, sf_dir), "content").select("conv_id", "score", "is_reliable")
+
+
+def noise_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score.score(threads(spark, sf_dir), "content")
+    return found.select("conv_id", F.array_join("noise_found", "; ").alias("noise"), F.array_join("quality_found", "; ").alias("quality"))
+
+
+def sniff_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", F.coalesce(html.is_html(F.col("html")), F.lit(False)).alias("is_html"))
+
+
+def html_native_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", html.native_text(F.coalesce("html", F.lit(""))).alias("text"))
+
+
+def html_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", html.tree_text(html.without_forwarded(F.col("html"))).alias("p")).select("page_id", "p.*")
+
+
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_nfc(_documents(spark, sf_dir).where("text is not null"), "text").select("doc_id", squeeze(F.col("text")).alias("text"))
+
+
+def empty_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.when(is_blank(F.coalesce("text", F.lit(""))), preprocess.EMPTY).alias("error"))
+
+
+def visible_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads(spark, sf_dir).select("conv_id", reply.rescue(reply.visible_fragments("content"), F.col("content")).alias("text"))
+
+
+def signature_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads(spark, sf_dir).select("conv_id", signature.end_block("content").alias("b")).select("conv_id", "b.body", "b.found")
+
+
+def mime_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads(spark, sf_dir).select("conv_id", mime.mime_bodies(as_eml(F.col("content"))).alias("m")).select("conv_id", "m.text", "m.html")
+
+
+def preprocess_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.preprocess(threads(spark, sf_dir)).select("conv_id", "text", "error")
+
+
+def pipeline_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_pipeline(threads(spark, sf_dir).withColumnRenamed("content", "text"))
+    return found.select("conv_id", "text", F.array_join("steps_executed", ",").alias("steps"), "original_length", "after_reply_removal_length", "after_signature_removal_length", "after_disclaimer_removal_length", "reduction_ratio", "score", "is_reliable")
+
+
+def _responses(spark: SparkSession, sf_dir: str, mode: str, provider=None) -> DataFrame:
+    found = extract(threads(spark, sf_dir), mode, provider=provider)
+    return found.select("conv_id", "success", "flow_used", score.flow_label(F.col("flow_used")).alias("flow_label"), "confidence", "latest_message", "error")
+
+
+def extract_non_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _responses(spark, sf_dir, "non_llm")
+
+
+def extract_auto_no_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _responses(spark, sf_dir, "auto")
+
+
+def extract_auto_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _responses(spark, sf_dir, "auto", Echo)
+
+
+def extract_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _responses(spark, sf_dir, "llm", Echo)
+
+
+def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumnRenamed("text", "content")
+    return extract(docs, "non_llm").select("doc_id", "success", "flow_used", "confidence", "latest_message", "error")
+
+
+def history_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("props").alias("content"))
+    return newest(events).select("id", content_preview(F.coalesce("content", F.lit(""))).alias("content_preview"))
+
+
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads(spark, sf_dir).select("conv_id", content_preview(F.col("content")).alias("content_preview"))
+
+
+def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", sse(F.struct(F.lit("token").alias("type"), F.col("event_type").alias("text"))).alias("line"))
+    return rows
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deterministic_events(threads(spark, sf_dir), "conv_id")
+    return found.select("conv_id", "seq", "type", "agent", "text", "message", F.col("result.latest_message").alias("latest_message"), F.col("result.confidence").alias("confidence"))
+
+
+def azure_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), F.lit("/"))
+    return pages.select("page_id", azure_url_column(host).alias("url"))
+
+
+def _quoted(text: Column) -> Column:
+    return reply.without_quoted_lines(text)
+
+
+QUERIES = {f.__name__: f for f in (
+    extract_non_llm, score_factors, score_total, score_threads, noise_diagnostics, sniff_html, html_native_text, html_tree_text, normalize_text, empty_gate, visible_fragments, signature_block, mime_body, preprocess_threads,
+    pipeline_metadata, extract_auto_no_provider, extract_auto_llm, extract_llm, extract_documents, history_topk, preview, sse_events, event_rows, azure_urls,
+)} | {
+    "strip_attribution": _on_threads(preprocess.strip_attributions), "preprocess_disclaimers": _on_threads(preprocess.strip_disclaimers), "blockquote_fold": _on_threads(_quoted),
+    "reply_headers": _on_threads(reply.without_reply_headers), "sig_lines": _on_threads(signature.cut_at_lines), "sig_patterns": _on_threads(signature.cut_at_pattern),
+    "device_lines": _on_threads(signature.without_device_lines), "disclaimer_phrases": _on_threads(disclaimer.by_phrase), "disclaimer_position": _on_threads(disclaimer.by_position),
+}
+
+# The same in SQL. Its expressions are RE2's: white space and word characters are spelled out, and what would be a look-ahead is put back.
+_S = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+_SET = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
+
+
+def _re2(pattern: str, flags: str) -> str:
+    out = pattern.replace(r"[\d\s\-+()]", rf"[\d{_SET}\-+()]").replace(r"[^\w\s.,;:!?'\"-]", rf"[^\p{{L}}\p{{M}}\p{{N}}_{_SET}.,;:!?'\"-]")
+    out = out.replace(r"\S", f"[^{_SET}]").replace(r"\Z", r"\z") if "[^" not in pattern else out.replace(r"\Z", r"\z")
+    return f"(?{flags})" + out.replace("'", "''") if rf"{_SET}" in out and r"\s*" not in out and r"\s+" not in out else f"(?{flags})" + out.replace(r"\s*", f"{_S}*").replace(r"\s+", f"{_S}+").replace("'", "''")
+
+
+def _sub(text: str, pattern: str, flags: str, to: str = "") -> str:
+    return f"regexp_replace({text}, '{_re2(pattern, flags)}', '{to}', 'g')"
+
+
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{_S}+|{_S}+$', '', 'g')"
+
+
+def _chain(text: str, patterns, flags: str = "is") -> str:
+    for p in patterns:
+        text = _sub(text, p.replace(r"(?=\n\n|\Z)", r"(\n\n|\z)"), flags, r"\1" if "(?=" in p else "")
+    return text
+
+
+def _plain(text: str) -> str:
+    """ASCII stand-ins, so that word borders fall where they do in Unicode."""
+    spaced = rf"regexp_replace({text}, '[\x{{85}}\p{{Z}}]', ' ', 'g')"
+    return rf"regexp_replace(regexp_replace({spaced}, '[^\x{{00}}-\x{{7f}}\p{{L}}\p{{M}}\p{{N}}]', '#', 'g'), '[^\x{{00}}-\x{{7f}}]', 'x', 'g')"
+
+
+def _counts(patterns) -> str:
+    return ", ".join(f"len(regexp_extract_all({'p' if chr(92) + 'b' in p else 't'}, '{_re2(p, 'im')}'))" for p in patterns)
+
+
+def _score_sql(key: str, source: str) -> str:
+    n, q = len(score.NOISE), len(score.QUALITY)
+    noise, quality = (" + ".join(f"least({c}[{i + 1}] * {each}::DOUBLE, {most}::DOUBLE)" for i in range(k)) for c, k, each, most in (("n", n, 0.05, 0.2), ("q", q, 0.03, 0.1)))
+    return rf"""a AS (SELECT {key}, {_strip("coalesce(text, '')")} AS t FROM {source}), b AS (SELECT *, {_plain('t')} AS p, length(t) AS l FROM a),
+c AS (SELECT *, [{_counts(score.NOISE)}] AS n, [{_counts(score.QUALITY)}] AS q FROM b),
+d AS (SELECT *, CASE WHEN l < 10 THEN 0.1::DOUBLE WHEN l < 50 THEN 0.6::DOUBLE WHEN l < 200 THEN 0.9::DOUBLE WHEN l > 10000 THEN greatest(0.5::DOUBLE, 1.0::DOUBLE - (l - 10000) / 50000) ELSE 1.0::DOUBLE END AS f1,
+  greatest(0::DOUBLE, 1::DOUBLE - (0::DOUBLE + {noise})) AS f2, least(1::DOUBLE, 0.5::DOUBLE + (0::DOUBLE + {quality})) AS f3,
+  CASE WHEN len(regexp_extract_all(p, '[^a-zA-Z0-9_\s\x1c-\x1f.,;:!?''"-]')) / l > 0.1 THEN 0.6::DOUBLE WHEN len(list_filter(regexp_split_to_array(p, '[\s\x1c-\x1f]+'), lambda w: w <> '')) / l < 0.1 THEN 0.7::DOUBLE ELSE 1::DOUBLE END AS f4,
+  CASE WHEN NOT regexp_matches(right(t, 50), '[.!?]') THEN 0.7::DOUBLE WHEN regexp_matches(left(t, 1), '[,.;:!?]') THEN 0.8::DOUBLE ELSE 1::DOUBLE END AS f5 FROM c),
+s AS (SELECT *, f1 * 0.2::DOUBLE + f2 * 0.3::DOUBLE + f3 * 0.2::DOUBLE + f4 * 0.15::DOUBLE + f5 * 0.15::DOUBLE AS total FROM d)"""
+
+
+def _threads(select: str) -> str:
+    return f"WITH threads AS ({THREADS_SQL}) {select}"
+
+
+_TOTAL = "CASE WHEN t = '' THEN 0::DOUBLE ELSE round_even(greatest(0::DOUBLE, least(1::DOUBLE, total)), 3) END AS score, t <> '' AND total >= 0.85::DOUBLE AS is_reliable"
+
+
+def _diagnostics(column: str, patterns) -> str:
+    each = ", ".join("CASE WHEN {c}[{i}] > 0 THEN concat('{p}: ', {c}[{i}], ' matches') END".format(c=column, i=i + 1, p=p.replace("'", "''")) for i, p in enumerate(patterns))
+    return f"array_to_string(list_filter([{each}], lambda x: x IS NOT NULL), '; ')"
+
+
+def _attribution(text: str, patterns) -> str:
+    return _chain(text, patterns)
+
+
+_DEVICE = _re2(signature.DEVICE.replace(r"\A", "^"), "i").replace(r"\w", r"[\p{L}\p{M}\p{N}_]")
+_HEADER = _re2(disclaimer.HEADER, "i")
+SQL = {
+    "score_factors": f"WITH {_score_sql('doc_id', 'documents')} SELECT doc_id, " + ", ".join(f"CASE WHEN t <> '' THEN round_even(f{i + 1}, 3) END AS {f}_score" for i, f in enumerate(FACTORS)) + " FROM s",
+    "score_total": f"WITH {_score_sql('doc_id', 'documents')}, r AS (SELECT doc_id, {_TOTAL} FROM s) SELECT *, CASE WHEN score >= 0.85::DOUBLE THEN 'High' WHEN score >= 0.6::DOUBLE THEN 'Medium' ELSE 'Low' END AS band FROM r",
+    "score_threads": f"WITH threads AS (SELECT conv_id, content AS text FROM ({THREADS_SQL})), {_score_sql('conv_id', 'threads')} SELECT conv_id, {_TOTAL} FROM s",
+    "noise_diagnostics": f"WITH threads AS (SELECT conv_id, content AS text FROM ({THREADS_SQL})), {_score_sql('conv_id', 'threads')} SELECT conv_id, {_diagnostics('n', score.NOISE)} AS noise, {_diagnostics('q', score.QUALITY)} AS quality FROM s",
+    "sniff_html": f"SELECT page_id, coalesce(regexp_matches(html, '{_re2(html.SNIFF, 'i').replace(chr(92) + 's', _S)}'), false) AS is_html FROM pages",
+    "html_native_text": rf"""WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace({"".join("regexp_replace(" for _ in html.REMOVED)}h{"".join(f", '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')" for t in html.REMOVED)}, '(?is)<hr\b[^>]*>', '', 'g') AS h FROM a),
+c AS (SELECT page_id, list_transform(regexp_split_to_array(h, '<[^>]*>'), lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS n FROM b)
+SELECT page_id, array_to_string(list_filter(list_transform(n, lambda x: {_strip('x')}), lambda x: x <> ''), ' ') AS text FROM c""",
+    "normalize_text": rf"""WITH a AS (SELECT doc_id, regexp_replace(replace(nfc_normalize(text), chr(0), ''), '\r\n?', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, {_strip(rf"regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: {_strip(f'''regexp_replace(x, '{_S}+', ' ', 'g')''')}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM a""",
+    "empty_gate": f"SELECT doc_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[^{_SET}]') THEN '{preprocess.EMPTY}' END AS error FROM documents",
+    "preview": _threads("SELECT conv_id, replace(left(content, 120), chr(10), ' ') AS content_preview FROM threads"),
+    "history_topk": "SELECT event_id AS id, replace(left(coalesce(props, ''), 120), chr(10), ' ') AS content_preview FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000",
+    "sse_events": """SELECT event_id, concat('data: {"type":"token"', CASE WHEN event_type IS NULL THEN '' ELSE concat(',"text":"', event_type, '"') END, '}', chr(10), chr(10)) AS line FROM events""",
+    "azure_urls": "SELECT page_id, CASE WHEN suffix(u, '.com/') THEN concat(u, 'openai/v1/') ELSE u END AS url FROM (SELECT page_id, concat(regexp_extract(url, '^(https?://[^/]+)', 1), '/') AS u FROM pages)",
+    "strip_attribution": _threads(f"SELECT conv_id, {_chain('content', preprocess.ATTRIBUTIONS)} AS text FROM threads"),
+    "preprocess_disclaimers": _threads(f"SELECT conv_id, {_strip(_chain('content', preprocess.DISCLAIMERS))} AS text FROM threads"),
+    "reply_headers": _threads(f"SELECT conv_id, {_strip(_sub(_chain('content', reply.PATTERNS), r'''\n{3,}''', 's', chr(10) + chr(10)))} AS text FROM threads"),
+    "blockquote_fold": _threads(f"""SELECT conv_id, CASE WHEN contains(content, '>') THEN list_reduce(list_transform(string_split(content, chr(10)), lambda x: {{'q': false, 'n': 0, 't': x}}),
+      lambda s, x: CASE WHEN regexp_matches(x.t, '^{_S}*>') OR s.q AND NOT regexp_matches(x.t, '[^{_SET}]') THEN {{'q': true, 'n': s.n, 't': s.t}} ELSE {{'q': false, 'n': s.n + 1, 't': CASE WHEN s.n = 0 THEN x.t ELSE concat(s.t, chr(10), x.t) END}} END,
+      {{'q': false, 'n': 0, 't': ''}}).t ELSE content END AS text FROM threads"""),
+    "device_lines": _threads(f"SELECT conv_id, array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '{_DEVICE}')), chr(10)) AS text FROM threads"),
+    "disclaimer_phrases": _threads(f"SELECT conv_id, {_strip(_sub(_chain('content', disclaimer.PHRASES), r'''\n{3,}''', 's', chr(10) + chr(10)))} AS text FROM threads"),
+    "disclaimer_position": _threads(rf"""SELECT conv_id, CASE WHEN b IS NULL THEN content ELSE {_strip("CASE " + " ".join(f"WHEN regexp_matches(right(b, 100), '{s}') THEN concat(left(b, greatest(length(b) - 100, 0)), regexp_replace(right(b, 100), '(?s){s}.*', ''))" for s in disclaimer.SEPARATORS) + " ELSE b END")} END AS text
+FROM (SELECT conv_id, content, CASE WHEN regexp_matches(content, '{_HEADER}') THEN regexp_replace(content, '{_HEADER}(?s:.*)', '') END AS b FROM threads)"""),
+    "sig_patterns": _threads("SELECT conv_id, CASE " + " ".join(rf"WHEN regexp_matches(content, '{p}') THEN regexp_replace(regexp_replace(content, '{p}(?s:.*)', ''), '{_S}+\z', '')" for p in (_re2(x, "im") for x in signature.PATTERNS)) + " ELSE content END AS text FROM threads"),
+}
