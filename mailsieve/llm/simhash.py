@@ -56,14 +56,18 @@ def fingerprint(hashes: list[int], words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", content: bool = False) -> DataFrame:
-    """The id, fp (array of `words` longs) and, with `content`, a 128-bit hash of the words (equal texts up to case and spacing), of every whole text."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", content: bool = False, distinct: bool = False) -> DataFrame:
+    """The id, fp (array of `words` longs) and, with `content`, a 128-bit hash of the words (equal texts up to case and spacing), of every whole text.
+
+    distinct: each different shingle counts once, as in a Jaccard similarity of sets; otherwise repeats count.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            fps = [fingerprint(shingle_hashes(t, shingle), words).view(np.int64) for t in texts]
+            found = (shingle_hashes(t, shingle) for t in texts)
+            fps = [fingerprint([*{*h}] if distinct else h, words).view(np.int64) for h in found]
             columns, names = [batch.column(0), pa.array(fps, pa.list_(pa.int64()))], ["id", "fp"]
             if content:
                 columns.append(pa.array([xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts], pa.binary()))
@@ -349,13 +353,14 @@ def dedupe(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: in
     """Keeps one document, that with the smallest id, of each group of near-duplicates; all columns stay.
 
     Documents are linked if their fingerprints of 64 * words bits differ in at most `radius` bits and the Jaccard
-    similarity of their `shingle`-word shingles is at least `similarity`, which is checked on whole texts. With 128 bits
+    similarity of their sets of `shingle`-word shingles is at least `similarity`, which is checked on whole texts; the
+    fingerprints are of these sets too, so a line repeated more often in one copy doesn't part it from another. With 128 bits
     and radius 32 a pair at similarity 0.8 (19 differing bits expected, deviation 4) is missed about once in 1000 times.
     Texts equal but for case and spacing are one node. Texts without words are copies of each other. Ids are integers;
     rows with a null id stay as they are; of repeated ids one row stays. An empty table stays empty.
     """
     named = docs.where(F.col(f"`{id_col}`").isNotNull())
-    found = cut(fingerprints(named, shingle, words, id_col, text_col, content=True))
+    found = cut(fingerprints(named, shingle, words, id_col, text_col, content=True, distinct=True))
     nodes = cut(found.groupBy("content", "fp").agg(F.min(id_col).cast("long").alias("node")))
     near = components(links(nodes.select("node", "fp"), radius, words, blocks=1))
     kept = nodes.select("node")

@@ -168,6 +168,12 @@ def test_dedupe_equals_brute_force(spark, monkeypatch, block):
     assert sorted(str(r["doc_id"]) for r in simhash.dedupe(edge(spark)).collect()) == ["1", "4", "6", "7", "None"]
 
 
+def test_dedupe_of_repeated_lines(spark):
+    body, line = " ".join(f"u{i}" for i in range(400)), "the same line once more"
+    texts = [(i, "\n".join([body] + [line] * n)) for i, n in enumerate((1, 20, 40))]
+    assert [r["doc_id"] for r in simhash.dedupe(docs(spark, texts)).collect()] == [0]
+
+
 def test_tiles_skip_and_keep(spark):
     random = np.random.default_rng(3)
     base = random.integers(-(2**63), 2**63 - 1, 300, dtype=np.int64)
