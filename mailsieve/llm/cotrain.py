@@ -5,21 +5,23 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, remove, scratch, small_batches
 
 #: Hashed features of each view.
 TEXT_BITS, META_BITS = 15, 10
-#: Labelled rows that are fitted on, and rows without label that take part in the exchange: those whose ids hash smallest.
-MAX_LABELLED, MAX_POOL = 4000, 4000
+#: Labelled rows that are fitted on: those whose ids hash smallest. Rows without label all take part in the exchange.
+MAX_LABELLED = 4000
+#: Bins of the histogram of confident scores; gradients are summed in units of 1 / GRAIN, so that no order of rows matters.
+BINS, GRAIN = 4096, float(1 << 30)
 
 
 def _slot(s: str, bits: int) -> int:
@@ -90,11 +92,14 @@ class View:
     b: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
+    square: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    square_b: float = 1e-8
 
     def fit(self, x: Rows, y: np.ndarray, use: np.ndarray, rounds: int = 120, decay: float = 1e-4, rate: float = 0.5) -> None:
-        """AdaGrad on all rows with use > 0 (their weights)."""
+        """AdaGrad from zero on all rows with use > 0 (their weights)."""
         self.w, self.b = np.zeros(1 << self.bits), 0.0
-        row, square, square_b = x.row(), np.full(1 << self.bits, 1e-8), 1e-8
+        self.square, self.square_b = np.full(1 << self.bits, 1e-8), 1e-8
+        row = x.row()
         live = use[row] > 0
         row, slots, weights, total = row[live], x.slots[live], x.weights[live], use.sum()
         if not total:
@@ -102,11 +107,15 @@ class View:
         for _ in range(rounds):
             margin = np.bincount(row, weights * self.w[slots], len(y)) + self.b
             error = (1 / (1 + np.exp(-margin.clip(-30, 30))) - y) * use / total
-            grad = np.bincount(slots, weights * error[row], 1 << self.bits) + decay * self.w
-            square += grad * grad
-            self.w -= rate * grad / np.sqrt(square)
-            square_b += error.sum() ** 2
-            self.b -= rate * error.sum() / np.sqrt(square_b)
+            self.step(np.bincount(slots, weights * error[row], 1 << self.bits), float(error.sum()), decay, rate)
+
+    def step(self, grad: np.ndarray, grad_b: float, decay: float = 1e-4, rate: float = 0.5) -> None:
+        """One step of AdaGrad, from mean gradients."""
+        grad = grad + decay * self.w
+        self.square += grad * grad
+        self.w -= rate * grad / np.sqrt(self.square)
+        self.square_b += grad_b**2
+        self.b -= rate * grad_b / np.sqrt(self.square_b)
 
     def calibrate(self, margin: np.ndarray, y: np.ndarray) -> None:
         """Platt scaling on rows that weren't fitted on, with its smoothed targets: a few Newton steps."""
@@ -128,90 +137,240 @@ class View:
         return (self.slope * margin + self.shift).clip(-12, 12)
 
 
-def co_train(text: Rows, meta: Rows, y: np.ndarray, rounds: int = 3, confident: float = 0.9, share: float = 0.1) -> tuple[View, View, float, dict]:
-    """Fits both views; y: 1, 0 or nan (no label).
+def _rows(batch: pa.RecordBatch) -> tuple[Rows, Rows]:
+    """Feature rows of both views in a batch of the columns that _features makes."""
+    def one(slots: str, weights: str, kind: type, bits: int) -> Rows:
+        s = batch.column(batch.schema.get_field_index(slots)).to_pylist()
+        ends = np.cumsum([len(x) // np.dtype(kind).itemsize for x in s], dtype=np.int64)
+        return Rows(np.frombuffer(b"".join(s), kind), np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(weights)).to_pylist()), np.float32), ends, bits)
 
-    A fifth of the labelled rows is held out for calibration. In every round each view hands the other the unlabelled
-    rows it is surest of, at most `share` of the pool and in the proportion of the classes, as labels. Returns the views,
-    the prior logit, and figures of the exchange and of the held-out rows.
-    """
-    known = np.flatnonzero(~np.isnan(y))
-    held = known[::5] if len(known) >= 10 else known
-    fit = np.setdiff1d(known, held) if len(known) >= 10 else known
-    prior = float(np.log((np.nansum(y[known]) + 1) / (len(known) - np.nansum(y[known]) + 1)))
-    views, data = (View(TEXT_BITS), View(META_BITS)), (text, meta)
-    targets = [np.where(np.isnan(y), 0.0, y).copy() for _ in views]
-    uses = [np.isin(np.arange(len(y)), fit).astype(float) for _ in views]
-    pool, handed = np.isnan(y), [0, 0]
-    for r in range(rounds + 1):
-        margins = []
-        for v, x, target, use in zip(views, data, targets, uses, strict=True):
-            v.fit(x, target, use)
-            margin = x.times(v.w) + v.b
-            v.calibrate(margin[held], y[held])
-            margins.append(margin)
-        if r == rounds or not pool.any():
-            break
-        most = max(1, int(share * pool.sum()))
-        good = 1 / (1 + np.exp(-prior))
-        for k, v in enumerate(views):
-            p = 1 / (1 + np.exp(-v.logit(margins[k])))
-            other = 1 - k
-            for label, sure, part in ((1.0, p, good), (0.0, 1 - p, 1 - good)):
-                free = np.flatnonzero(pool & (uses[other] == 0) & (sure >= confident))
-                taken = free[np.argsort(-sure[free], kind="stable")][: max(1, int(most * part))]
-                targets[other][taken], uses[other][taken] = label, 0.5
-                handed[other] += len(taken)
-    joint = views[0].logit(margins[0]) + views[1].logit(margins[1]) - prior
-    right = float(((joint[held] > 0) == (y[held] > 0.5)).mean()) if len(held) else float("nan")
-    return *views, prior, {"labelled": len(fit), "held_out": len(held), "accuracy": right, "to_text": handed[0], "to_meta": handed[1]}
-
-
-def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
-    """id, y (null in the pool), slots and weights of both views, for at most max_labelled + max_pool rows, by the hash of their ids."""
-    marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    marked = ids.join(marks, "id", "left").withColumn("y", F.when(F.col("y").isNotNull(), (F.col("y") >= 0.5).cast("double"))).withColumn("h", F.xxhash64("id"))
-    some = marked.where("y is not null").orderBy("h", "id").limit(max_labelled).unionByName(marked.where("y is null").orderBy("h", "id").limit(max_pool))
-    picked = F.broadcast(cut(some.drop("h")))  # at most max_labelled + max_pool ids
+    return one("ts", "tw", np.int16, TEXT_BITS), one("ms", "mw", np.int16, META_BITS)
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), *[_column(docs, name, kind).alias(name) for name, kind in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))]).join(picked, "id")
 
+def _features(rows: DataFrame, *keep: str) -> DataFrame:
+    """Slots and weights of both views for rows of text, source, lang and n_chars, and the columns to keep."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                (s, w), (t, v) = text_features(r["text"]), meta_features(r["source"], r["lang"], r["n_chars"])
-                out.append({"y": r["y"], "ts": s.tobytes(), "tw": w.tobytes(), "ms": t.tobytes(), "mw": v.tobytes(), "id": r["id"]})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("id", batch.schema.field("id").type), ("y", pa.float64()), ("ts", pa.binary()), ("tw", pa.binary()), ("ms", pa.binary()), ("mw", pa.binary())]))
+            found = {c: [] for c in ("ts", "tw", "ms", "mw")}
+            for text, *meta in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                (s, w), (t, v) = text_features(text), meta_features(*meta)
+                for c, x in zip(found, (s.astype(np.int16), w, t.astype(np.int16), v), strict=True):  # slots have 15 bits at most
+                    found[c].append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[4:], *(pa.array(x, pa.binary()) for x in found.values())], names=[*keep, *found])
 
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y double, ts binary, tw binary, ms binary, mw binary")
+    source = rows.select("text", "source", "lang", "n_chars", *keep)
+    kept = "".join(f"{c} {source.schema[c].dataType.simpleString()}, " for c in keep)
+    return source.mapInArrow(run, kept + "ts binary, tw binary, ms binary, mw binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", **bounds) -> tuple[View, View, float, dict] | None:
-    """Co-trained views of a table, or None if the labels have no two classes.
+def _raw(docs: DataFrame, id_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), *[_column(docs, name, kind).alias(name) for name, kind in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))])
 
-    One task fits on the sample, whose size is bounded; the driver gets two weight vectors.
-    """
-    small_batches(docs.sparkSession)
 
+def labelled_ids(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """id, y and n (the place among the ids) of at most max_labelled labelled ids, by the hash of their ids."""
+    marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    some = ids.join(marks, "id").select("id", (F.col("y") >= 0.5).cast("double").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    return cut(some.select("id", "y", (F.row_number().over(Window.orderBy("id")) - 1).alias("n")))
+
+
+def _held(n: np.ndarray) -> np.ndarray:
+    """A fifth of the labelled rows, which isn't fitted on; of few rows all are both."""
+    return n % 5 == 0 if len(n) >= 10 else np.ones(len(n), bool)
+
+
+def _draw(tie: np.ndarray, k: int) -> np.ndarray:
+    """A number from 0 to 1 of each row's hash, another one for each k."""
+    h = tie.astype(np.int64).view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def _sure(margins: list[np.ndarray], views: tuple[View, View], uses: list[np.ndarray], confident: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of each view and label: the other view, the label, the rows the other view may learn it for, and the bin of their score."""
+    least = float(np.log(confident / (1 - confident)))
+    for k, v in enumerate(views):
+        logit = v.logit(margins[k])
+        for label in (1, 0):
+            z = logit if label else -logit
+            free = np.flatnonzero((uses[1 - k] == 0) & (z >= least))
+            yield 1 - k, label, free, np.minimum((z[free] - least) / (12 - least) * BINS, BINS - 1).astype(np.int64)
+
+
+def _taught(data: tuple[Rows, Rows], tie: np.ndarray, past: list, confident: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Targets and uses of rows for both views after the exchanges so far (views and the last bins taken, with the share taken of each)."""
+    n = len(tie)
+    targets, uses = [np.zeros(n), np.zeros(n)], [np.zeros(n), np.zeros(n)]
+    for r, (views, last) in enumerate(past):
+        margins = [x.times(v.w) + v.b for v, x in zip(views, data, strict=True)]
+        for other, label, free, bins in _sure(margins, views, uses, confident):
+            least, share = last[other, label]
+            taken = free[(bins > least) | (bins == least) & (_draw(tie[free], 4 * r + 2 * other + label) < share)]
+            targets[other][taken], uses[other][taken] = label, 0.5
+    return targets, uses
+
+
+def _last_bin(counts: dict[int, int], most: int) -> tuple[int, float]:
+    """The lowest bin to take so that the surest `most` rows are taken, and the share of that bin."""
+    left = most
+    for b in sorted(counts, reverse=True):
+        if counts[b] >= left:
+            return b, left / counts[b]
+        left -= counts[b]
+    return -1, 0.0
+
+
+def _on_known(known: DataFrame, work: Callable[[tuple[Rows, Rows], np.ndarray, np.ndarray], object]):
+    """work(features, labels, held-out rows) in one task on the labelled rows, whose number is bounded; what it returns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["id"], r["ts"]))
-        y = np.array([np.nan if r["y"] is None else r["y"] for r in rows], float)
-        if len({*y[~np.isnan(y)]}) == 2:
-            sparse = lambda s, w, bits: Rows.of([(np.frombuffer(r[s], np.int32), np.frombuffer(r[w], np.float32)) for r in rows], bits)
-            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(co_train(sparse("ts", "tw", TEXT_BITS), sparse("ms", "mw", META_BITS), y))], pa.binary())})
+        rows = pa.Table.from_batches([*batches]).sort_by("n").combine_chunks() if (batches := [*batches]) else None
+        if rows is not None and rows.num_rows:
+            y = rows["y"].to_numpy()
+            out = work(_rows(rows.to_batches()[0]), y, np.flatnonzero(_held(rows["n"].to_numpy())))
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(out)], pa.binary())})
 
-    found = sample_rows(docs, labels, id_col, label, **bounds).repartition(1).mapInArrow(run, "model binary").collect()
+    found = known.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else None
 
 
+def _calibrated(views: tuple[View, View], data: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray, prior: float) -> float:
+    """Calibrates both views on the held-out rows; their joint accuracy there."""
+    joint = -prior
+    for v, x in zip(views, data, strict=True):
+        margin = (x.times(v.w) + v.b)[held]
+        v.calibrate(margin, y[held])
+        joint = joint + v.logit(margin)
+    return float(((joint > 0) == (y[held] > 0.5)).mean())
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", rounds: int = 3, confident: float = 0.9, share: float = 0.1, steps: int = 12, **bounds) -> tuple[View, View, float, dict] | None:
+    """Co-trained views of a table, or None if the labels have no two classes: both views, the prior logit, figures.
+
+    Both views are first fitted in one task on the labelled rows, one a labelled id, a fifth of which is held out for
+    calibration. All other rows are the pool (rows with labels beyond the bound too, without their labels). In every
+    round all of the pool is scored and each view hands the other the rows it is surest of, at most `share` of the pool
+    and in the proportion of the classes, as labels; a histogram of the scores tells where to stop, and hashes of the rows
+    which of equal scores to take. Then AdaGrad goes on for `steps` steps over labelled and handed rows; each sums the
+    gradients, of fixed width, over the partitions. The driver holds two weight vectors. Results don't depend on the order
+    or partitions of rows.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    picked = labelled_ids(docs, labels, id_col, label, **bounds)
+    raw = _raw(docs, id_col)
+    one = raw.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("r"), F.first("y").alias("y"), F.first("n").alias("n"))
+    known = cut(_features(one.select("r.*", "y", "n"), "y", "n"))
+
+    def start(data: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray):
+        if len({*y}) < 2:
+            return None
+        prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+        use = np.ones(len(y))
+        if len(y) >= 10:
+            use[held] = 0
+        views = View(TEXT_BITS), View(META_BITS)
+        for v, x in zip(views, data, strict=True):
+            v.fit(x, y, use)
+        return views, prior, {"labelled": int(use.sum()), "held_out": len(held), "accuracy": _calibrated(views, data, y, held, prior), "to_text": 0, "to_meta": 0}
+
+    def adjust(data: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray):
+        return views, _calibrated(views, data, y, held, prior)
+
+    if not (found := _on_known(known, start)):
+        return None
+    views, prior, figures = found
+    pool_at = scratch(spark, "cotrain-pool")
+    _features(raw.join(F.broadcast(picked.select("id")), "id", "left_anti").withColumn("tie", F.xxhash64("id", "text", "source", "lang", "n_chars")), "tie").write.parquet(pool_at)
+    pool = spark.read.parquet(pool_at)
+    size, good, past = pool.count(), 1 / (1 + np.exp(-prior)), []
+    figures["pool"] = size
+    for _ in range(rounds if size else 0):
+        last = _surest(pool, past, views, confident, max(1, int(share * size)), good)
+        past = [*past, (tuple(View(v.bits, v.w.copy(), v.b, v.slope, v.shift) for v in views), last)]
+        taught_at = scratch(spark, "cotrain-taught")
+        _handed(pool, known, figures["labelled"] + figures["held_out"], past, confident).write.parquet(taught_at)
+        taught = spark.read.parquet(taught_at)
+        sums = taught.agg(F.sum("u0"), F.sum("u1"), F.count_if(F.col("u0") == 0.5), F.count_if(F.col("u1") == 0.5)).first()
+        figures["to_text"], figures["to_meta"] = sums[2], sums[3]
+        for _ in range(steps):
+            for k, (grad, grad_b) in enumerate(_gradients(taught, views)):
+                views[k].step(grad / sums[k], grad_b / sums[k])
+        remove(spark, taught_at)
+        views, figures["accuracy"] = _on_known(known, adjust)
+    remove(spark, pool_at)
+    return *views, prior, figures
+
+
+def _surest(pool: DataFrame, past: list, views: tuple[View, View], confident: float, most: int, good: float) -> dict[tuple[int, int], tuple[int, float]]:
+    """Of each view that learns and each label: the last bin of the scores to take and the share of it, from a histogram over the pool."""
+    held = pool.sparkSession.sparkContext.broadcast((past, views))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counter()
+        for batch in batches:
+            data, (past, views) = _rows(batch), held.value
+            _, uses = _taught(data, batch.column(0).to_numpy(), past, confident)
+            for other, label, _, bins in _sure([x.times(v.w) + v.b for v, x in zip(views, data, strict=True)], views, uses, confident):
+                for b, n in zip(*np.unique(bins, return_counts=True), strict=True):
+                    counts[other, label, int(b)] += int(n)
+        columns = [*zip(*((*key, n) for key, n in counts.items()), strict=True)] or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["other", "label", "bin", "n"])
+
+    found = pool.mapInArrow(run, "other long, label long, bin long, n long").groupBy("other", "label", "bin").agg(F.sum("n").alias("n")).collect()  # at most 4 * BINS rows
+    held.destroy()
+    parts = {1: good, 0: 1 - good}
+    return {(k, y): _last_bin({r["bin"]: r["n"] for r in found if (r["other"], r["label"]) == (k, y)}, max(1, int(most * parts[y]))) for k in (0, 1) for y in (0, 1)}
+
+
+def _handed(pool: DataFrame, known: DataFrame, n_known: int, past: list, confident: float) -> DataFrame:
+    """Features, targets (t0, t1) and weights (u0, u1) for each view: the labelled rows that are fitted on, and the pool's rows handed so far."""
+    held = pool.sparkSession.sparkContext.broadcast(past)
+    names = ["ts", "tw", "ms", "mw", "t0", "t1", "u0", "u1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            targets, uses = _taught(_rows(batch), batch.column(0).to_numpy(), held.value, confident)
+            marked = pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, (*targets, *uses))], names=names)
+            yield marked.filter(pa.array((uses[0] > 0) | (uses[1] > 0)))
+
+    own = known.where("n % 5 <> 0") if n_known >= 10 else known
+    one = F.lit(1.0)
+    return pool.mapInArrow(run, "ts binary, tw binary, ms binary, mw binary, t0 double, t1 double, u0 double, u1 double").unionByName(
+        own.select("ts", "tw", "ms", "mw", F.col("y").alias("t0"), F.col("y").alias("t1"), one.alias("u0"), one.alias("u1")))
+
+
+def _gradients(taught: DataFrame, views: tuple[View, View]) -> list[tuple[np.ndarray, float]]:
+    """Summed gradients of each view's weights and intercept, as whole multiples of 1 / GRAIN."""
+    held = taught.sparkSession.sparkContext.broadcast([(v.w, v.b) for v in views])
+    widths = [1 << v.bits for v in views]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(n + 1, np.int64) for n in widths]  # the intercept's last
+        for batch in batches:
+            for k, x in enumerate(_rows(batch)):
+                (w, b), t, u = held.value[k], batch.column(4 + k).to_numpy(), batch.column(6 + k).to_numpy()
+                error = (1 / (1 + np.exp(-(x.times(w) + b).clip(-30, 30))) - t) * u
+                sums[k][:-1] += np.bincount(x.slots, np.rint(x.weights * error[x.row()] * GRAIN), widths[k]).astype(np.int64)
+                sums[k][-1] += int(np.rint(error * GRAIN).sum())
+        for k, g in enumerate(sums):
+            at = np.flatnonzero(g)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(g[at])], names=["k", "slot", "g"])
+
+    found = taught.mapInArrow(run, "k long, slot long, g long").groupBy("k", "slot").agg(F.sum("g").alias("g")).toArrow()
+    held.destroy()
+    out = [np.zeros(n + 1) for n in widths]
+    for k, g in enumerate(out):
+        own = found["k"].to_numpy() == k
+        g[found["slot"].to_numpy()[own]] = found["g"].to_numpy()[own] / GRAIN
+    return [(g[:-1], float(g[-1])) for g in out]
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", label: str = "quality", **bounds) -> DataFrame:
     """Quality of every document: the id, text_score, meta_score, score (calibrated probabilities) and keep (score >= threshold).
 
-    The score adds the views' calibrated logits and takes away the prior that both hold. Fitted on a bounded sample
-    (MAX_LABELLED, MAX_POOL); every whole text is scored. Null and empty texts have a class of their own among the
+    The score adds the views' calibrated logits and takes away the prior that both hold. Of the labelled rows at most
+    MAX_LABELLED are fitted on; all others take part in the exchange, and every whole text is scored. Null and empty texts have a class of their own among the
     features; null or missing metadata count as a value; null ids and repeated rows keep a row each; repeated labels are
     averaged; without labels of two classes all scores are null and every document is kept.
     """

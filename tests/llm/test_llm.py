@@ -85,6 +85,17 @@ def test_co_training(spark):
     assert none.count() == 10 and none.where("keep and score is null").count() == 10 and cotrain.score(empty(spark), labels).count() == 0
 
 
+def test_co_training_uses_the_whole_pool(spark):
+    source = docs(spark, [(i, (WORDS if i % 2 else "zz1 qq## 77$ buy!! click >>> win$$$ free") + f" w{i % 7}") for i in range(5000)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    hot = source.unionByName(source.where("doc_id = 1").crossJoin(spark.range(300).select()))
+    model = cotrain.fit(hot, labels)
+    assert (model[3]["pool"], model[3]["labelled"], model[3]["held_out"]) == (4900, 80, 20)
+    assert min(model[3]["to_text"], model[3]["to_meta"]) >= 0 and model[3]["to_meta"] > 400
+    again = cotrain.fit(hot.repartition(3, "text"), labels)
+    assert all((a.w == b.w).all() and a.b == b.b for a, b in zip(model[:2], again[:2]))
+
+
 def test_packing(spark, texts):
     path = bpe.vocabulary_path("byte_bpe_50k.json")
     library = bpe.vocabulary(path).library
