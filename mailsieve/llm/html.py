@@ -16,9 +16,15 @@ from .tree import decide, grow
 
 MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|[^<>]*>)""", re.S)
 #: Elements whose content isn't text of the page, and elements that begin and end blocks.
-SKIPPED = frozenset("script style noscript template iframe svg canvas object math textarea title head select button audio video map datalist".split())
+SKIPPED = frozenset("script style noscript template iframe svg canvas object math textarea title select button audio video map datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+#: Start tags that end a skipped element left open: of any kind (but templates), and of controls and drawings.
+ENDS_ANY = frozenset("body main article".split())
+ENDS_SOME = ENDS_ANY | frozenset("h1 h2 h3 h4 h5 h6 p section table ul ol".split())
+CONTROLS = frozenset("select button datalist svg math".split())
+#: Words of a block that counts as a long paragraph of a form, and words of them all that make the form a wrapper of the page.
+LONG_BLOCK, LONG_FORM = 30, 60
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and words of class, id and role that tell what a part of a page is for.
 ASIDE_TAGS = frozenset("nav aside footer form dialog menu search".split())
@@ -60,14 +66,33 @@ def _place(tag: str, attributes: str, now: int) -> int:
     return MAIN if tag in ("article", "main") else now
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """A page's text blocks in order: text (references decoded, white space joined), words, linked words, place, heading."""
+def _wraps(page: str) -> bool:
+    """Whether a form's content is that of a page, not of a control: it has <main>, <article> or long paragraphs."""
+    if re.search(r"(?i)<(?:main|article)[\s>]", page):
+        return True
+    return sum(n for _, n, k, place, _ in blocks(page, False) if n >= LONG_BLOCK and 2 * k < n and place in (PLAIN, MAIN)) >= LONG_FORM
+
+
+def blocks(page: str, forms: bool = True) -> list[tuple[str, int, int, int, bool]]:
+    """A page's text blocks in order: text (references decoded, white space joined), words, linked words, place, heading.
+
+    A skipped element ends at its end tag, or where it can't be open any more: at the end tag of a block around it, or at
+    elements that can't stand in it; without an end tag in the rest of the page it isn't skipped. A form is an aside,
+    unless it wraps main text (forms=False: never).
+    """
     out: list[tuple[str, int, int, int, bool]] = []
     stack: list[tuple[str, int]] = []  # open block elements and the place inside them; below 0: an aside that only words name
     parts: list[str] = []
     linked = link = skip = 0
     heading, at, low = False, 0, None
     skipped = ""
+    inside: dict[str, int] = {}  # blocks opened in the skipped element
+    last: dict[str, int] = {}  # where the last end tag of a kind stands
+
+    def closes(tag: str) -> bool:
+        if tag not in last:
+            last[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+        return last[tag] >= at
 
     def flush() -> None:
         nonlocal linked
@@ -101,7 +126,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
                     skip -= 1
                 continue
             if skip:
-                continue
+                if tag not in BLOCKS:
+                    continue
+                if inside.get(tag):
+                    inside[tag] -= 1
+                    continue
+                if skipped == "template" or all(t != tag for t, _ in stack):
+                    continue
+                skip = 0
             if tag == "a":
                 link = 0
             elif tag == "p" and (not stack or stack[-1][0] != "p"):
@@ -115,9 +147,16 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
                         link = 0
                         break
             continue
+        if skip and skipped != "template" and tag in (ENDS_SOME if skipped in CONTROLS and not inside.get("foreignobject") else ENDS_ANY):
+            skip = 0
         if skip:
-            if tag == skipped and not m[3].endswith("/>"):
+            if tag in RAW and not (skipped in ("svg", "math") and tag in ("title", "iframe", "textarea", "noscript")):
+                end = _find(page, tag, at)
+                at = len(page) if end < 0 else end
+            elif tag == skipped and tag not in ("button", "select") and not m[3].endswith("/>"):
                 skip += 1
+            elif tag in BLOCKS and tag not in VOID or tag == "foreignobject":
+                inside[tag] = inside.get(tag, 0) + 1
             continue
         if tag in SKIPPED:
             if m[3].endswith("/>") and tag not in RAW:
@@ -130,7 +169,9 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
                     close = page.find(">", end)
                     at = len(page) if close < 0 else close + 1
             else:
-                skip, skipped = 1, tag
+                if closes(tag):
+                    skip, skipped = 1, tag
+                    inside.clear()
             continue
         if tag == "a":
             link = 1
@@ -147,7 +188,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
             now = stack[-1][1] if stack else PLAIN
             if now < 0 and tag in ("article", "main"):
                 now = PLAIN
-            stack.append((tag, _place(tag, m[3], now) if now >= 0 else now))
+            kind = tag
+            if tag == "form" and now in (PLAIN, MAIN):
+                end = _find(page, "form", at)
+                if not forms or _wraps(page[at : end if end >= 0 else len(page)]):
+                    kind = "div"
+            stack.append((tag, _place(kind, m[3], now) if now >= 0 else now))
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         elif tag == "img" or tag in VOID:
             continue

@@ -216,6 +216,25 @@ def test_main_text():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p") == ""
 
 
+def test_main_text_of_unclosed_and_wrapped_pages():
+    long = "The council met on Tuesday to decide how the old bridge over the river should be repaired before the winter. " * 3
+    body = f"<article><h1>Bridge repairs</h1><p>{long}</p><p>{long}</p></article>"
+    want = html.main_text(f"<html><head><title>T</title></head><body>{body}</body></html>")
+    assert want.count("Tuesday") == 6
+    pages = [
+        f"<html><head><title>T</title><body>{body}", f"<head><script>var x = '<head>';</script></head><body>{body}", f"<head><meta charset=utf-8><title>T</title>{body}",
+        f"<body><form id=aspnetForm action=/><nav><a href=/>Home</a></nav><main>{body}</main></form>", f"<body><form>{body}</form>",
+        *(f"<body><div><{tag}></div>{body}" for tag in ("button", "select", "svg", "object", "map")),
+        *(f"<body><div><{tag}></div>{body}<div><{tag}></{tag}></div>" for tag in ("button", "select", "svg", "object", "map")),
+        f"<body><svg><style>a:after {{ content: '<svg>' }}</style></svg>{body}",
+    ]
+    assert [html.main_text(p) for p in pages] == [want] * len(pages)
+    plain = f"<p>{long}</p><p>{long}</p>"
+    assert html.main_text(f"<body><form><div>{plain}</div></form>") == html.main_text(f"<body><div><div>{plain}</div></div>") != ""
+    hidden = "<form><p>Subscribe to our newsletter and get the best stories every week in your mail.</p></form><select><option>One</select><button>Go <div>now</div></button>"
+    assert html.main_text(f"<body>{body}{hidden}") == want
+
+
 def test_main_text_on_held_out_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html.extract(pages).collect()}
