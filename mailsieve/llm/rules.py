@@ -94,6 +94,11 @@ def _letters(text: Column, base: dict[str, Column]) -> Column:
     return F.regexp_count(text, F.lit(r"\p{L}")) * 10 < chars * 6
 
 
+def _marked_letters(text: Column, base: dict[str, Column]) -> Column:
+    chars = base["word_chars"] if base else F.length(F.array_join(words_of(text), ""))
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{M}]")) * 10 < chars * 6
+
+
 #: The first two are the base. The others: no lower-case letter beside capitals; over a symbol in four words; over 30 % of
 #: lines repeat earlier ones; words of under 2 or over 15 characters on average; under 60 % letters.
 RULES = (
@@ -105,6 +110,8 @@ RULES = (
     Rule("word_length", _word_length),
     Rule("few_letters", _letters),
 )
+#: The same for the pipeline, but vowel signs and other marks are parts of letters. judge, which has its SQL, counts letters alone.
+FILTER_RULES = (*(r for r in RULES if r.name != "few_letters"), Rule("few_letters", _marked_letters))
 
 
 def measure(sample: DataFrame, rules: Sequence[Rule], text: Column, base: dict[str, Column]) -> list[tuple[Rule, float, float]]:
@@ -171,7 +178,7 @@ def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if "rejected_by" in docs.columns:
         held = docs.withColumnRenamed("rejected_by", "__rejected_by")
         return filter_documents(held, text_col).withColumnRenamed("__rejected_by", "rejected_by")
-    judged, _ = cascade(docs, RULES, text_col)
+    judged, _ = cascade(docs, FILTER_RULES, text_col)
     return judged.where("rejected_by is null").drop("rejected_by")
 
 

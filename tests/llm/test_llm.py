@@ -42,6 +42,14 @@ def test_quality_edges(spark):
     assert (row["n_words"], row["n_repeat_words"], row["base_failed"]) == (66, 6, False)
 
 
+def test_filter_keeps_vowel_signs(spark):
+    words = "हिन्दी में लिखी हुई किताबें पढ़ने की इच्छा थी और बूढ़े दुकानदार ने मुझे पुरानी कहानियों की सूची दिखाई".split()
+    hindi = " ".join(f"{w}, {k}" if k % 3 == 0 else w for k, w in enumerate(np.random.default_rng(3).choice(words, 120)))
+    rows = [(1, hindi), (2, " ".join(f"a{i} 77{i}," for i in range(60)))]
+    kept = {r["doc_id"] for r in rules.filter_documents(docs(spark, rows)).collect()}
+    assert kept == {1}
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
