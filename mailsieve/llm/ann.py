@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, slices
 
 #: Rows that lists, rotation and the share of lists to probe are fitted on; every row is indexed.
 SAMPLE = 16_384
@@ -142,7 +142,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, i
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             ids, vec = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist())
@@ -154,7 +154,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, i
             yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(ids[at]), pa.array([vec[i].tobytes() for i in at], pa.binary()), pa.array([turned[i].tobytes() for i in at], pa.binary()), pa.array(bound[at])], names=["list", "query_id", "query", "turned", "bound"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for r in batch.to_pylist():
                 ids = np.frombuffer(r["ids"], np.int64)
                 columns = np.frombuffer(r["columns"], np.float32).reshape(size, len(ids), width)
@@ -173,15 +173,12 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, i
     met_type, most = "list int, query_id long, query binary, turned binary, bound double", max(1, -(-asked.count() // CHUNK))
 
     def search(some: DataFrame, bounded: bool) -> DataFrame:
-        small_batches(spark)
         probes = some.select("id", "vec").mapInArrow(probe, met_type)
         if not bounded:
             probes = probes.withColumn("bound", F.lit(float("inf")))
         part = F.pmod(F.xxhash64("query_id"), F.lit(most))
         chunks = cut(probes.groupBy("list", part.alias("part")).agg(F.collect_list(F.struct("query_id", "query", "turned", "bound")).alias("queries")).drop("part"))
-        small_batches(spark, 8)
         met = cut(blocks.join(chunks, "list").select("ids", "columns", "rows", "queries").mapInArrow(run, out_type))
-        small_batches(spark)
         return met
 
     met = search(asked, True)

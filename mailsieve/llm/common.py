@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,19 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows an Arrow batch: texts may hold megabytes, so that 10,000 of them wouldn't fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most so many rows. Spark itself ends a batch at 64 MB; what a worker makes of the texts in it may be larger."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors reach: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors reach: spark.checkpoint.dir. Only a local session without it gets one of its own."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='mailsieve-')}")
-            found = spark.sparkContext.getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='mailsieve-')}")
+        found = context.getCheckpointDir()
+    elif not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -56,3 +64,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
         if df.columns.count(n) != 1:
             raise ValueError(f"needs exactly one column {n}, found {df.columns}")
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, remove, scratch, small_batches
+from .common import cut, remove, scratch, slices
 
 #: Hashed features of each view.
 TEXT_BITS, META_BITS = 15, 10
@@ -150,7 +150,7 @@ def _rows(batch: pa.RecordBatch) -> tuple[Rows, Rows]:
 def _features(rows: DataFrame, *keep: str) -> DataFrame:
     """Slots and weights of both views for rows of text, source, lang and n_chars, and the columns to keep."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = {c: [] for c in ("ts", "tw", "ms", "mw")}
             for text, *meta in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 (s, w), (t, v) = text_features(text), meta_features(*meta)
@@ -256,7 +256,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     or partitions of rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     picked = labelled_ids(docs, labels, id_col, label, **bounds)
     raw = _raw(docs, id_col)
     one = raw.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("r"), F.first("y").alias("y"), F.first("n").alias("n"))
@@ -308,7 +307,7 @@ def _surest(pool: DataFrame, past: list, views: tuple[View, View], confident: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             data, (past, views) = _rows(batch), held.value
             _, uses = _taught(data, batch.column(0).to_numpy(), past, confident)
             for other, label, _, bins in _sure([x.times(v.w) + v.b for v, x in zip(views, data, strict=True)], views, uses, confident):
@@ -329,7 +328,7 @@ def _handed(pool: DataFrame, known: DataFrame, n_known: int, past: list, confide
     names = ["ts", "tw", "ms", "mw", "t0", "t1", "u0", "u1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             targets, uses = _taught(_rows(batch), batch.column(0).to_numpy(), held.value, confident)
             marked = pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, (*targets, *uses))], names=names)
             yield marked.filter(pa.array((uses[0] > 0) | (uses[1] > 0)))
@@ -347,7 +346,7 @@ def _gradients(taught: DataFrame, views: tuple[View, View]) -> list[tuple[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(n + 1, np.int64) for n in widths]  # the intercept's last
-        for batch in batches:
+        for batch in slices(batches):
             for k, x in enumerate(_rows(batch)):
                 (w, b), t, u = held.value[k], batch.column(4 + k).to_numpy(), batch.column(6 + k).to_numpy()
                 error = (1 / (1 + np.exp(-(x.times(w) + b).clip(-30, 30))) - t) * u

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import CHUNKS, LETTERS, PLAIN, Memory, Vocabulary, no_cycles, vocabulary
-from .common import only, scratch, small_batches
+from .common import only, scratch, slices
 
 
 class IdEncoder:
@@ -125,13 +125,12 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
 
 def cut_documents(docs: DataFrame, vocab: str, capacity: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids and `end_id` as pieces of `capacity` and a rest: id, start, length, ids_crc32, doc_tokens."""
-    small_batches(docs.sparkSession)
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocab not in _ENCODERS:
             _ENCODERS[vocab] = IdEncoder(vocabulary(vocab))
-        for batch in batches:
+        for batch in slices(batches):
             with no_cycles():
                 found = _ENCODERS[vocab].encode([t or "" for t in batch.column(1).to_pylist()])
             row, start, length, crc, total = [], [], [], [], []

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, only, small_batches
+from .common import cut, only, slices
 from .graph import components
 
 SEED = 42
@@ -61,10 +61,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str
 
     distinct: each different shingle counts once, as in a Jaccard similarity of sets; otherwise repeats count.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             found = (shingle_hashes(t, shingle) for t in texts)
             fps = [fingerprint([*{*h}] if distinct else h, words).view(np.int64) for h in found]
@@ -211,7 +210,7 @@ def links(fps: DataFrame, radius: int, words: int = 1, blocks: int = 4, tile: in
         return column("node"), np.stack([column(f"w{k}").view(np.uint64) for k in range(words)], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for k in range(batch.num_rows):
                 sides = batch.column(0)[k].values
                 order = np.argsort(sides.field("side").to_numpy())
@@ -224,9 +223,7 @@ def links(fps: DataFrame, radius: int, words: int = 1, blocks: int = 4, tile: in
                     at = np.array(found)
                     yield pa.RecordBatch.from_pydict({"a": pa.array(nodes[at[:, 0]]), "b": pa.array(nodes[at[:, 1]])})
 
-    small_batches(spark, 16)
     found = cut(pairs.select("sides").mapInArrow(run, "a long, b long"))
-    small_batches(spark)
     return found
 
 
@@ -368,7 +365,7 @@ def dedupe(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: in
         source = only(named, id_col, text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "set"])
 
         few = source.join(near, source[id_col] == near["node"], "left_semi").dropDuplicates([id_col]).mapInArrow(run, "node long, set binary")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import ChunkEncoder, PrefixCounter, no_cycles, vocabulary
-from .common import only, small_batches
+from .common import only, slices
 
 _WORKERS: dict[tuple, object] = {}
 
@@ -33,11 +33,10 @@ def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
     Null and empty texts have no tokens (digests of the empty string); null or repeated ids and repeated rows keep one
     row each; special strings inside texts become their ids; other columns don't matter. No shuffle.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(ChunkEncoder, vocab)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             with no_cycles():
                 rows = encoder.encode(texts)
@@ -59,11 +58,10 @@ def count_tokens(docs: DataFrame, vocab: str, budget: int = 512, id_col: str = "
     `prefixes`, prefix_tokens (array<int>: the exact count of text[:p] for every p). `vocab`: path of a byte-level
     vocabulary. Null texts count as empty (0 tokens); null or repeated ids and repeated rows keep one row each. No shuffle.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _worker(PrefixCounter, vocab)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             with no_cycles():
                 found = counter.total(texts, budget)

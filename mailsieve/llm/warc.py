@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, remove, scratch, small_batches
+from .common import only, remove, scratch, slices
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long"
@@ -97,7 +97,7 @@ def write_archives(records: DataFrame, uri: str, level: int = 6) -> DataFrame:
         task = TaskContext.get()
         name = f"{path}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         n, out = 0, None
-        for batch in batches:
+        for batch in slices(batches):
             for r in batch.to_pylist():
                 if out is None:
                     out = system.open_output_stream(name, compression=None)
@@ -122,7 +122,7 @@ def normalise(manifest: DataFrame, uri: str, level: int = 6) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_dir(uri)
-        for batch in batches:
+        for batch in slices(batches):
             for source in batch.column(0).to_pylist():
                 name = f"{path}/{source.rsplit('/', 1)[-1].removesuffix('.warc.gz')}-{TaskContext.get().taskAttemptId()}.warc.gz"
                 n = at = 0
@@ -167,7 +167,7 @@ def read_archives(manifest: DataFrame, uri: str, id_type: str = "long", payloads
                     yield {"page_id": key(head["WARC-Record-ID"]), "payload_bytes": got["length"], "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": key(head.get("WARC-Refers-To")), "url": head.get("WARC-Target-URI")} | ({"payload": got["payload"] if head["WARC-Type"] == "response" else None} if payloads else {})
 
         schema = pa.schema([("page_id", kind), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", kind), ("url", pa.string())] + [("payload", pa.binary())] * payloads)
-        for batch in batches:
+        for batch in slices(batches):
             for path in batch.column(0).to_pylist():
                 held = []
                 for row in rows(path):
@@ -206,7 +206,6 @@ def archive_round_trip(pages: DataFrame, uri: str | None = None, level: int = 6)
     uri = uri or scratch(spark, "warc")
     if "://" not in uri:
         uri = f"file://{uri}"
-    small_batches(spark)
     table = with_revisits(pages)
     write_archives(table, f"{uri}/one", level).write.parquet(f"{uri}/one-manifest")
     one = spark.read.schema(MANIFEST).parquet(f"{uri}/one-manifest")
