@@ -9,7 +9,7 @@ from .bpe import vocabulary_path
 from .common import table
 from .cotrain import score
 from .html import extract
-from .licences import scan, scan_sql
+from .licences import SCAN_SQL, scan
 from .packing import pack
 from .rules import JUDGE_SQL, judge
 from .simhash import near_duplicates
@@ -65,5 +65,5 @@ SQL = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to, url FROM f""",
     "op2_quality_rules": JUDGE_SQL,
-    "op8_licences": scan_sql(),
+    "op8_licences": SCAN_SQL,
 }

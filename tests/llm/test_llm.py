@@ -1,13 +1,19 @@
 import hashlib
+import html as entities
+import re
+import textwrap
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mailsieve.llm import ann, bpe, cotrain, html, packing, queries, rules, simhash, tokens, warc
+from mailsieve.llm import ann, bpe, cotrain, html, licences, packing, queries, rules, simhash, tokens, warc
 from mailsieve.llm.graph import components
+from mailsieve.llm.tree import decide, grow
 from tests.conftest import SF, same_as_sql
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, node string, keep boolean, part int, content string"
@@ -238,20 +244,66 @@ def test_main_text_of_unclosed_and_wrapped_pages():
     ]
     assert [html.main_text(p) for p in pages] == [want] * len(pages)
     plain = f"<p>{long}</p><p>{long}</p>"
-    assert html.main_text(f"<body><form><div>{plain}</div></form>") == html.main_text(f"<body><div><div>{plain}</div></div>") != ""
+    assert html.main_text(f"<body><form><div>{plain}</div></form>") == html.main_text(f"<body><div><div>{plain}</div></div>") == f"{long}\n\n{long}".replace(" \n", "\n").strip()
     hidden = "<form><p>Subscribe to our newsletter and get the best stories every week in your mail.</p></form><select><option>One</select><button>Go <div>now</div></button>"
     assert html.main_text(f"<body>{body}{hidden}") == want
 
 
-def test_main_text_on_held_out_pages(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
-    got = {r["page_id"]: r for r in html.extract(pages).collect()}
-    for r in pages.collect():
-        if r["html"] and "<article>" in r["html"]:
-            inside = r["html"].split("<article>")[1].split("</article>")[0]
-            assert got[r["page_id"]]["text"] and "<p>" not in got[r["page_id"]]["text"] and len(got[r["page_id"]]["text"]) <= len(inside)
-    odd = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2)], "page_id long, url string, html string, text int")
-    assert [r["n_chars"] for r in html.extract(odd).collect()] == [0, 0]
+def test_main_text_of_pages_with_telling_names():
+    """Names of parts beside the text may stand on the whole page, the article or a wrapper of it."""
+    long = "The council met on Tuesday to decide how the old bridge over the river should be repaired before the winter. " * 3
+    body = f"<h1>Bridge repairs</h1><p>{long}</p><p>{long}</p>"
+    first, last = "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News and events</a></li></ul></nav>", "<footer>Copyright 2020 The Paper. All rights reserved.</footer>"
+    want = "\n\n".join(["Bridge repairs", long.strip(), long.strip()])
+    for page in (
+        f'<body class="single comments-open">{first}<article>{body}</article>{last}', f'{first}<article class="post comments-closed">{body}</article>{last}', f"<form id=f>{first}<article>{body}</article>{last}</form>",
+        f'{first}<div class="responses-to-war">{body}</div>{last}', f'{first}<div id="legal-news">{body}</div>{last}', f'{first}<div class="discussion"><article>{body}</article></div>{last}',
+        f'{first}<article>{body}</article><section class="comments"><h3>Comments</h3><p>{long * 4}</p><p>I agree.</p></section>{last}', f'{first}<article>{body}<div class="ad">Buy two pairs of shoes and get the third one free today.</div></article>{last}',
+    ):
+        assert html.main_text(page) == want, page[:80]
+    assert html.main_text(f'<div class="page with-sidebar"><p>{long}</p><p>{long}</p></div>') == "\n\n".join([long.strip()] * 2)
+    assert html.main_text("<article><h1>Sums</h1><p>Here <math><mi>x</mi></math> is <object>a number</object> of things that we count.</p></article>") == "Sums\n\nHere x is a number of things that we count."
+
+
+def test_main_text_is_linear():
+    for page in ("<a" * 500_000, "<div>" * 100_000 + "</p>" * 100_000, "<nav>" * 50_000 + "x", "<form>" * 50_000 + "</form>" * 50_000, '<a href="' * 100_000, "<svg>" * 50_000, "<!" * 500_000):
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 10, page[:20]
+
+
+def test_block_tree_uses_its_features():
+    """Held-out made pages; without a group of features the tree gets worse."""
+    x, y = html.labelled_table()
+    rows, labels = html.labelled_table(80, 99)
+    def accuracy(drop):
+        own = [k for k in range(x.shape[1]) if k not in drop]
+        tree = grow(x[:, own], y, depth=10, least=5)
+        return np.mean([decide(tree, r) == bool(v) for r, v in zip(rows[:, own], labels, strict=True)])
+
+    whole = accuracy(())
+    assert whole > 0.98 and accuracy(range(6)) < whole - 0.01 and accuracy((6, 7)) < whole and accuracy((8, 9, 10)) < whole - 0.1
+
+
+def _article(page):
+    """The blocks of <article>, by a plain cut at the tags that the pages table has."""
+    inside = page.split("<article>", 1)[1].split("</article>")[0] if page and "<article>" in page else ""
+    found = [" ".join(entities.unescape(re.sub("</?(?:b|a)(?: [^>]*)?>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inside)]
+    return "\n\n".join(x for x in found if x)
+
+
+def test_main_text_equals_a_plain_cut(spark):
+    for sf in (SF, SF.replace("0.001", "0.1")):
+        pages = spark.read.parquet(f"{sf}/pages.parquet")
+        want = {r["page_id"]: _article(r["html"]) for r in pages.collect()}
+        got = {r["page_id"]: r for r in html.extract(pages).collect()}
+        assert {i: r["text"] for i, r in got.items()} == want and all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+def test_main_text_edges(spark):
+    odd = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "", 2), (2, "v", "<p>" + "word " * 300_000, 3)], "page_id long, url string, html string, text int")
+    assert sorted(r["n_chars"] for r in html.extract(odd).collect()) == [0, 0, 0, 1_499_999]
+    assert html.extract(odd.limit(0)).count() == 0
 
 
 def test_neighbours_recall(spark):
@@ -280,12 +332,39 @@ def test_neighbours_edges(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
-def test_licences(spark):
-    from mailsieve.llm.licences import KNOWN, scan
+BRITISH = {"license": "licence", "sublicense": "sublicence", "authorized": "authorised", "acknowledgment": "acknowledgement"}
+
+
+def _forms(text, width):
+    """A licence as people keep it: under a copyright line, wrapped, in capitals, with British spellings, inside a document."""
+    wrapped = "\n\n".join(textwrap.fill(" ".join(x.split()), width) for x in text.split("\n") if x.strip())
+    whole = f"Copyright (c) 2020 Someone, Inc. All rights reserved.\n\n{wrapped}"
+    british = re.sub(r"\w+", lambda m: BRITISH.get(m[0], m[0]), whole)
+    return [(whole, True), (whole.upper(), True), (british, True), (f"Some words first.\n{whole}\nThe end.", False)]
+
+
+def test_licences_in_all_forms(spark):
+    rows = [(licence, form, whole) for licence, text in licences.TEXTS for width in range(40, 101, 6) for form, whole in _forms(text, width)]
+    one = "Copyright (c) 2020 X. " + " ".join(licences.TEXTS[0][1].split())
+    rows += [("MIT", x, True) for x in (one, textwrap.fill(one, 60))]
+    rows += [(x, f"A page.\n{line}\nMore.", False) for x, line in (("GPL-3.0", "Licensed under the GNU General Public License, version 3."), ("GPL-2.0", "Released under the GPLv2!"), ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0"), ("Apache-2.0", "  SPDX-License-Identifier: Apache-2.0"))]
+    for licence, name in (("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("LGPL-2.1", "LGPL-2.1")):
+        if (path := Path("/usr/share/common-licenses", name)).exists():
+            rows += [(licence, path.read_text().upper(), True), (licence, f"First.\n{path.read_text()}\nLast.", False)]
+    got = {r["doc_id"]: r for r in licences.scan(docs(spark, [(i, x) for i, (_, x, _) in enumerate(rows)])).collect()}
+    assert [i for i, (x, _, whole) in enumerate(rows) if got[i]["licence"] != (x if whole else None) or x not in got[i]["notices"]] == []
+    assert not {*licences.SPELLINGS.values()} & {*licences.SPELLINGS}
+
 
-    mit = dict(KNOWN[::-1])["MIT"]
-    got = {r["doc_id"]: r for r in scan(docs(spark, [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", ";")), (2, "some other text"), (3, None)])).collect()}
-    assert [got[i]["licence"] for i in (1, 2, 3)] == ["MIT", None, None] and scan(empty(spark)).count() == 0 and scan(edge(spark)).count() == 10
+def test_licence_edges(spark):
+    for text in ("Copyright holders are named below, in the software.", "THE SOFTWARE IS PROVIDED AS IS", None, ""):
+        row = licences.scan(docs(spark, [(1, text)])).first()
+        assert row["licence"] is None and row["notices"] == []
+    digest = lambda t: licences.scan(docs(spark, [(1, t)])).first()["digest"]
+    assert digest("a\ncopyright notice b") != digest("a") == digest("Copyright 2001 Y\n A!") == digest("(c) 1999 Z\na")
+    assert licences.scan(empty(spark)).count() == 0 and licences.scan(edge(spark)).count() == 10
+    own = licences.known_texts(spark, [("own", "these very words")])
+    assert licences.scan(docs(spark, [(1, "These VERY words.")]), own).first()["licence"] == "own"
 
 
 def test_pipeline(spark):
