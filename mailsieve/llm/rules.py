@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -56,12 +55,17 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
+#: Work of one step over an array's elements, against one character read by a pattern.
+STEP = 20.0
+
+
 @dataclass(frozen=True)
 class Rule:
-    """rejects: from the text and, where they were computed before, the base columns."""
+    """rejects: from the text and, where they were computed before, the base columns. work: what that takes, in characters read."""
 
     name: str
     rejects: Callable[[Column, dict[str, Column]], Column]
+    work: Callable[[Column, dict[str, Column]], Column]
 
 
 def _n_words(text: Column, base: dict[str, Column]) -> Column:
@@ -91,95 +95,101 @@ def _lines(text: Column, base: dict[str, Column]) -> Column:
 
 def _letters(text: Column, base: dict[str, Column]) -> Column:
     chars = base["word_chars"] if base else F.length(F.array_join(words_of(text), ""))
-    return F.regexp_count(text, F.lit(r"\p{L}")) * 10 < chars * 6
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{M}]")) * 10 < chars * 6
 
 
-def _marked_letters(text: Column, base: dict[str, Column]) -> Column:
-    chars = base["word_chars"] if base else F.length(F.array_join(words_of(text), ""))
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{M}]")) * 10 < chars * 6
+def _split_work(text: Column) -> Column:
+    return F.length(text) + STEP * F.regexp_count(text, F.lit(SPACES))
+
+
+def _sort_work(text: Column) -> Column:
+    return let(F.regexp_count(text, F.lit(SPACES)), lambda n: F.length(text) + STEP * n * (4 + F.log2(n + F.lit(2.0)) / 4))
+
+
+def _search_work(text: Column, pattern: str) -> Column:
+    return let(F.regexp_instr(text, F.lit(pattern)), lambda at: F.when(at > 0, at).otherwise(F.length(text)))
 
 
 #: The first two are the base. The others: no lower-case letter beside capitals; over a symbol in four words; over 30 % of
-#: lines repeat earlier ones; words of under 2 or over 15 characters on average; under 60 % letters.
+#: lines repeat earlier ones; words of under 2 or over 15 characters on average; under 60 % letters (with their vowel signs and other marks).
 RULES = (
-    Rule("few_words", lambda t, b: _n_words(t, b) < 50),
-    Rule("repeated_words", _repeats),
-    Rule("capitals", lambda t, b: t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{Ll}")),
-    Rule("symbols", _symbols),
-    Rule("duplicate_lines", _lines),
-    Rule("word_length", _word_length),
-    Rule("few_letters", _letters),
+    Rule("few_words", lambda t, b: _n_words(t, b) < 50, lambda t, b: F.lit(1.0) if b else _split_work(t)),
+    Rule("repeated_words", _repeats, lambda t, b: F.lit(1.0) if b else _sort_work(t)),
+    Rule("capitals", lambda t, b: t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{Ll}"), lambda t, b: _search_work(t, r"\p{Lu}") + _search_work(t, r"\p{Ll}")),
+    Rule("symbols", _symbols, lambda t, b: F.lit(1.0) if b else F.length(t) + _split_work(t)),
+    Rule("duplicate_lines", _lines, lambda t, b: F.length(t) + 2 * STEP * F.regexp_count(t, F.lit("\n"))),
+    Rule("word_length", _word_length, lambda t, b: F.lit(1.0) if b else F.length(t) + _split_work(t)),
+    Rule("few_letters", _letters, lambda t, b: F.length(t) if b else 2 * F.length(t) + _split_work(t)),
 )
-#: The same for the pipeline, but vowel signs and other marks are parts of letters. judge, which has its SQL, counts letters alone.
-FILTER_RULES = (*(r for r in RULES if r.name != "few_letters"), Rule("few_letters", _marked_letters))
 
 
 def measure(sample: DataFrame, rules: Sequence[Rule], text: Column, base: dict[str, Column]) -> list[tuple[Rule, float, float]]:
-    """The rules in cascade order, each with its seconds a row and the share it rejects of what reaches it.
+    """The rules in cascade order, each with its work a row and the share it rejects, both of what reaches it.
 
-    Each rule is timed alone over the sample, twice (the faster time counts). One more pass counts the combinations of
-    verdicts, a few rows; then the rule with the most rejections a second among what the earlier ones leave comes next.
+    One pass sums the work of every rule over each combination of verdicts, a few rows; then the rule with the most
+    rejections for its work among what the earlier ones leave comes next. No clock: the same sample gives the same order.
     """
-    def timed(column: Column) -> float:
-        times = []
-        for _ in range(2):
-            began = time.perf_counter()
-            sample.agg(F.count_if(column)).collect()
-            times.append(time.perf_counter() - began)
-        return min(times)
-
-    idle = timed(F.lit(True) & text.isNotNull())
-    cost = {r.name: max(timed(r.rejects(text, base)) - idle, 1e-4) for r in rules}
-    combos = sample.select(*[F.coalesce(r.rejects(text, base), F.lit(False)).alias(r.name) for r in rules]).groupBy(*[r.name for r in rules]).count().collect()
-    rows = [({r.name for r in rules if c[r.name]}, c["count"]) for c in combos]
-    total = sum(n for _, n in rows) or 1
-    out, rest = [], list(rules)
+    verdicts = [F.coalesce(r.rejects(text, base), F.lit(False)).alias(f"v{i}") for i, r in enumerate(rules)]
+    works = [r.work(text, base).cast("double").alias(f"w{i}") for i, r in enumerate(rules)]
+    sums = sample.select(*verdicts, *works).groupBy(*[f"v{i}" for i in range(len(rules))]).agg(F.count("*"), *[F.sum(f"w{i}") for i in range(len(rules))])
+    k = len(rules)
+    rows = [tuple(r) for r in sums.collect()]  # at most 2 ** rules
+    out, rest = [], list(range(k))
     while rest:
-        alive = sum(n for _, n in rows) or 1
-        hit = {r.name: sum(n for names, n in rows if r.name in names) / alive for r in rest}
-        best = max(rest, key=lambda r: (hit[r.name] / cost[r.name], -cost[r.name]))
-        out.append((best, cost[best.name] / total, hit[best.name]))
-        rows = [(names, n) for names, n in rows if best.name not in names]
+        alive = sum(r[k] for r in rows) or 1
+        work = {i: max(1e-9, sum(r[k + 1 + i] for r in rows) / alive) for i in rest}
+        hit = {i: sum(r[k] for r in rows if r[i]) / alive for i in rest}
+        best = max(rest, key=lambda i: (hit[i] / work[i], -work[i], -i))
+        out.append((rules[best], work[best], hit[best]))
+        rows = [r for r in rows if not r[best]]
         rest.remove(best)
     return out
 
 
-def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", base: dict[str, Column] | None = None, sample_rows: int = 2000) -> tuple[DataFrame, list[str]]:
-    """Adds rejected_by, the first rule of the cascade that rejects the document (null: it stays), and gives the order.
+def cascade(docs: DataFrame, text_col: str, into: str, rules: Sequence[Rule] = RULES, prepare: Callable[[DataFrame], DataFrame] | None = None, base: dict[str, Column] | None = None, sample_rows: int = 2000) -> tuple[DataFrame, list[str]]:
+    """Adds the column `into`, the first rule of the cascade that rejects the document (null: it stays), and gives the order.
 
-    The order comes from `measure` on `sample_rows` rows; it changes what is computed, never which documents stay: CASE
-    stops at the first rule that rejects. Null texts count as empty (too few words). All rows and other columns stay.
+    The order comes from `measure` on about `sample_rows` rows drawn from the whole table by a seeded draw; it changes what is
+    computed, never which documents stay: CASE stops at the first rule that rejects. prepare: adds the base columns to a
+    table. Null texts count as empty (too few words). All rows and other columns stay.
     """
     base = base or {}
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    sample = cut(docs.limit(sample_rows))
-    order = [r for r, _, _ in measure(sample, rules, text, base)]
+    rows = docs.count()
+    sample = docs.select(F.col(f"`{text_col}`"))
+    sample = cut((sample.sample(fraction=sample_rows / rows, seed=7) if rows > sample_rows else sample).repartition(8))  # some thousand texts, whatever the table's partitions
+    order = [r for r, _, _ in measure(prepare(sample) if prepare else sample, rules, text, base)]
     verdict = F.lit(None).cast("string")
     for r in reversed(order):
         verdict = F.when(r.rejects(text, base), r.name).otherwise(verdict)
-    return docs.withColumn("rejected_by", verdict), [r.name for r in order]
+    return (prepare(docs) if prepare else docs).withColumn(into, verdict), [r.name for r in order]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base counts and verdict of every document: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    Null and empty texts have zero counts and fail; null or repeated ids and repeated rows keep one row each.
+    Null and empty texts have zero counts and fail; null or repeated ids and repeated rows keep one row each; other columns
+    don't matter; an empty table gives no rows.
     """
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    found = source.withColumns(base_columns(F.col("text"))).select("id", "text", "counts.*", "n_symbols", "n_dup_lines")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    judged, _ = cascade(found, RULES, "text", {n: F.col(n) for n in names})
+
+    def prepare(df: DataFrame) -> DataFrame:
+        return df.withColumns(base_columns(F.col("text"))).select(*df.columns, "counts.*", "n_symbols", "n_dup_lines")
+
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    judged, _ = cascade(source, "text", "rejected_by", RULES, prepare, {n: F.col(n) for n in names})
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return judged.select(F.col("id").alias(id_col), *names, failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that no rule rejects, with their columns."""
-    if "rejected_by" in docs.columns:
-        held = docs.withColumnRenamed("rejected_by", "__rejected_by")
-        return filter_documents(held, text_col).withColumnRenamed("__rejected_by", "rejected_by")
-    judged, _ = cascade(docs, FILTER_RULES, text_col)
-    return judged.where("rejected_by is null").drop("rejected_by")
+    """The documents that no rule rejects, with all their columns, whatever these are called.
+
+    Null and empty texts are rejected (too few words); repeated rows are judged alike, each for itself; an empty table stays empty.
+    """
+    into = free(docs, "rejected_by")
+    judged, _ = cascade(docs, text_col, into)
+    return judged.where(F.col(into).isNull()).drop(into)
 
 
 JUDGE_SQL = r"""
@@ -195,6 +205,6 @@ b AS (SELECT w.doc_id, t, l, CAST(len(w) AS BIGINT) AS n_words, CAST(length(list
   FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   regexp_matches(t, '\p{Lu}') AND NOT regexp_matches(t, '\p{Ll}') OR 4 * n_symbols > n_words OR 10 * n_dup_lines > 3 * len(l)
-  OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * (length(t) - length(regexp_replace(t, '\p{L}', '', 'g'))) < 6 * word_chars AS rejected FROM b)
+  OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * (length(t) - length(regexp_replace(t, '[\p{L}\p{M}]', '', 'g'))) < 6 * word_chars AS rejected FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM f
 """

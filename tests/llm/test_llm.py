@@ -53,7 +53,19 @@ def test_filter_keeps_vowel_signs(spark):
     hindi = " ".join(f"{w}, {k}" if k % 3 == 0 else w for k, w in enumerate(np.random.default_rng(3).choice(words, 120)))
     rows = [(1, hindi), (2, " ".join(f"a{i} 77{i}," for i in range(60)))]
     kept = {r["doc_id"] for r in rules.filter_documents(docs(spark, rows)).collect()}
-    assert kept == {1}
+    assert kept == {1} == {r["doc_id"] for r in rules.judge(docs(spark, rows)).where("kept").collect()}
+
+
+def test_cascade_order_and_names(spark):
+    """The same order on every run, cheap rules that reject first; tables may hold the operator's own column names."""
+    rows = [(i, "word " * 10 if i % 2 else " ".join(chr(97 + k // 26) + chr(97 + k % 26) + "ab" for k in range(80))) for i in range(5000)]
+    table = docs(spark, rows)
+    orders = [rules.cascade(table.repartition(n, "doc_id"), "text", "x")[1] for n in (4, 4)]
+    assert orders[0] == orders[1] and set(orders[0]) == {r.name for r in rules.RULES} and orders[0].index("few_words") < orders[0].index("few_letters")
+    clash = table.withColumns({"rejected_by": F.lit("a"), "__rejected_by": F.lit("b"), "Rejected_By_": F.lit("c")})
+    kept = rules.filter_documents(clash)
+    assert kept.columns == clash.columns and kept.count() == 2500 and kept.select("rejected_by").distinct().count() == 1
+    assert {r["kept"] for r in rules.judge(clash).where("doc_id % 2 = 0").collect()} == {True}
 
 
 @pytest.fixture(scope="module")
