@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, remove, scratch, slices
+from .common import cut, free, remove, scratch, slices
 
 #: Hashed features of each view.
 TEXT_BITS, META_BITS = 15, 10
@@ -35,7 +36,7 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     counts = Counter(words)
     for w, c in counts.items():
-        k = _slot(w[:40], TEXT_BITS)
+        k = _slot(w, TEXT_BITS)
         found[k] = found.get(k, 0.0) + (1.0 if c == 1 else 1.0 + np.log(c))
     norm = np.sqrt(sum(v * v for v in found.values())) or 1.0
     shapes = {
@@ -56,9 +57,9 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def meta_features(source, lang, n_chars) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights of the row's metadata: source, language, size class, and pairs of them."""
-    size = "?" if n_chars is None else str(int(np.log2(max(1, n_chars))))
-    names = [f"s={source}", f"l={lang}", f"n={size}", f"s={source}|l={lang}", f"l={lang}|n={size}"]
+    """Slots and weights of the row's metadata: source, language, coarse and fine size class, and pairs of them."""
+    coarse, fine = ("?", "?") if n_chars is None else (str(int(k * np.log2(max(1, n_chars)))) for k in (1, 4))
+    names = [f"s={source}", f"l={lang}", f"n={coarse}", f"m={fine}", f"s={source}|l={lang}", f"l={lang}|n={coarse}", f"l={lang}|m={fine}"]
     return np.array([_slot(x, META_BITS) for x in names], np.int32), np.ones(len(names), np.float32)
 
 
@@ -365,34 +366,39 @@ def _gradients(taught: DataFrame, views: tuple[View, View]) -> list[tuple[np.nda
     return [(g[:-1], float(g[-1])) for g in out]
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", label: str = "quality", **bounds) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", label: str = "quality", fit_on: DataFrame | None = None, **bounds) -> DataFrame:
     """Quality of every document: the id, text_score, meta_score, score (calibrated probabilities) and keep (score >= threshold).
 
-    The score adds the views' calibrated logits and takes away the prior that both hold. Of the labelled rows at most
-    MAX_LABELLED are fitted on; all others take part in the exchange, and every whole text is scored. Null and empty texts have a class of their own among the
-    features; null or missing metadata count as a value; null ids and repeated rows keep a row each; repeated labels are
-    averaged; without labels of two classes all scores are null and every document is kept.
+    The score adds the views' calibrated logits and takes away the prior that both hold. fit_on: the documents that the labels
+    are joined to and the exchange runs over (default: docs); a table that was filtered before may have lost one class. Of
+    the labelled rows at most MAX_LABELLED are fitted on; all others take part in the exchange, and every whole text is
+    scored. Null and empty texts have a class of their own among the features; null or missing metadata count as a value;
+    null ids and repeated rows keep a row each; repeated labels are averaged; without labels of two classes there is a
+    warning, all scores are null and every document is kept; an empty table gives no rows.
     """
-    view = _judged(docs, labels, id_col, label, bounds).alias("view")
+    view = _judged(docs, labels, id_col, label, docs if fit_on is None else fit_on, bounds).alias("view")
     source = docs.select(F.col(f"`{id_col}`"), view)
     return source.select(F.col(f"`{id_col}`"), "view.text_score", "view.meta_score", "view.score", _kept("view", threshold).alias("keep"))
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", label: str = "quality", **bounds) -> DataFrame:
-    """The documents that `score` keeps, with all their columns."""
-    view = "__view"
-    while view in docs.columns:
-        view += "_"
-    return docs.withColumn(view, _judged(docs, labels, id_col, label, bounds)).where(_kept(view, threshold)).drop(view)
+def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", label: str = "quality", fit_on: DataFrame | None = None, **bounds) -> DataFrame:
+    """The documents that `score` keeps, with all their columns, whatever these are called.
+
+    What holds for nulls, empty texts, repeated rows, missing classes and empty tables there holds here; see fit_on, too.
+    """
+    view = free(docs, "view")
+    return docs.withColumn(view, _judged(docs, labels, id_col, label, docs if fit_on is None else fit_on, bounds)).where(_kept(view, threshold)).drop(view)
 
 
 def _kept(view: str, threshold: float) -> Column:
     return F.coalesce(F.col(f"{view}.score") >= threshold, F.lit(True))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, label: str, bounds: dict) -> Column:
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, label: str, fit_on: DataFrame, bounds: dict) -> Column:
     """A struct of the three scores, from a model fitted now."""
-    model = fit(docs, labels, id_col, label, **bounds)
+    model = fit(fit_on, labels, id_col, label, **bounds)
+    if model is None:
+        warnings.warn("the labels have no two classes among the documents: every document is kept", stacklevel=3)
     held = docs.sparkSession.sparkContext.broadcast(None if model is None else (*model[:2], model[2]))  # two weight vectors of fixed size
 
     @F.pandas_udf("text_score double, meta_score double, score double")

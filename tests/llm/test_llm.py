@@ -122,6 +122,22 @@ def test_co_training_uses_the_whole_pool(spark):
     assert all((a.w == b.w).all() and a.b == b.b for a, b in zip(model[:2], again[:2]))
 
 
+def test_co_training_learns_from_the_whole_table(spark):
+    """Filtered documents hold no bad labels any more; fitted on the table before, the classifier still finds bad rows."""
+    r = np.random.default_rng(4)
+    bad = lambda: " ".join(r.choice("zz1 qq## 77$ buy!! click >>> win$$$ free".split(), 80))
+    good = lambda: " ".join(r.choice(WORDS.split(), 80))
+    raw = docs(spark, [(i, good() if i % 4 else bad()) for i in range(800)])
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 800, 2)], "doc_id long, quality int")
+    left = raw.where("doc_id % 4 > 0 or doc_id > 750").withColumns({"view": F.lit(1), "view_": F.lit(2)})
+    kept = cotrain.filter_documents(left, labels, fit_on=raw)
+    assert kept.columns == left.columns and sorted(x["doc_id"] for x in kept.collect()) == [i for i in range(800) if i % 4]
+    with pytest.warns(UserWarning):
+        assert cotrain.filter_documents(left, labels.where("quality = 1")).count() == left.count()
+    long = "same" * 50
+    assert (cotrain.text_features(long + "a")[0] != cotrain.text_features(long + "b")[0]).any()
+
+
 def test_packing(spark, texts):
     path = bpe.vocabulary_path("byte_bpe_50k.json")
     library = bpe.vocabulary(path).library
