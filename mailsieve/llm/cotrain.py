@@ -29,31 +29,43 @@ def _slot(s: str, bits: int) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
 
 
+class Words:
+    """What words contribute, remembered for the last ones seen: slot, characters, and those in words of letters, capitals, digits, mixed signs, signs alone."""
+
+    def __init__(self, limit: int = 200_000):
+        self.limit, self.at = limit, {}
+        self.rows = np.zeros((1 << 10, 7), np.int64)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        known = self.at
+        if len(known) + len(words) > self.limit:
+            known.clear()
+        for w in words:
+            if w not in known:
+                k, n = len(known), len(w)
+                if k == len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows[k] = _slot(w, TEXT_BITS), n, n * w.isalpha(), n * w.isupper(), n * w.isdigit(), n * (not w.isalnum() and not w[:-1].isalpha()), n * (not any(map(str.isalnum, w)))
+                known[w] = k
+        return self.rows[[known[w] for w in words]]
+
+
+_WORDS = Words()
+STEPS = (0.05, 0.2, 0.5)
+SHAPES = ("letters", "upper", "digits", "mixed", "signs", "distinct", "top", "long", "none", "word")
+_SHAPE_SLOTS = np.array([_slot(f"\0{name}{end}", TEXT_BITS) for name in SHAPES for end in (*(f">{x}" for x in STEPS), "")], np.int32)
+
+
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights of a whole text: its words (log counts), their shapes, and how often they repeat; unit length."""
-    words = (text or "").split()
-    found: dict[int, float] = {}
-    n = len(words)
-    counts = Counter(words)
-    for w, c in counts.items():
-        k = _slot(w, TEXT_BITS)
-        found[k] = found.get(k, 0.0) + (1.0 if c == 1 else 1.0 + np.log(c))
-    norm = np.sqrt(sum(v * v for v in found.values())) or 1.0
-    shapes = {
-        "letters": sum(len(w) for w in words if w.isalpha()), "upper": sum(len(w) for w in words if w.isupper()), "digits": sum(len(w) for w in words if w.isdigit()),
-        "mixed": sum(len(w) for w in words if not w.isalnum() and not w[:-1].isalpha()), "signs": sum(len(w) for w in words if not any(map(str.isalnum, w))),
-    }
-    chars = sum(map(len, words)) or 1
-    slots, weights = [*found], [v / norm for v in found.values()]
-    extra = {name: v / chars for name, v in shapes.items()}
-    extra |= {"distinct": len(counts) / max(1, n), "top": max(counts.values(), default=0) / max(1, n), "long": min(1.0, n / 1000), "none": float(n == 0), "word": min(2.0, chars / max(1, n) / 10)}
-    for name, v in extra.items():
-        for step in (0.05, 0.2, 0.5):
-            slots.append(_slot(f"\0{name}>{step}", TEXT_BITS))
-            weights.append(float(v > step))
-        slots.append(_slot(f"\0{name}", TEXT_BITS))
-        weights.append(v)
-    return np.array(slots, np.int32), np.array(weights, np.float32)
+    """Slots and weights of a whole text: its words (log counts, unit length), their shapes, and how often they repeat."""
+    counts = Counter((text or "").split())
+    n, found = sum(counts.values()), _WORDS.of([*counts])
+    times = np.fromiter(counts.values(), np.int64, len(counts))
+    logs = 1.0 + np.log(times)
+    chars = int(times @ found[:, 1])
+    shapes = [*(times @ found[:, 2:] / max(1, chars)), len(counts) / max(1, n), times.max(initial=0) / max(1, n), min(1.0, n / 1000), float(n == 0), min(2.0, max(1, chars) / max(1, n) / 10)]
+    extra = [float(x) for v in shapes for x in (*(v > step for step in STEPS), v)]
+    return np.concatenate([found[:, 0].astype(np.int32), _SHAPE_SLOTS]), np.concatenate([logs / max(1e-9, np.sqrt((logs * logs).sum())), extra]).astype(np.float32)
 
 
 def meta_features(source, lang, n_chars) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +257,7 @@ def _calibrated(views: tuple[View, View], data: tuple[Rows, Rows], y: np.ndarray
     return float(((joint > 0) == (y[held] > 0.5)).mean())
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", rounds: int = 3, confident: float = 0.9, share: float = 0.1, steps: int = 12, **bounds) -> tuple[View, View, float, dict] | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", rounds: int = 3, confident: float = 0.9, share: float = 0.1, steps: int = 12, at: str | None = None, **bounds) -> tuple[View, View, float, dict] | None:
     """Co-trained views of a table, or None if the labels have no two classes: both views, the prior logit, figures.
 
     Both views are first fitted in one task on the labelled rows, one a labelled id, a fifth of which is held out for
@@ -254,13 +266,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     and in the proportion of the classes, as labels; a histogram of the scores tells where to stop, and hashes of the rows
     which of equal scores to take. Then AdaGrad goes on for `steps` steps over labelled and handed rows; each sums the
     gradients, of fixed width, over the partitions. The driver holds two weight vectors. Results don't depend on the order
-    or partitions of rows.
+    or partitions of rows. Features are computed once and written to `at` (default: a new path in the shared folder).
     """
     spark = docs.sparkSession
     picked = labelled_ids(docs, labels, id_col, label, **bounds)
-    raw = _raw(docs, id_col)
-    one = raw.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("r"), F.first("y").alias("y"), F.first("n").alias("n"))
-    known = cut(_features(one.select("r.*", "y", "n"), "y", "n"))
+    if at is None:
+        at = scratch(spark, "cotrain-features")
+    source = _raw(docs, id_col).join(F.broadcast(picked), "id", "left").withColumn("tie", F.xxhash64("id", "text", "source", "lang", "n_chars"))
+    _features(source, "tie", "id", "y", "n").write.parquet(at)  # once for all passes
+    rows = spark.read.parquet(at)
+    names = ("ts", "tw", "ms", "mw")
+    known = cut(rows.where("y is not null").groupBy("id").agg(F.min(F.struct(*names)).alias("r"), F.first("y").alias("y"), F.first("n").alias("n")).select("y", "n", "r.*"))
 
     def start(data: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray):
         if len({*y}) < 2:
@@ -280,9 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     if not (found := _on_known(known, start)):
         return None
     views, prior, figures = found
-    pool_at = scratch(spark, "cotrain-pool")
-    _features(raw.join(F.broadcast(picked.select("id")), "id", "left_anti").withColumn("tie", F.xxhash64("id", "text", "source", "lang", "n_chars")), "tie").write.parquet(pool_at)
-    pool = spark.read.parquet(pool_at)
+    pool = rows.where("y is null").select("tie", *names)
     size, good, past = pool.count(), 1 / (1 + np.exp(-prior)), []
     figures["pool"] = size
     for _ in range(rounds if size else 0):
@@ -298,7 +312,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
                 views[k].step(grad / sums[k], grad_b / sums[k])
         remove(spark, taught_at)
         views, figures["accuracy"] = _on_known(known, adjust)
-    remove(spark, pool_at)
     return *views, prior, figures
 
 
@@ -376,9 +389,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: st
     null ids and repeated rows keep a row each; repeated labels are averaged; without labels of two classes there is a
     warning, all scores are null and every document is kept; an empty table gives no rows.
     """
-    view = _judged(docs, labels, id_col, label, docs if fit_on is None else fit_on, bounds).alias("view")
-    source = docs.select(F.col(f"`{id_col}`"), view)
-    return source.select(F.col(f"`{id_col}`"), "view.text_score", "view.meta_score", "view.score", _kept("view", threshold).alias("keep"))
+    if fit_on is None:  # what was fitted on is what is scored: its features are there
+        at = scratch(docs.sparkSession, "cotrain-features")
+        model = _fitted(docs, labels, id_col, label, at=at, **bounds)
+        rows = _scored(docs.sparkSession.read.parquet(at), model, docs.schema[id_col].dataType.simpleString()).withColumnRenamed("id", id_col)
+    else:
+        rows = docs.select(F.col(f"`{id_col}`"), _judged(docs, _fitted(fit_on, labels, id_col, label, **bounds)).alias("view")).select(F.col(f"`{id_col}`"), "view.*")
+    return rows.withColumn("keep", _kept(F.col("score"), threshold))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", label: str = "quality", fit_on: DataFrame | None = None, **bounds) -> DataFrame:
@@ -387,35 +404,59 @@ def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     What holds for nulls, empty texts, repeated rows, missing classes and empty tables there holds here; see fit_on, too.
     """
     view = free(docs, "view")
-    return docs.withColumn(view, _judged(docs, labels, id_col, label, docs if fit_on is None else fit_on, bounds)).where(_kept(view, threshold)).drop(view)
+    model = _fitted(docs if fit_on is None else fit_on, labels, id_col, label, **bounds)
+    return docs.withColumn(view, _judged(docs, model)).where(_kept(F.col(f"{view}.score"), threshold)).drop(view)
 
 
-def _kept(view: str, threshold: float) -> Column:
-    return F.coalesce(F.col(f"{view}.score") >= threshold, F.lit(True))
+def _kept(score: Column, threshold: float) -> Column:
+    return F.coalesce(score >= threshold, F.lit(True))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, label: str, fit_on: DataFrame, bounds: dict) -> Column:
-    """A struct of the three scores, from a model fitted now."""
-    model = fit(fit_on, labels, id_col, label, **bounds)
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, label: str, **options) -> tuple[View, View, float] | None:
+    model = fit(docs, labels, id_col, label, **options)
     if model is None:
         warnings.warn("the labels have no two classes among the documents: every document is kept", stacklevel=3)
-    held = docs.sparkSession.sparkContext.broadcast(None if model is None else (*model[:2], model[2]))  # two weight vectors of fixed size
+    return model and (*model[:2], model[2])
+
+
+def _probabilities(model: tuple[View, View, float], margins: list[np.ndarray]) -> list[np.ndarray]:
+    """Scores of the text view, the metadata view and both."""
+    u, v = (view.logit(m) for view, m in zip(model, margins))
+    return [1 / (1 + np.exp(-z)) for z in (u, v, u + v - model[2])]
+
+
+def _scored(rows: DataFrame, model: tuple[View, View, float] | None, id_type: str) -> DataFrame:
+    """id and the three scores of rows of features."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            if held.value is None:
+                scores = [pa.nulls(batch.num_rows, pa.float64())] * 3
+            else:
+                scores = [*map(pa.array, _probabilities(held.value, [x.times(v.w) + v.b for x, v in zip(_rows(batch), held.value)]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *scores], names=["id", "text_score", "meta_score", "score"])
+
+    return rows.select("id", "ts", "tw", "ms", "mw").mapInArrow(run, f"id {id_type}, text_score double, meta_score double, score double")
+
+
+def _judged(docs: DataFrame, model: tuple[View, View, float] | None) -> Column:
+    """A struct of the three scores."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors of fixed size
 
     @F.pandas_udf("text_score double, meta_score double, score double")
     def judge(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         names, n = ("text_score", "meta_score", "score"), len(text)
         if held.value is None:
             return pd.DataFrame({c: pd.array([None] * n, "Float64") for c in names})
-        a, b, prior = held.value
+        a, b, _ = held.value
         odds = []
         for t, s, x, k in zip(text, source, lang, n_chars, strict=True):
             slots, weights = text_features(t)
             other, ones = meta_features(s, x, None if pd.isna(k) else int(k))
             odds.append((float((a.w[slots] * weights).sum() + a.b), float((b.w[other] * ones).sum() + b.b)))
         odds = np.array(odds).reshape(n, 2)
-        u, v = a.logit(odds[:, 0]), b.logit(odds[:, 1])
-        p = lambda z: 1 / (1 + np.exp(-z))
-        return pd.DataFrame(dict(zip(names, (p(u), p(v), p(u + v - prior)), strict=True)))
+        return pd.DataFrame(dict(zip(names, _probabilities(held.value, [odds[:, 0], odds[:, 1]]), strict=True)))
 
     return judge(*(_column(docs, name, kind) for name, kind in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))))
 
