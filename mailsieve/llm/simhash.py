@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import itertools
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, only, slices
+from .common import cut, free, join_hot, only, slices
 from .graph import components
 
 SEED = 42
@@ -56,30 +57,28 @@ def fingerprint(hashes: list[int], words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", content: bool = False, distinct: bool = False) -> DataFrame:
-    """The id, fp (array of `words` longs) and, with `content`, a 128-bit hash of the words (equal texts up to case and spacing), of every whole text.
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), distinct: bool = False) -> DataFrame:
+    """The id, fp (array of `words` longs) of every whole text, and the columns to keep.
 
     distinct: each different shingle counts once, as in a Jaccard similarity of sets; otherwise repeats count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            found = (shingle_hashes(t, shingle) for t in texts)
+            found = (shingle_hashes(t, shingle) for t in batch.column(1).to_pylist())
             fps = [fingerprint([*{*h}] if distinct else h, words).view(np.int64) for h in found]
-            columns, names = [batch.column(0), pa.array(fps, pa.list_(pa.int64()))], ["id", "fp"]
-            if content:
-                columns.append(pa.array([xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts], pa.binary()))
-                names.append("content")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), *batch.columns[2:]], names=["id", "fp", *keep])
 
-    source = only(docs, id_col, text_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, fp array<bigint>" + ", content binary" * content)
+    source = only(docs, id_col, text_col, *keep)
+    kept = "".join(f", `{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, fp array<bigint>{kept}")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of every row of a with every row of b (rows of 64-bit words)."""
     far = np.bitwise_count(a[:, 0, None] ^ b[None, :, 0])
+    if a.shape[1] > 3:
+        far = far.astype(np.uint16)
     for k in range(1, a.shape[1]):
         far += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
     return far
@@ -106,17 +105,19 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
     shift = 0 if own else len(a)
     group = np.arange(len(a) if own else len(a) + len(b))
     found = []
-    for at in range(0, len(a), 256):
-        near = distances(a[at : at + 256], b) <= radius
-        if own:
-            near &= np.arange(len(b))[None, :] > np.arange(at, at + len(near))[:, None]
-        for i in np.flatnonzero(near.any(1)):
-            hits = np.flatnonzero(near[i])
-            groups, first = np.unique(group[shift + hits], return_index=True)
-            new = groups != group[at + i]
-            found += [(int(at + i), int(shift + hits[f])) for f in first[new]]
-            if new.any():
-                group[np.isin(group, groups)] = group[at + i]
+    for start in range(0, len(b), 4096):  # blocks of a size that stays in a core's cache
+        part = b[start : start + 4096]
+        for at in range(0, min(len(a), start + len(part)) if own else len(a), 64):
+            near = distances(a[at : at + 64], part) <= radius
+            if own and at + 64 > start:
+                near &= np.arange(start, start + len(part))[None, :] > np.arange(at, at + len(near))[:, None]
+            for i in np.flatnonzero(near.any(1)):
+                hits = shift + start + np.flatnonzero(near[i])
+                new = hits[group[hits] != group[at + i]]
+                if len(new):
+                    groups, first = np.unique(group[new], return_index=True)
+                    found += [(int(at + i), int(new[f])) for f in first]
+                    group[np.isin(group, groups)] = group[at + i]
     return found
 
 
@@ -170,8 +171,7 @@ def tile_pairs(fps: DataFrame, radius: int, words: int, blocks: int, tile: int |
     pairs = sum(parts[i] * parts[j] if i != j else parts[i] * (parts[i] + 1) // 2 for i, j in met)
     work = sum(held[i] * held[j] for i, j in met) * words
 
-    @F.udf("array<struct<c1:int,p1:int,c2:int,p2:int,side:int>>")
-    def partners(cell, part):
+    def meetings(cell: int, part: int) -> list[tuple[int, int, int, int, int]]:
         out = []
         for i, j, side in meets.get(cell, ()):
             if i == j:
@@ -182,6 +182,10 @@ def tile_pairs(fps: DataFrame, radius: int, words: int, blocks: int, tile: int |
                 out += [(i, p, j, part, 1) for p in range(parts[i])]
         return out
 
+    @F.pandas_udf("array<struct<c1:int,p1:int,c2:int,p2:int,side:int>>")
+    def partners(cell: pd.Series, part: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("c1", "p1", "c2", "p2", "side"), x)) for x in meetings(c, p)] for c, p in zip(cell.tolist(), part.tolist())])
+
     @F.pandas_udf("int")
     def cell_of(c: pd.Series) -> pd.Series:
         return c.map(cells).astype("int32")
@@ -196,7 +200,7 @@ def tile_pairs(fps: DataFrame, radius: int, words: int, blocks: int, tile: int |
     tiles = cut(rows.select("cell", "part", column("node"), *[column(f"w{k}") for k in range(words)]))
     spread = tiles.withColumn("to", F.explode(partners("cell", "part"))).select("to.c1", "to.p1", "to.c2", "to.p2", F.struct("to.side", "node", *[f"w{k}" for k in range(words)]).alias("x"))
     keys = ["c1", "p1", "c2", "p2"]
-    tasks = int(max(1, min(pairs, 10_000, 24 + work // 500_000_000)))
+    tasks = int(max(1, min(pairs, 24 + work // 500_000_000)))
     return spread.repartition(tasks, *keys).groupBy(*keys).agg(F.collect_list("x").alias("sides"))
 
 
@@ -235,13 +239,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     null ids keep their row but name no component (null if no member has an id); repeated rows keep one row each.
     """
     found = cut(fingerprints(docs, shingle, 1, id_col, text_col))
-    nodes = cut(found.groupBy(F.get("fp", 0).alias("node")).agg(F.min(id_col).alias("least")))
+    nodes = cut(found.groupBy(F.get("fp", 0).alias("node")).agg(F.min(id_col).alias("least"), F.count("*").alias("n")))
     joined = components(links(nodes.select("node", F.array("node").alias("fp")), radius))
     placed = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(placed.join(least, "component").select("node", "component_id"))
+    named = cut(placed.join(least, "component").select("node", "component_id", "n"))
     own = found.select(F.col(f"`{id_col}`"), F.get("fp", 0).alias("node"))
-    return own.join(named, "node").select(id_col, F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(own, named, "node", "n", found.count()).select(id_col, F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def check_block(group: np.ndarray, left: np.ndarray | None, fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -346,34 +350,46 @@ def similar_groups(members: DataFrame, radius: int, similarity: float, words: in
     return first.where("parts = 1").select("node", "label").unionByName(placed)
 
 
-def dedupe(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, radius: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near-duplicates; all columns stay.
+def _words_digest(text: Column) -> Column:
+    """A digest of a text's words: equal for texts that are equal but for ASCII case and white space."""
+    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.md5(F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " ")))
+
+
+def dedupe(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, radius: int = 66, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Keeps one document, that with the smallest id, of each group of near-duplicates; all columns stay, whatever their names.
 
     Documents are linked if their fingerprints of 64 * words bits differ in at most `radius` bits and the Jaccard
     similarity of their sets of `shingle`-word shingles is at least `similarity`, which is checked on whole texts; the
-    fingerprints are of these sets too, so a line repeated more often in one copy doesn't part it from another. With 128 bits
-    and radius 32 a pair at similarity 0.8 (19 differing bits expected, deviation 4) is missed about once in 1000 times.
-    Texts equal but for case and spacing are one node. Texts without words are copies of each other. Ids are integers;
-    rows with a null id stay as they are; of repeated ids one row stays. An empty table stays empty.
+    fingerprints are of these sets too, so a line repeated more often in one copy doesn't part it from another. Of 256 bits a
+    pair at similarity 0.8 differs in 39, with a deviation of 6: at radius 66 about one in a million is missed; texts that
+    have nothing in common differ in 128, with a deviation of 8, so that links by chance stay rare among billions.
+
+    Nodes are texts, not ids: rows whose texts are equal but for case and spacing are one node, and rows that share an id
+    but no text are two. Null and empty texts, and texts without words, are copies of each other. Ids are of any orderable
+    type, a null id is larger than all; of rows with the same id and words one stays, the same on every run unless
+    they are equal in all columns. An empty table stays empty.
     """
-    named = docs.where(F.col(f"`{id_col}`").isNotNull())
-    found = cut(fingerprints(named, shingle, words, id_col, text_col, content=True, distinct=True))
-    nodes = cut(found.groupBy("content", "fp").agg(F.min(id_col).cast("long").alias("node")))
+    content, row = free(docs, "content"), free(docs, "row")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keyed = docs.withColumns({content: _words_digest(F.col(f"`{text_col}`")), row: F.xxhash64(*hashed)})
+    found = fingerprints(keyed, shingle, words, id_col, text_col, (content, row), distinct=True)
+    best = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row"))).alias("best")
+    nodes = cut(found.groupBy(F.col(content).alias("content"), "fp").agg(best).withColumn("node", F.monotonically_increasing_id()))
     near = components(links(nodes.select("node", "fp"), radius, words, blocks=1))
-    kept = nodes.select("node")
+    kept = nodes
     if not near.isEmpty():
-        source = only(named, id_col, text_col)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "set"])
-
-        few = source.join(near, source[id_col] == near["node"], "left_semi").dropDuplicates([id_col]).mapInArrow(run, "node long, set binary")
-        members = near.join(nodes.select("node", "fp"), "node").join(few, "node").select("node", "component", "fp", "set")
-        copies = cut(similar_groups(members, radius, similarity, words).where("node <> label").select("node"))
-        kept = kept.join(copies, "node", "left_anti")
-    held = "__node"
-    while held in docs.columns:
-        held += "_"
-    one = named.join(kept.withColumnRenamed("node", held), F.col(f"`{id_col}`") == F.col(held), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "set"])
+
+        grouped = near.join(nodes, "node")
+        wanted = grouped.select("content", F.col("best.row").alias("row"), "node")
+        source = keyed.select(F.col(content).alias("content"), F.col(row).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        few = source.join(wanted, ["content", "row"]).select("node", "text").mapInArrow(sets, "node long, set binary").groupBy("node").agg(F.min("set").alias("set"))
+        groups = similar_groups(grouped.select("node", "component", "fp").join(few, "node"), radius, similarity, words).join(nodes.select("node", "best"), "node")
+        stays = groups.groupBy("label").agg(F.min(F.struct("best", "node")).alias("s")).select(F.col("s.node").alias("node"))
+        kept = nodes.join(cut(groups.select("node").join(stays, "node", "left_anti")), "node", "left_anti")
+    kept = kept.select(F.col("content").alias(content), F.col("best.row").alias(row))
+    return keyed.join(kept, [content, row], "left_semi").dropDuplicates([content, row]).drop(content, row)

@@ -219,6 +219,17 @@ def test_dedupe_equals_brute_force(spark, monkeypatch, block):
     assert {r["doc_id"] for r in found.collect()} == want and found.columns == docs(spark, []).columns
     assert simhash.dedupe(empty(spark)).count() == 0
     assert sorted(str(r["doc_id"]) for r in simhash.dedupe(edge(spark)).collect()) == ["1", "4", "6", "7", "None"]
+    clash = docs(spark, rows).withColumns({"row": F.lit(1), "fp": F.lit("a"), "best": F.lit(2), "m": F.create_map(F.lit("k"), F.lit(1))})
+    assert {r["doc_id"] for r in simhash.dedupe(clash).collect()} == want and simhash.dedupe(clash).columns == clash.columns
+
+
+def test_dedupe_of_repeated_and_null_ids(spark):
+    """Nodes are texts: unlike texts under one id both stay, and null ids take part."""
+    one, two, three = (" ".join(f"{w}{k}" for w in WORDS.split() for _ in range(2)) for k in "abc")
+    rows = [(1, one), (1, two), (1, one), (2, one.upper()), (None, two), (None, three), (None, three), (3, three + " end")]
+    got = sorted((str(r["doc_id"]), r["text"][:6]) for r in simhash.dedupe(docs(spark, rows)).collect())
+    assert got == [("1", one[:6]), ("1", two[:6]), ("3", three[:6])]
+    assert simhash.dedupe(docs(spark, [("x", "a")][:0])).count() == 0
 
 
 def test_dedupe_of_repeated_lines(spark):
