@@ -87,12 +87,12 @@ def free(docs: DataFrame, name: str) -> str:
 HOT_ROWS, HOT_KEYS = 10_000, 100_000
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Inner join of rows with a table of one row a key, which has the number of rows of the key in column n, out of `total`.
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with a table of one row a key, which has the number of rows of the key in column n, out of `total`.
 
     Keys with more than HOT_ROWS rows and than a HOT_KEYS-th of all rows are broadcast, HOT_KEYS at most, so that their rows stay where
     they are; the rows of all other keys are shuffled. Column n goes. rows is read twice.
     """
     hot = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
     few = F.broadcast(keyed.where(hot).drop(n))
-    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(keyed.where(~hot).drop(n), key))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(keyed.where(~hot).drop(n), key, how))

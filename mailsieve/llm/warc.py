@@ -7,16 +7,20 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, remove, scratch, slices
+from .common import cut, join_hot, only, remove, scratch, slices
 
+#: Digests that occur twice, some 100 bytes each, up to which they are broadcast; bits of the filter for more (16 MB).
+MOST_TWICE, MOST_BITS = 100_000, 1 << 27
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long"
 
@@ -181,19 +185,49 @@ def read_archives(manifest: DataFrame, uri: str, id_type: str = "long", payloads
     return manifest.select("path").mapInArrow(run, f"page_id {id_type}, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}, url string" + ", payload binary" * payloads)
 
 
+def _filter(digests: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A condition that holds for all the digests and for few others: a Bloom filter of at most MOST_BITS bits, broadcast."""
+    bits = min(MOST_BITS, 1 << max(10, (12 * n).bit_length()))
+    places = lambda digest: [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(bits)) for k in range(4)]
+    spread = digests.select(F.explode(F.array(*places(F.col("digest")))).alias("p"))
+    words = spread.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("b")).toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[words["w"].to_numpy()] = words["b"].to_numpy()
+    shared = digests.sparkSession.sparkContext.broadcast(held.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def among(*at: pd.Series) -> pd.Series:
+        out = np.ones(len(at[0]), bool)
+        for p in at:
+            p = p.to_numpy().astype(np.uint64)
+            out &= (shared.value[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)) == 1
+        return pd.Series(out)
+
+    return lambda digest: among(*places(digest))
+
+
 def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """Adds digest, refers_to and record_type: of equal payloads of `least` bytes or more the smallest page_id is the response.
 
-    Only digests that occur twice join; that join moves ids and digests, not payloads. Rows without an id refer to the
-    smallest id among equal payloads (all are responses if none has one); a repeated row of the response is a response.
+    What is decided on are ids and digests. Up to MOST_TWICE digests that occur twice are broadcast: no payload moves.
+    More of them become a Bloom filter: pages that it leaves out stay where they are, the others are joined, those of hot
+    digests without a shuffle. Rows without an id refer to the smallest id among equal payloads (all are responses if
+    none has one); a repeated row of the response is a response; an empty table stays empty.
     """
     source = only(pages, "page_id", "url", "html")
     known = source.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
-    ids = known.where(F.octet_length("html") >= least).select("page_id", "digest")
-    first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    again = ids.join(first, "digest").where("not (page_id <=> first)").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
-    joined = known.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    return joined.select("page_id", "url", "html", "digest", "refers_to", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"))
+    long = F.coalesce(F.octet_length("html") >= least, F.lit(False))
+    ids = known.where(long).select("page_id", "digest")
+    first = cut(ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"))
+    twice = first.count()
+    if twice <= MOST_TWICE:
+        joined = known.join(F.broadcast(first.drop("n")), "digest", "left")
+    else:
+        marked = known.withColumn("maybe", long & _filter(first, twice)(F.col("digest")))
+        rest = marked.where("maybe").drop("maybe")
+        joined = join_hot(rest, first, "digest", "n", first.agg(F.sum("n")).first()[0], "left").unionByName(marked.where("not maybe").drop("maybe").withColumn("first", F.lit(None).cast(pages.schema["page_id"].dataType)))
+    again = long & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return joined.select("page_id", "url", "html", "digest", F.when(again, F.col("first")).alias("refers_to"), F.when(again, "revisit").otherwise("response").alias("record_type"))
 
 
 def archive_round_trip(pages: DataFrame, uri: str | None = None, level: int = 6) -> DataFrame:

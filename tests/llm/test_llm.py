@@ -262,6 +262,26 @@ def test_warc_parts(spark, tmp_path):
         list(warc.records_of(iter([one[:-9]])))
 
 
+def test_revisits_by_filter(spark, monkeypatch):
+    """Many repeated payloads: by broadcast, by filter and join, and with hot digests the same decisions; a long payload survives."""
+    rows = [(i, "u", f"{'x' * 100}{i % 400 if i % 3 else 7}", i) for i in range(3000)] + [(3000 + i, "u", f"{'y' * 120}{i}", i) for i in range(500)] + [(9000, "u", "z" * 3_000_000, 0), (9001, None, None, 1), (9002, "u", "short", 1), (9003, "u", "short", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    decided = lambda: sorted((r["page_id"], -1 if r["refers_to"] is None else r["refers_to"], r["record_type"]) for r in warc.with_revisits(pages).select("page_id", "refers_to", "record_type").collect())
+    want = decided()
+    seen = {}
+    for i, _, html_, _ in rows:
+        seen.setdefault(html_, i)
+    assert want == [(i, seen[h] if h and len(h) >= 100 and seen[h] != i else -1, "revisit" if h and len(h) >= 100 and seen[h] != i else "response") for i, _, h, _ in rows]
+    monkeypatch.setattr(warc, "MOST_TWICE", 0)
+    assert decided() == want
+    from mailsieve.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    assert decided() == want
+    got = {r["page_id"]: r for r in warc.archive_round_trip(pages).collect()}
+    assert got[9000]["payload_bytes"] == 3_000_000 and len(got) == len(rows)
+
+
 def test_main_text():
     page = '<html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy now and save a lot of money today.</div><article><h1>Title &amp; more</h1><p>First  line\nof text. ' + "It goes on for a while with many words in it. " * 4 + '<p>Second.</article><section class="comments"><p>I do not agree with this at all.</p></section><footer>All rights reserved</footer></body>'
     got = html.main_text(page).split("\n\n")
