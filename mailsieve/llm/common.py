@@ -29,6 +29,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For sessions of one's own (the queries and the pipeline): rows of an Arrow batch, to keep JVM and workers small. Operators leave sessions alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors reach: spark.checkpoint.dir. Only a local session without it gets one of its own."""
     context = spark.sparkContext

@@ -32,7 +32,7 @@ def _slot(s: str, bits: int) -> int:
 class Words:
     """What words contribute, remembered for the last ones seen: slot, characters, and those in words of letters, capitals, digits, mixed signs, signs alone."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 50_000):
         self.limit, self.at = limit, {}
         self.rows = np.zeros((1 << 10, 7), np.int64)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
 from .bpe import vocabulary_path
-from .common import table
+from .common import small_batches, table
 from .cotrain import score
 from .html import extract
 from .licences import SCAN_SQL, scan
@@ -57,7 +59,17 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op5_co_training, op6_packing, op7_simhash, op8_licences, op9_main_text, op10_neighbours)}
+
+
+def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op5_co_training, op6_packing, op7_simhash, op8_licences, op9_main_text, op10_neighbours)}
 SQL = {
     "op1_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages),
