@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailsieve.llm import cotrain, packing, rules, simhash
 from mailsieve.llm.bpe import vocabulary_path
-from mailsieve.llm.common import remove, scratch, table
+from mailsieve.llm.common import remove, scratch, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects. Null and empty texts go; repeated rows are judged alike; an empty table stays empty."""
+    small_batches(spark)
     return rules.filter_documents(docs)
 
 
@@ -20,6 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     It is fitted on the table documents as it was before any stage, since the rules leave no row that is labelled bad. Nulls in any
     column count as values; without labels of two classes there is a warning and every document stays.
     """
+    small_batches(spark)
     return cotrain.filter_documents(docs, table(spark, sf_dir, "labels"), threshold=0.5, fit_on=table(spark, sf_dir, "documents"))
 
 
@@ -28,11 +30,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     That with the smallest id stays (a null id is the largest); texts without words are copies of each other.
     """
+    small_batches(spark)
     return simhash.dedupe(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All remaining documents as pieces of sequences of 2048 tokens; null and empty texts are a piece of one token."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), capacity=2048)
 
 
