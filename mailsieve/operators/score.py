@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +32,25 @@ QUALITY = (
 )
 SPECIAL = r"[^\w\s.,;:!?'\"-]"
 THRESHOLD = 0.85
+FACTORS = ("length", "noise", "quality", "readability", "completeness")
+
+
+#: Text without any of these has no match of the pattern: signs as they are, letters in lower case and such that fold to no other letter.
+GUARDS = {
+    NOISE[0]: ("<",), NOISE[1]: ("@",), NOISE[2]: ("://",), NOISE[4]: (">",), NOISE[5]: ("forward",), NOISE[6]: ("nal me",), NOISE[7]: ("nt from my",), NOISE[8]: ("conf", "cla", "not"),
+    QUALITY[1]: ("\n\n",), QUALITY[3]: ("?", "!"), QUALITY[4]: ("h", "dear", "good"), QUALITY[5]: ("than", "be", "reg", "ch", "nc"),
+}
+
 
+def counts(text: Column, patterns: tuple[str, ...], lower: Column | None = None) -> Column:
+    """Matches of each pattern; searched only where the lower-case text has one of the pattern's guards."""
+    def one(p: str) -> Column:
+        n = F.regexp_count(text, F.lit(java(p, "im")))
+        if p not in GUARDS or lower is None:
+            return n
+        return F.when(reduce(or_, [F.contains(lower, F.lit(g)) for g in GUARDS[p]]), n).otherwise(0)
 
-def counts(text: Column, patterns: tuple[str, ...]) -> Column:
-    return F.array(*[F.regexp_count(text, F.lit(java(p, "im"))) for p in patterns])
+    return F.array(*map(one, patterns))
 
 
 def found(n: Column, patterns: tuple[str, ...]) -> Column:
@@ -54,10 +72,14 @@ def length_score(n: Column) -> Column:
 def score(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
     """Adds score, is_reliable, the five factors, noise_found and quality_found (names with `prefix`) for every row.
 
-    Blank and null texts score 0.0 and are never reliable; their factors are null. Reliability is of the unrounded sum.
+    A table that has one of these columns already is an error. Blank and null texts score 0.0 and are never reliable; their factors are null. Reliability is of the unrounded sum.
     """
-    step = df.withColumn("__t", strip(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    step = step.withColumns({"__n": counts(F.col("__t"), NOISE), "__q": counts(F.col("__t"), QUALITY), "__l": F.length("__t")})
+    clash = {"__t", "__w", "__n", "__q", "__l", "__sum", *(f"__{k}" for k in FACTORS)} & {*df.columns}
+    added = {prefix + k for k in ("score", "is_reliable", "noise_found", "quality_found", *(f"{k}_score" for k in FACTORS))} & {*df.columns}
+    if clash or added:
+        raise ValueError(f"the table has columns {sorted(clash | added)} already; choose a prefix or rename them")
+    step = df.withColumn("__t", strip(F.coalesce(F.col(f"`{text}`"), F.lit("")))).withColumn("__w", F.lower("__t"))
+    step = step.withColumns({"__n": counts(F.col("__t"), NOISE, F.col("__w")), "__q": counts(F.col("__t"), QUALITY, F.col("__w")), "__l": F.length("__t")})
     t, size = F.col("__t"), F.col("__l")
     words = F.size(F.filter(F.split(t, f"{WS}+", -1), lambda w: w != ""))
     ends = F.right(t, F.lit(1)).rlike("[.!?]") | F.right(t, F.lit(50)).rlike("[.!?]")

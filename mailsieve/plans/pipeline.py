@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -56,8 +57,12 @@ def run_pipeline(df: DataFrame, threshold: float = THRESHOLD, steps: Sequence[St
     """Cleans the column text and scores what is left; no steps means STEPS. All other columns stay.
 
     Adds steps_executed (steps that modified the text, then confidence_scoring), original_length, after_<step>_length,
-    reduction_ratio (3 digits, 0 for an empty original) and the columns of `score`. Null texts count as empty. No shuffle.
+    reduction_ratio (3 digits, 0 for an empty original) and the columns of `score`. Null texts count as
+    empty; a table with one of these columns is an error. No shuffle.
     """
+    clash = {c for c in df.columns if re.fullmatch(r"__m\d*|__modified", c) or c in ("__o", "__b", "original_length", "reduction_ratio", "steps_executed") or c.startswith("after_")}
+    if clash:
+        raise ValueError(f"the table has columns {sorted(clash)} already")
     df = df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("original_length", F.length("text"))
     names = []
     for step in steps or STEPS:

@@ -11,9 +11,9 @@ from ..functions.normalize import squeeze, with_nfc
 from ..functions.rx import is_blank
 from ..operators import agents, disclaimer, html, mime, preprocess, reply, score, signature
 from ..sources.history import content_preview, newest
-from ..sources.providers import azure_url_column
+from ..sources.providers import azure_url_column, providers_df
 from ..sources.threads import THREADS_SQL, as_eml, threads
-from ..streaming.events import deterministic_events, sse
+from ..streaming.events import agent_events, deterministic_events, extract_events, sse
 from .pipeline import run_pipeline
 from .router import extract
 
@@ -81,7 +81,7 @@ def html_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_nfc(_documents(spark, sf_dir).where("text is not null"), "text").select("doc_id", squeeze(F.col("text")).alias("text"))
+    return with_nfc(_documents(spark, sf_dir), "text").select("doc_id", squeeze(F.col("text")).alias("text"))
 
 
 def empty_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,13 +160,45 @@ def azure_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", azure_url_column(host).alias("url"))
 
 
+def provider_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over an environment of its own: what is listed depends on the variables that are set."""
+    return providers_df(spark, {"ANTHROPIC_API_KEY": "k", "GEMINI_API_KEY": "k", "AZURE_OPENAI_API_KEY": "k"})
+
+
+def _replies(spark: SparkSession, sf_dir: str, texts: tuple[str, ...]) -> DataFrame:
+    """event_id and a reply of a model to each event: one of the texts, with # for a number of the event."""
+    number = (F.col("event_id") % 100).cast("string")
+    reply_of = F.coalesce(*[F.when(F.col("event_id") % len(texts) == k, F.replace(F.lit(t), F.lit("#"), number)) for k, t in enumerate(texts)])
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", reply_of.alias("reply"))
+
+
+def agent_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _replies(spark, sf_dir, ('{"confidence_score": 0.#}', "about # percent", "none", "0,#", 'Sure: ```json\n{"confidence_score": 1}\n```', '{"confidence_score": "high"} or #'))
+    return rows.select("event_id", F.pandas_udf(lambda reply: reply.map(agents.parse_confidence), "double")("reply").alias("confidence"))
+
+
+def agent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _replies(spark, sf_dir, ('{"extracted_message": "m #"}', 'Here: ```json\n{"extracted_message": "n #"}\n``` done', " plain # ", '{"other": "#"}'))
+    return rows.select("event_id", F.pandas_udf(lambda reply: reply.map(lambda r: agents.parse_text(r, "extracted_message")), "string")("reply").alias("message"))
+
+
+def agent_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = agent_events(threads(spark, sf_dir), Echo, "conv_id")
+    return found.select("conv_id", "seq", "type", "agent", "text", "message", F.col("result.latest_message").alias("latest_message"), F.col("result.confidence").alias("confidence"))
+
+
+def extract_event_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode auto without a provider: an error event a document."""
+    return extract_events(threads(spark, sf_dir), "auto", None, id_col="conv_id").select("conv_id", "seq", "type", "message")
+
+
 def _quoted(text: Column) -> Column:
     return reply.without_quoted_lines(text)
 
 
 QUERIES = {f.__name__: f for f in (
     extract_non_llm, score_factors, score_total, score_threads, noise_diagnostics, sniff_html, html_native_text, html_tree_text, normalize_text, empty_gate, visible_fragments, signature_block, mime_body, preprocess_threads,
-    pipeline_metadata, extract_auto_no_provider, extract_auto_llm, extract_llm, extract_documents, history_topk, preview, sse_events, event_rows, azure_urls,
+    pipeline_metadata, extract_auto_no_provider, extract_auto_llm, extract_llm, extract_documents, history_topk, preview, sse_events, event_rows, azure_urls, provider_list, agent_confidence, agent_messages, agent_event_rows, extract_event_errors,
 )} | {
     "strip_attribution": _on_threads(preprocess.strip_attributions), "preprocess_disclaimers": _on_threads(preprocess.strip_disclaimers), "blockquote_fold": _on_threads(_quoted),
     "reply_headers": _on_threads(reply.without_reply_headers), "sig_lines": _on_threads(signature.cut_at_lines), "sig_patterns": _on_threads(signature.cut_at_pattern),
@@ -248,7 +280,7 @@ SQL = {
 b AS (SELECT page_id, regexp_replace({"".join("regexp_replace(" for _ in html.REMOVED)}h{"".join(f", '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')" for t in html.REMOVED)}, '(?is)<hr\b[^>]*>', '', 'g') AS h FROM a),
 c AS (SELECT page_id, list_transform(regexp_split_to_array(h, '<[^>]*>'), lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS n FROM b)
 SELECT page_id, array_to_string(list_filter(list_transform(n, lambda x: {_strip('x')}), lambda x: x <> ''), ' ') AS text FROM c""",
-    "normalize_text": rf"""WITH a AS (SELECT doc_id, regexp_replace(replace(nfc_normalize(text), chr(0), ''), '\r\n?', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL)
+    "normalize_text": rf"""WITH a AS (SELECT doc_id, regexp_replace(replace(nfc_normalize(text), chr(0), ''), '\r\n?', chr(10), 'g') AS t FROM documents)
 SELECT doc_id, {_strip(rf"regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: {_strip(f'''regexp_replace(x, '{_S}+', ' ', 'g')''')}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM a""",
     "empty_gate": f"SELECT doc_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[^{_SET}]') THEN '{preprocess.EMPTY}' END AS error FROM documents",
     "preview": _threads("SELECT conv_id, replace(left(content, 120), chr(10), ' ') AS content_preview FROM threads"),
@@ -257,6 +289,16 @@ SELECT doc_id, {_strip(rf"regexp_replace(array_to_string(list_transform(string_s
     "azure_urls": "SELECT page_id, CASE WHEN suffix(u, '.com/') THEN concat(u, 'openai/v1/') ELSE u END AS url FROM (SELECT page_id, concat(regexp_extract(url, '^(https?://[^/]+)', 1), '/') AS u FROM pages)",
     "strip_attribution": _threads(f"SELECT conv_id, {_chain('content', preprocess.ATTRIBUTIONS)} AS text FROM threads"),
     "preprocess_disclaimers": _threads(f"SELECT conv_id, {_strip(_chain('content', preprocess.DISCLAIMERS))} AS text FROM threads"),
+    "provider_list": """SELECT name, name IN ('anthropic', 'gemini') AS available, name IN ('anthropic', 'gemini') AS configured, name = 'anthropic' AS is_default
+FROM (VALUES ('openai'), ('azure_openai'), ('anthropic'), ('gemini')) AS p(name)""",
+    "agent_confidence": """SELECT event_id, round(CASE event_id % 6 WHEN 0 THEN CAST(concat('0.', n) AS DOUBLE) WHEN 1 THEN CASE WHEN n > 1 THEN n / 100 ELSE n END WHEN 2 THEN 0.5 WHEN 3 THEN CAST(concat('0.', n) AS DOUBLE) WHEN 4 THEN 1 ELSE CASE WHEN n > 1 THEN n / 100 ELSE n END END::DOUBLE, 3) AS confidence
+FROM (SELECT event_id, event_id % 100 AS n FROM events)""",
+    "agent_messages": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('m ', event_id % 100) WHEN 1 THEN concat('n ', event_id % 100) WHEN 2 THEN concat('plain ', event_id % 100) ELSE concat('{"other": "', event_id % 100, '"}') END AS message FROM events""",
+    "extract_event_errors": _threads(f"SELECT conv_id, CAST(0 AS INTEGER) AS seq, 'error' AS type, CASE WHEN regexp_matches(content, '[^{_SET}]') THEN 'no provider' ELSE '{preprocess.EMPTY}' END AS message FROM threads"),
+    "sig_lines": _threads(rf"""SELECT conv_id, array_to_string(CASE WHEN n IS NULL THEN l ELSE l[1 : n - 1] END, chr(10)) AS text FROM (
+  SELECT conv_id, l, coalesce(list_min(list_filter(range(1, len(l) + 1), lambda i: s[i] IN ('--', '—', '__') OR regexp_matches(s[i], '(?i)^(Best|Regards|Cheers|Thanks|Thank you|Sincerely|Yours truly),?{_S}*$')
+    AND i < len(l) AND s[i + 1] <> '' AND length(s[i + 1]) < 60 AND NOT regexp_matches(s[i + 1], '^[a-z]'))), list_min(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '{_DEVICE}')))) AS n
+  FROM (SELECT conv_id, l, list_transform(l, lambda x: {_strip('x')}) AS s FROM (SELECT conv_id, string_split(content, chr(10)) AS l FROM threads)))"""),
     "reply_headers": _threads(f"SELECT conv_id, {_strip(_sub(_chain('content', reply.PATTERNS), r'''\n{3,}''', 's', chr(10) + chr(10)))} AS text FROM threads"),
     "blockquote_fold": _threads(f"""SELECT conv_id, CASE WHEN contains(content, '>') THEN list_reduce(list_transform(string_split(content, chr(10)), lambda x: {{'q': false, 'n': 0, 't': x}}),
       lambda s, x: CASE WHEN regexp_matches(x.t, '^{_S}*>') OR s.q AND NOT regexp_matches(x.t, '[^{_SET}]') THEN {{'q': true, 'n': s.n, 't': s.t}} ELSE {{'q': false, 'n': s.n + 1, 't': CASE WHEN s.n = 0 THEN x.t ELSE concat(s.t, chr(10), x.t) END}} END,

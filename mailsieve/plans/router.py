@@ -21,7 +21,8 @@ def route(df: DataFrame, mode: str | None = "auto", threshold: float = THRESHOLD
 
     mode: one of MODES, or None for a column `mode` (null: auto; other values: an error in the row). One pass: the agents
     are asked, inside their tasks, only for mode llm and the unreliable rows of mode auto, with the preprocessed text. A
-    provider that can't be built leaves auto rows with the deterministic result. With a provider, save the result before
+    provider that can't be built leaves auto rows with the deterministic result; where the model answered in mode auto, that
+    result is kept in metadata.non_llm_fallback. With a provider, save the result before
     using it twice: each action asks it again. All other columns stay; no shuffle, no union, no second scan.
     """
     if mode is not None and mode not in MODES:
@@ -44,9 +45,11 @@ def route(df: DataFrame, mode: str | None = "auto", threshold: float = THRESHOLD
     measured = lambda name: F.when(fine & ~llm, F.col(name)).alias(name)
     details = F.struct(*[measured(f"{k}_score") for k in ("length", "noise", "quality", "readability", "completeness")])
     sizes = [measured(c) for c in rows.columns if c == "original_length" or c.startswith("after_")]
+    fallback = F.struct(F.col("score").alias("non_llm_confidence"), F.col("text").alias("non_llm_text"))
     metadata = F.struct(
         *sizes, measured("score").alias("confidence_score"), measured("is_reliable"), details.alias("confidence_details"), measured("noise_found"), measured("quality_found"),
         measured("reduction_ratio"), measured("steps_executed"), F.col("llm_iterations").alias("iterations"), F.col("llm_error"),
+        F.when(fine & (F.col("__mode") == "auto") & answered, fallback).alias("non_llm_fallback"),
     )
     return rows.select(
         *[F.col(f"`{c}`") for c in names], (fine & ~(llm & failed)).alias("success"), flow.alias("flow_used"),

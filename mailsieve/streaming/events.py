@@ -71,12 +71,10 @@ def agent_events(df: DataFrame, provider: Callable[[], Provider], id_col: str =
         except Exception as e:
             own, why = None, str(e)
         for pdf in batches:
-            rows = []
             for key, text, error in pdf.itertuples(index=False):
                 bad = error or why
-                for seq, e in enumerate([{"type": "error", "message": bad}] if bad else events(own, text)):
-                    rows.append({id_col: key, "seq": seq, "agent": None, "text": None, "message": None, "result": None} | e)
-            yield pd.DataFrame(rows, columns=[id_col, "seq", "type", "agent", "text", "message", "result"], dtype=object)
+                rows = [{id_col: key, "seq": seq, "agent": None, "text": None, "message": None, "result": None} | e for seq, e in enumerate([{"type": "error", "message": bad}] if bad else events(own, text))]
+                yield pd.DataFrame(rows, columns=[id_col, "seq", "type", "agent", "text", "message", "result"], dtype=object)  # a document's events go on at once
 
     return ready.mapInPandas(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {EVENT}")
 

@@ -97,6 +97,17 @@ def test_score(spark, text, value, sure):
     assert row["score"] == value and row["is_reliable"] is sure
 
 
+def test_score_guards_and_clashes(spark):
+    """A guard never hides a match; a table with a result's name is an error, as long as no prefix is given."""
+    for text in ("see HTTP://a.b", "a@b.org <i>", "> q", "FORWARDED BY me", "-- ORIGINAL MESSAGE", "  SENT FROM MY phone", "Confidential. Disclaimer? NOTICE!", "a\n\nb", "hey. Dear all, good morning", "thanks, best regards. Cheers! sincerely yours, thank you"):
+        row = spark.createDataFrame([(text,)], "t string").select(score.counts(F.col("t"), score.NOISE + score.QUALITY).alias("a"), score.counts(F.col("t"), score.NOISE + score.QUALITY, F.lower("t")).alias("b")).first()
+        assert row["a"] == row["b"] and sum(row["a"]) > 0, text
+    own = spark.createDataFrame([("a", 1)], "text string, score int")
+    with pytest.raises(ValueError):
+        score.score(own)
+    assert score.score(own, prefix="x_").columns[:3] == ["text", "score", "x_score"]
+
+
 def test_thresholds_and_injection(spark):
     assert clean(spark, "OK", threshold=0.0)["is_reliable"] and not clean(spark, "OK", threshold=1.0)["is_reliable"] and not clean(spark, " ", threshold=0.0)["is_reliable"]
     row = clean(spark, "abc", steps=[REPLIES, column_step("upper", F.upper)])
@@ -141,6 +152,7 @@ def test_router(spark):
     df = spark.createDataFrame([(1, "OK", "auto", 7), (2, long, "auto", 8), (3, " ", "auto", 9), (4, "x", "llm", 1), (5, "x", "odd", 2), (6, "OK", "non_llm", 3), (7, "OK", None, 4)], "id int, content string, mode string, score_ int")
     got = {r["id"]: r for r in extract(df, None, provider=Echo).collect()}
     assert [got[i]["flow_used"] for i in range(1, 8)] == ["llm (auto mode)", "non_llm (auto mode)", "", "llm", "", "non_llm", "llm (auto mode)"]
+    assert (got[1]["metadata"]["non_llm_fallback"]["non_llm_text"], got[1]["metadata"]["non_llm_fallback"]["non_llm_confidence"]) == ("OK", 0.675) and got[2]["metadata"]["non_llm_fallback"] is None is got[4]["metadata"]["non_llm_fallback"]
     assert [got[i]["success"] for i in range(1, 8)] == [True, True, False, True, False, True, True] and got[5]["error"] == "Unknown mode: odd"
     got = {r["id"]: r for r in extract(df, None, provider=broken).collect()}
     assert got[1]["flow_used"] == "non_llm (auto mode, llm failed)" and got[1]["success"] and not got[4]["success"] and got[4]["error"] == "no key"
