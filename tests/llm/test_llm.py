@@ -457,3 +457,15 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in got.select("doc_id").collect()} == {r["doc_id"] for r in step.select("doc_id").collect()}
     assert got.agg(F.sum("length")).first()[0] == got.dropDuplicates(["doc_id"]).agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in any column, empty and very long texts, ties and repeated rows, clashing names, and empty tables."""
+    odd = edge(spark).withColumns({"rejected_by": F.lit("a"), "view": F.lit(1), "row": F.lit(None).cast("int"), "ids_crc32": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES:
+        kept, none = stage(spark, odd, SF), stage(spark, odd.limit(0), SF)
+        assert none.count() == 0 and kept.columns == none.columns, name
+        if name != "packing":
+            assert kept.columns == odd.columns and kept.count() <= 10
+        else:
+            assert kept.where("start = 0").count() == 10
