@@ -12,6 +12,7 @@ from ..functions.rx import is_blank
 from ..operators import agents, disclaimer, html, mime, preprocess, reply, score, signature
 from ..sources.history import content_preview, newest
 from ..sources.providers import azure_url_column, providers_df
+from ..sources.readers import spread
 from ..sources.threads import THREADS_SQL, as_eml, threads
 from ..streaming.events import agent_events, deterministic_events, extract_events, sse
 from .pipeline import run_pipeline
@@ -36,11 +37,11 @@ class Echo:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
 
 
 def _on_threads(column) -> callable:

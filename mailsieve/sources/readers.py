@@ -21,3 +21,9 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def eml_files(spark: SparkSession, path: str) -> DataFrame:
     return text_files(spark, path).withColumn("is_eml", F.lit(True))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than the session has cores, dealt over all cores: each row group is read by one task, and texts take time. Other tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
