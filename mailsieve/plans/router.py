@@ -16,14 +16,14 @@ MODES = ("non_llm", "llm", "auto")
 NO_PROVIDER = "no provider"
 
 
-def route(df: DataFrame, mode: str | None = "auto", threshold: float = THRESHOLD, provider: Callable[[], Provider] | None = None) -> DataFrame:
+def route(df: DataFrame, mode: str | None = "auto", threshold: float = THRESHOLD, provider: Callable[[], Provider] | None = None, strategy: str = "graph") -> DataFrame:
     """Responses for preprocessed rows (columns text, error): success, flow_used, confidence, latest_message, error, metadata, agent_trace.
 
     mode: one of MODES, or None for a column `mode` (null: auto; other values: an error in the row). One pass: the agents
     are asked, inside their tasks, only for mode llm and the unreliable rows of mode auto, with the preprocessed text. A
     provider that can't be built leaves auto rows with the deterministic result; where the model answered in mode auto, that
     result is kept in metadata.non_llm_fallback. With a provider, save the result before
-    using it twice: each action asks it again. All other columns stay; no shuffle, no union, no second scan.
+    using it twice: each action asks it again. strategy: the agents' loop (`operators.agents.flow`). All other columns stay; no shuffle, no union, no second scan.
     """
     if mode is not None and mode not in MODES:
         raise ValueError(f"Unknown mode: {mode}")
@@ -37,7 +37,7 @@ def route(df: DataFrame, mode: str | None = "auto", threshold: float = THRESHOLD
     if provider is None:
         rows = rows.withColumns({"llm_text": none, "llm_confidence": none.cast("double"), "llm_iterations": none.cast("int"), "llm_trace": F.lit(None).cast(TRACE), "llm_error": F.when(need, NO_PROVIDER)})
     elif mode != "non_llm":
-        rows = llm_flow(rows.withColumn("__need", need), provider, "__source", "__need")
+        rows = llm_flow(rows.withColumn("__need", need), provider, "__source", "__need", strategy)
     else:
         rows = rows.withColumns({"llm_text": none, "llm_confidence": none.cast("double"), "llm_iterations": none.cast("int"), "llm_trace": F.lit(None).cast(TRACE), "llm_error": none})
     answered, failed = F.col("llm_text").isNotNull(), F.col("llm_error").isNotNull()
@@ -59,6 +59,6 @@ def route(df: DataFrame, mode: str | None = "auto", threshold: float = THRESHOLD
     )
 
 
-def extract(df: DataFrame, mode: str | None = "auto", content: str = "content", eml: str | None = None, threshold: float = THRESHOLD, provider: Callable[[], Provider] | None = None) -> DataFrame:
+def extract(df: DataFrame, mode: str | None = "auto", content: str = "content", eml: str | None = None, threshold: float = THRESHOLD, provider: Callable[[], Provider] | None = None, strategy: str = "graph") -> DataFrame:
     """The latest message of every document, in batch or on a stream: `preprocess`, then `route`."""
-    return route(preprocess(df, content, eml), mode, threshold, provider)
+    return route(preprocess(df, content, eml), mode, threshold, provider, strategy)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailsieve.operators import disclaimer, html, mime, preprocess, reply, score, signature
-from mailsieve.operators.agents import Transient, flow, llm_flow, parse_confidence, parse_text, parse_validation
+from mailsieve.operators.agents import ASK, Transient, flow, llm_flow, parse_confidence, parse_text, parse_validation
 from mailsieve.plans.pipeline import REPLIES, column_step, run_pipeline
 from mailsieve.plans.queries import Echo
 from mailsieve.plans.router import extract
@@ -207,3 +207,20 @@ def test_partitions_do_not_matter(spark):
     df = spark.createDataFrame([(i, f"Text {i}. Thanks,\nBob{i}\n") for i in range(30)], "doc_id long, content string")
     pick = lambda n: sorted((r["doc_id"], r["latest_message"]) for r in extract(df.repartition(n), "non_llm").collect())
     assert pick(1) == pick(7)
+
+
+def test_sequential_agents_hand_the_fix_on():
+    class Strict:
+        def invoke(self, prompt, system_message):
+            text = prompt.partition("\n\n")[2]
+            return {"extraction": text, "cleanup": text, "validation": '{"is_valid": false, "suggested_fix": "shorter"}', "confidence": "0.4"}[next(k for k, v in ASK.items() if prompt.startswith(v))]
+
+    graph, sequential = flow(Strict(), "Hello"), flow(Strict(), "Hello", strategy="sequential")
+    assert (graph["llm_text"], graph["llm_iterations"]) == ("Hello", 2)
+    assert (sequential["llm_text"], sequential["llm_iterations"]) == ("Hello" + "\n\n[Fix needed: shorter]" * 3, 3)
+    assert [t["agent"] for t in sequential["llm_trace"]] == ["extraction", *["cleanup", "validation"] * 3, "confidence"]
+
+
+def test_unknown_strategy(spark):
+    with pytest.raises(ValueError, match="Unknown strategy"):
+        llm_flow(spark.range(1).selectExpr("'x' text"), lambda: None, strategy="other")
