@@ -8,10 +8,12 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,45 +31,79 @@ def _slot(s: str, bits: int) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
 
 
-class Words:
-    """What words contribute, remembered for the last ones seen: slot, characters, and those in words of letters, capitals, digits, mixed signs, signs alone."""
-
-    def __init__(self, limit: int = 50_000):
-        self.limit, self.at = limit, {}
-        self.rows = np.zeros((1 << 10, 7), np.int64)
-
-    def of(self, words: list[str]) -> np.ndarray:
-        known = self.at
-        if len(known) + len(words) > self.limit:
-            known.clear()
-        for w in words:
-            if w not in known:
-                k, n = len(known), len(w)
-                if k == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[k] = _slot(w, TEXT_BITS), n, n * w.isalpha(), n * w.isupper(), n * w.isdigit(), n * (not w.isalnum() and not w[:-1].isalpha()), n * (not any(map(str.isalnum, w)))
-                known[w] = k
-        return self.rows[[known[w] for w in words]]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The finaliser of a 64-bit generator: every bit of the result depends on all of h."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-_WORDS = Words()
 STEPS = (0.05, 0.2, 0.5)
 SHAPES = ("letters", "upper", "digits", "mixed", "signs", "distinct", "top", "long", "none", "word")
 _SHAPE_SLOTS = np.array([_slot(f"\0{name}{end}", TEXT_BITS) for name in SHAPES for end in (*(f">{x}" for x in STEPS), "")], np.int32)
+#: Bytes of text whose words are counted at once; a longer text is counted by itself.
+TEXT_BYTES = 4 << 20
+
+
+def _word_table(words: pa.Array) -> np.ndarray:
+    """Of each different word: slot, characters, and those in words of letters, capitals, digits, mixed signs, signs alone."""
+    yes = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    ends -= ends[0]
+    long = np.diff(ends)
+    powers = np.cumprod(np.full(long.max(initial=0), 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(ends[:-1], long)])])  # of bytes times powers by their place, modulo 2 ** 64
+    slots = (_mixed(sums[ends[1:]] - sums[ends[:-1]]) >> np.uint64(64 - TEXT_BITS)).astype(np.int64)
+    mixed = pc.and_(pc.invert(pc.utf8_is_alnum(words)), pc.invert(pc.utf8_is_alpha(pc.utf8_slice_codeunits(words, 0, -1))))
+    signs = pc.invert(pc.match_substring_regex(words, r"[\pL\pN]"))
+    n = yes(pc.utf8_length(words))
+    return np.stack([slots, n, *(n * yes(x) for x in (pc.utf8_is_alpha(words), pc.utf8_is_upper(words), pc.utf8_is_digit(words), mixed, signs))], 1)
+
+
+def _text_rows(texts: pa.Array) -> Rows:
+    rows, size = len(texts), len(_SHAPE_SLOTS)
+    split = pc.utf8_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    words, at = coded.dictionary, coded.indices.to_numpy()
+    row = np.repeat(np.arange(rows), np.diff(split.offsets.to_numpy()))
+    order = pc.array_sort_indices(words).to_numpy()  # words in their own order, so that a row is the same in every batch
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    base, there = max(1, len(words)), pc.utf8_length(words).to_numpy()[at] > 0  # nothing stands before a leading space
+    found, times = np.unique((row * base + rank[at])[there], return_counts=True)
+    row, known = found // base, _word_table(words)[order[found % base]]
+    total = lambda x: np.bincount(row, x, rows)
+    n, distinct, chars, top = total(times), np.bincount(row, minlength=rows), total(times * known[:, 1]), np.zeros(rows)
+    if len(row):
+        top[distinct > 0] = np.maximum.reduceat(times, np.flatnonzero(np.diff(row, prepend=-1)))
+    some, logs = np.maximum(1, n), 1.0 + np.log(times)
+    shapes = [*(total(times * known[:, k]) / np.maximum(1, chars) for k in range(2, 7)), distinct / some, top / some, np.minimum(1.0, n / 1000), n == 0, np.minimum(2.0, np.maximum(1, chars) / some / 10)]
+    extra = np.stack([x for v in shapes for x in (*(v > step for step in STEPS), v)], 1)
+    ends = np.cumsum(distinct + size)
+    slots, weights = np.empty(len(row) + rows * size, np.int32), np.empty(len(row) + rows * size, np.float32)
+    place, last = np.arange(len(row)) + size * row, ends[:, None] - size + np.arange(size)
+    slots[place], slots[last] = known[:, 0], _SHAPE_SLOTS
+    weights[place], weights[last] = logs / np.sqrt(total(logs * logs))[row], extra
+    return Rows(slots, weights, ends, TEXT_BITS)
+
+
+def text_features(texts: pa.Array) -> Rows:
+    """Slots and weights of whole texts: their words (log counts, unit length), their shapes, and how often they repeat.
+
+    Words stand between white space. All of a batch's words are split, numbered and counted at once; a row doesn't depend on the
+    others. Null counts as empty: no words.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    sizes, found, start = pc.binary_length(texts).to_numpy(), [], 0
+    while start < len(texts):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), TEXT_BYTES, "right")))
+        found.append(_text_rows(texts.slice(start, n)))
+        start += n
+    return Rows.joined(found, TEXT_BITS)
 
 
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights of a whole text: its words (log counts, unit length), their shapes, and how often they repeat."""
-    counts = Counter((text or "").split())
-    n, found = sum(counts.values()), _WORDS.of([*counts])
-    times = np.fromiter(counts.values(), np.int64, len(counts))
-    logs = 1.0 + np.log(times)
-    chars = int(times @ found[:, 1])
-    shapes = [*(times @ found[:, 2:] / max(1, chars)), len(counts) / max(1, n), times.max(initial=0) / max(1, n), min(1.0, n / 1000), float(n == 0), min(2.0, max(1, chars) / max(1, n) / 10)]
-    extra = [float(x) for v in shapes for x in (*(v > step for step in STEPS), v)]
-    return np.concatenate([found[:, 0].astype(np.int32), _SHAPE_SLOTS]), np.concatenate([logs / max(1e-9, np.sqrt((logs * logs).sum())), extra]).astype(np.float32)
-
-
+@lru_cache(1 << 16)
 def meta_features(source, lang, n_chars) -> tuple[np.ndarray, np.ndarray]:
     """Slots and weights of the row's metadata: source, language, coarse and fine size class, and pairs of them."""
     coarse, fine = ("?", "?") if n_chars is None else (str(int(k * np.log2(max(1, n_chars)))) for k in (1, 4))
@@ -89,6 +125,21 @@ class Rows:
         ends = np.cumsum([len(s) for s, _ in pairs]) if pairs else np.zeros(0, np.int64)
         return cls(np.concatenate([s for s, _ in pairs] or [np.zeros(0, np.int32)]), np.concatenate([w for _, w in pairs] or [np.zeros(0, np.float32)]), ends, bits)
 
+    @classmethod
+    def joined(cls, parts: list[Rows], bits: int) -> Rows:
+        if len(parts) == 1:
+            return parts[0]
+        sizes = [np.diff(x.ends, prepend=0) for x in parts]
+        return cls(*(np.concatenate(x or [np.zeros(0, kind)]) for x, kind in (([p.slots for p in parts], np.int32), ([p.weights for p in parts], np.float32))), np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int64)])), bits)
+
+    def binaries(self) -> tuple[pa.Array, pa.Array]:
+        """Slots (16 bits each) and weights (32 bits each) of every row."""
+        def column(values: np.ndarray) -> pa.Array:
+            offsets = np.concatenate([[0], self.ends]) * values.itemsize
+            return pa.Array.from_buffers(pa.large_binary(), len(self.ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+        return column(np.ascontiguousarray(self.slots, np.int16)), column(np.ascontiguousarray(self.weights, np.float32))
+
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
 
@@ -164,12 +215,8 @@ def _features(rows: DataFrame, *keep: str) -> DataFrame:
     """Slots and weights of both views for rows of text, source, lang and n_chars, and the columns to keep."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = {c: [] for c in ("ts", "tw", "ms", "mw")}
-            for text, *meta in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                (s, w), (t, v) = text_features(text), meta_features(*meta)
-                for c, x in zip(found, (s.astype(np.int16), w, t.astype(np.int16), v), strict=True):  # slots have 15 bits at most
-                    found[c].append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[4:], *(pa.array(x, pa.binary()) for x in found.values())], names=[*keep, *found])
+            words, meta = text_features(batch.column(0)), Rows.of([meta_features(*x) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)], META_BITS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[4:], *words.binaries(), *meta.binaries()], names=[*keep, "ts", "tw", "ms", "mw"])
 
     source = rows.select("text", "source", "lang", "n_chars", *keep)
     kept = "".join(f"{c} {source.schema[c].dataType.simpleString()}, " for c in keep)
@@ -449,14 +496,9 @@ def _judged(docs: DataFrame, model: tuple[View, View, float] | None) -> Column:
         names, n = ("text_score", "meta_score", "score"), len(text)
         if held.value is None:
             return pd.DataFrame({c: pd.array([None] * n, "Float64") for c in names})
-        a, b, _ = held.value
-        odds = []
-        for t, s, x, k in zip(text, source, lang, n_chars, strict=True):
-            slots, weights = text_features(t)
-            other, ones = meta_features(s, x, None if pd.isna(k) else int(k))
-            odds.append((float((a.w[slots] * weights).sum() + a.b), float((b.w[other] * ones).sum() + b.b)))
-        odds = np.array(odds).reshape(n, 2)
-        return pd.DataFrame(dict(zip(names, _probabilities(held.value, [odds[:, 0], odds[:, 1]]), strict=True)))
+        meta = Rows.of([meta_features(s, x, None if pd.isna(k) else int(k)) for s, x, k in zip(source, lang, n_chars, strict=True)], META_BITS)
+        margins = [x.times(v.w) + v.b for x, v in zip((text_features(pa.array(text, pa.string(), from_pandas=True)), meta), held.value)]
+        return pd.DataFrame(dict(zip(names, _probabilities(held.value, margins), strict=True)))
 
     return judge(*(_column(docs, name, kind) for name, kind in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))))
 

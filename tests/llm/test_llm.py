@@ -7,6 +7,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,7 +136,39 @@ def test_co_training_learns_from_the_whole_table(spark):
     with pytest.warns(UserWarning):
         assert cotrain.filter_documents(left, labels.where("quality = 1")).count() == left.count()
     long = "same" * 50
-    assert (cotrain.text_features(long + "a")[0] != cotrain.text_features(long + "b")[0]).any()
+    assert (cotrain.text_features(pa.array([long + "a"])).slots != cotrain.text_features(pa.array([long + "b"])).slots).any()
+
+
+def plain_features(text):
+    """Slots and weights of one text, word by word."""
+    words, rows = (text or "").split(), []
+    for w in {*words}:
+        h = sum((b + 1) * pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k, b in enumerate(w.encode())) % (1 << 64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor % (1 << 64)
+        rows.append(((h ^ h >> 31) >> 49, 1 + np.log(words.count(w))))
+    norm = np.sqrt(sum(x * x for _, x in rows))
+    kinds = (str.isalpha, str.isupper, str.isdigit, lambda w: not w.isalnum() and not w[:-1].isalpha(), lambda w: not any(map(str.isalnum, w)))
+    chars, n = max(1, sum(map(len, words))), max(1, len(words))
+    shapes = [*(sum(len(w) for w in words if k(w)) / chars for k in kinds), len({*words}) / n, max(map(words.count, words), default=0) / n, min(1, len(words) / 1000), float(not words), min(2, chars / n / 10)]
+    return sorted((s, round(x / norm, 5)) for s, x in rows), [round(float(x), 5) for v in shapes for x in (v > 0.05, v > 0.2, v > 0.5, v)]
+
+
+def test_text_features_equal_plain_ones(monkeypatch):
+    texts = [None, "", " \n ", "a b a", "  lead 12 3a ?! Été, ÉTÉ x.y 漢字 '7", "word " * 3000, "x" * 100_000, "a b a", *((WORDS + " ") * 3 + str(i) for i in range(20))]
+    for most in (4 << 20, 50):
+        monkeypatch.setattr(cotrain, "TEXT_BYTES", most)
+        rows, start = cotrain.text_features(pa.array(texts)), 0
+        slots, weights = (x.to_pylist() for x in rows.binaries())
+        for i, (text, end) in enumerate(zip(texts, rows.ends, strict=True)):
+            own, last = slice(start, end - 40), slice(end - 40, end)
+            words, shapes = plain_features(text)
+            got = sorted((int(s), float(w)) for s, w in zip(rows.slots[own], rows.weights[own], strict=True))
+            assert [s for s, _ in got] == [s for s, _ in words] and np.allclose([w for _, w in got], [w for _, w in words], atol=1e-4)
+            assert np.allclose(rows.weights[last], shapes, atol=1e-4)
+            assert np.frombuffer(slots[i], np.int16).tolist() == rows.slots[start:end].tolist() and np.frombuffer(weights[i], np.float32).tolist() == rows.weights[start:end].tolist()
+            start = end
+    assert cotrain.text_features(pa.array([], pa.string())).ends.tolist() == []
 
 
 def test_packing(spark, texts):
