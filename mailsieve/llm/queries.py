@@ -13,6 +13,7 @@ from .cotrain import score
 from .html import extract
 from .licences import SCAN_SQL, scan
 from .packing import pack
+from .pieces import encode_pieces
 from .rules import JUDGE_SQL, judge
 from .simhash import near_duplicates
 from .tokens import count_tokens, encode_decode
@@ -59,6 +60,8 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=10)
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), digests=True)
 
 
 def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -69,7 +72,7 @@ def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callab
     return run
 
 
-QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op5_co_training, op6_packing, op7_simhash, op8_licences, op9_main_text, op10_neighbours)}
+QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op5_co_training, op6_packing, op7_simhash, op8_licences, op9_main_text, op10_neighbours, op11_pieces)}
 SQL = {
     "op1_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages),
