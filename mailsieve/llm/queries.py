@@ -15,6 +15,7 @@ from .licences import SCAN_SQL, scan
 from .packing import pack
 from .pieces import encode_pieces
 from .rules import JUDGE_SQL, judge
+from .search import RANKED_SQL, ranked
 from .simhash import near_duplicates
 from .tokens import count_tokens, encode_decode
 from .warc import archive_round_trip
@@ -64,6 +65,10 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), digests=True)
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -72,7 +77,7 @@ def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callab
     return run
 
 
-QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op5_co_training, op6_packing, op7_simhash, op8_licences, op9_main_text, op10_neighbours, op11_pieces)}
+QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op5_co_training, op6_packing, op7_simhash, op8_licences, op9_main_text, op10_neighbours, op11_pieces, op12_search)}
 SQL = {
     "op1_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages),
@@ -81,4 +86,5 @@ SQL = {
           CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to, url FROM f""",
     "op2_quality_rules": JUDGE_SQL,
     "op8_licences": SCAN_SQL,
+    "op12_search": RANKED_SQL,
 }
