@@ -10,6 +10,7 @@ from .ann import nearest
 from .bpe import vocabulary_path
 from .common import small_batches, table
 from .cotrain import score
+from .divergence import AUDIT_SQL, audit
 from .html import extract
 from .licences import SCAN_SQL, scan
 from .packing import pack
@@ -69,6 +70,10 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -77,7 +82,7 @@ def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callab
     return run
 
 
-QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op5_co_training, op6_packing, op7_simhash, op8_licences, op9_main_text, op10_neighbours, op11_pieces, op12_search)}
+QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_warc, op2_quality_rules, op3_bpe_trie, op4_token_counts, op5_co_training, op6_packing, op7_simhash, op8_licences, op9_main_text, op10_neighbours, op11_pieces, op12_search, op13_divergence)}
 SQL = {
     "op1_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages),
@@ -87,4 +92,5 @@ SQL = {
     "op2_quality_rules": JUDGE_SQL,
     "op8_licences": SCAN_SQL,
     "op12_search": RANKED_SQL,
+    "op13_divergence": AUDIT_SQL,
 }
