@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,3 +79,73 @@ def up_to_last(text: Column, needle: str, body: Callable[[Column], Column]) -> C
     """
     whole = rf"(?is)\A(.*{needle})(.*)\z"
     return let(text, lambda t: F.when(F.contains(F.lower(t), F.lit(needle)), F.concat(body(F.regexp_extract(t, whole, 1)), F.regexp_extract(t, whole, 2))).otherwise(t))
+
+
+def has_any(text: Column, literals: Iterable[str | tuple[str, ...]]) -> Column:
+    """Whether the text, in lower case, holds one of the literals (of a tuple: all of it). Cheap, to keep patterns off texts that can't match.
+
+    Literals are lower-case and without i, k and s, which other letters fold to when case is ignored.
+    """
+    return let(F.lower(text), lambda t: reduce(or_, [reduce(and_, [F.contains(t, F.lit(x)) for x in ((g,) if isinstance(g, str) else g)]) for g in literals]))
+
+
+@dataclass(frozen=True)
+class Spans:
+    """`start.*?anchor.*?anchor ... .*?tail`, gaps over lines, as something to remove in linear time.
+
+    Where an anchor is missing behind many starts, lazy gaps are searched again from each start. Here the last anchors are found
+    first, one after the other from the end: before the last place where all follow, every start has a match, and behind it none
+    has, so nothing is searched in vain. Each gap is atomic, as its first anchor leaves most for the next ones. A match that goes on
+    behind that place is the last one and is finished by itself.
+
+    start, anchors: Python patterns. tail: behind a last gap, a pattern that ends the match like the text's end does; "" for none.
+    spaced: gaps begin with white space that is taken first and left only if the anchor is in it.
+    """
+
+    start: str
+    anchors: tuple[str, ...]
+    tail: str = ""
+    spaced: bool = False
+
+    def steps(self) -> list[Callable[[Column], Column]]:
+        """From arrays whose second item is the text to such arrays. Steps follow each other instead of standing in each other's lambdas."""
+        flags = "(?dUuis)"
+        plain = lambda p: java(p).removeprefix("(?dUu)")
+        first = lambda a: f"(?>{WS}*+.*?{a})" if self.spaced else f"(?>.*?{a})"
+        gap = lambda a: f"(?:{first(a)}|(?>{WS}*?{a}))" if self.spaced else first(a)
+        start, marks, tail = plain(self.start), [plain(a) for a in self.anchors], plain(self.tail) if self.tail else ""
+        # before the last place, all follow whichever first anchor is taken, and from the second on one behind the white space
+        inside = start + f"(?>{gap(marks[0])})" + "".join(map(first, marks[1:])) + (first(tail) if tail else "")
+        whole = start + "".join(map(gap, marks)) + (rf"(?>.*?(?:{tail}|\z))" if tail else "")
+
+        def bound(s: Column) -> Column:
+            t = s[1]
+            for a in reversed(marks[1:]):
+                t = F.regexp_extract(t, rf"{flags}\A(.*){a}", 1)
+            return F.array(s[0], s[1], F.regexp_extract(t, rf"{flags}\A(.*{marks[0]})", 1))
+
+        def cut(s: Column) -> Column:
+            rest = F.substring(s[1], F.length(s[2]) + 1, F.length(s[1]))
+            if len(marks) == 1 and not tail:
+                return F.array(s[0], F.concat(F.regexp_replace(s[2], flags + inside, ""), rest))
+            done, begun = F.regexp_replace(s[2], rf"{flags}{inside}|{start}.*\z", ""), F.regexp_replace(s[2], rf"{flags}{inside}|({start}.*\z)", "$1")
+            return F.array(s[0], rest, done, begun)
+
+        def finish(s: Column) -> Column:
+            last = F.concat(F.substring(s[3], F.length(s[2]) + 1, F.length(s[3])), s[1])
+            return F.array(s[0], F.concat(s[2], F.when(F.length(s[3]) > F.length(s[2]), F.regexp_replace(last, rf"{flags}\A{whole}", "")).otherwise(s[1])))
+
+        return [bound, cut] if len(marks) == 1 and not tail else [bound, cut, finish]
+
+
+def remove_all(text: Column, words: Iterable[str | tuple[str, ...]], patterns: Iterable[str | Spans]) -> Column:
+    """Takes out every match of each pattern (cases ignored, `.` over lines), one after the other, of texts that hold one of the words as `has_any` has them; other texts stay as they are."""
+    state = let(text, lambda t: F.array(t, F.when(has_any(t, words), t)))
+
+    def plain(pattern: str) -> Callable[[Column], Column]:
+        return lambda s: F.array(s[0], F.regexp_replace(s[1], java(pattern, "is"), ""))
+
+    for p in patterns:
+        for step in p.steps() if isinstance(p, Spans) else [plain(p)]:
+            state = let(state, step)
+    return let(state, lambda s: F.coalesce(s[1], s[0]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.rx import before, collapse, java, let, remove, strip
+from ..functions.rx import Spans, before, collapse, java, let, remove_all, strip
 
 #: Phrases, headers after which nothing counts, separators that stand before them.
 PHRASES = (
@@ -26,8 +26,19 @@ SEPARATORS = (r"-{10,}", r"_{10,}", r"\*{10,}", r"={10,}")
 LOOK_BACK = 100
 
 
+#: The phrases whose gaps may have no end: those after which a blank line or a word must come.
+SPANS = {
+    PHRASES[0]: Spans(r"CONFIDENTIALITY NOTICE:?\s*\n", (r"\n\s*\n",)),
+    PHRASES[1]: Spans(r"DISCLAIMER:?\s*\n", (r"\n\s*\n",)),
+    PHRASES[6]: Spans(r"Although\s+we\s+have\s+taken\s+reasonable\s+precautions", (r"virus",), r"\n\s*\n"),
+    PHRASES[10]: Spans(r"(?:data protection|personal data)", (r"(?:rights|regulation)",), r"\n\s*\n"),
+}
+#: What a text must hold for a phrase to match, by phrase.
+PHRASE_WORDS = ("ty not", ("cla", "mer"), ("conf", "dent"), "ntended", ("rece", "ved", "you"), ("nformat", "conta", "ned"), "attachment", "precaut", "accepted", "ronment", "gdpr", "data protect", "onal data")
+
+
 def by_phrase(text: Column) -> Column:
-    return strip(collapse(remove(text, PHRASES)))
+    return strip(collapse(remove_all(text, PHRASE_WORDS, [SPANS.get(p, p) for p in PHRASES])))
 
 
 def by_position(text: Column) -> Column:

@@ -7,11 +7,11 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rx import java, remove, strip
+from ..functions.rx import Spans, java, remove_all, strip
 
 #: What tells HTML, forwarded blocks in raw HTML, removed elements, classes of quoted content.
 SNIFF = r"<html|<body|<div|<p\s|<br"
@@ -33,8 +33,12 @@ def is_html(text: Column) -> Column:
     return text.rlike(java(SNIFF, "i"))
 
 
+HEADERS = (r"\nSent:", r"\nTo:", r"\nSubject:", r"\n")
+BLOCKS = (Spans("From:", HEADERS, spaced=True), Spans("_" * 40 + r"\nFrom:", HEADERS), r"(?<!-)-{3,}+Original Message-{3,}", FORWARDED[3])
+
+
 def without_forwarded(html: Column) -> Column:
-    return remove(html, FORWARDED)
+    return remove_all(html, ("from:", "nal me", "forwarded me"), BLOCKS)
 
 
 class _Texts(HTMLParser):
@@ -116,6 +120,14 @@ def tree_text(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "html", "error"], dtype=object)
 
 
+def with_tree(df: DataFrame, name: str, source: Column) -> DataFrame:
+    """Adds the struct of tree_text; null for null sources.
+
+    The source stays a column of its own, as it is used twice: Spark doesn't find a UDF whose argument has patterns inside nested lambdas.
+    """
+    return df.withColumn("__s", source).withColumn(name, F.when(F.col("__s").isNotNull(), tree_text("__s"))).drop("__s")
+
+
 def _replaced(ref: str, c: str, node: Column) -> Column:
     return F.replace(node, F.lit(ref), F.lit(c))
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import squeeze, with_nfc
-from ..functions.rx import is_blank, remove, strip, up_to_last
-from .html import is_html, tree_text, without_forwarded
+from ..functions.rx import Spans, is_blank, remove, remove_all, strip, up_to_last
+from .html import is_html, with_tree, without_forwarded
 from .mime import mime_bodies
 
 #: Attributions and disclaimers that go before anything else.
@@ -20,6 +20,7 @@ DISCLAIMERS = (
     r"(?:^|\n)\s*The\s+information\s+contained.*?is\s+confidential.*?(?=\n\n|\Z)",
     r"(?:^|\n)\s*Please\s+consider\s+the\s+environment\s+before\s+printing",
 )
+CONTAINED = Spans(r"(?:^|\n)\s*The\s+information\s+contained", (r"is\s+confidential",), r"(?=\n\n)")
 EMPTY = "Empty content after preprocessing"
 
 
@@ -27,8 +28,12 @@ def strip_attributions(text: Column) -> Column:
     return up_to_last(text, "wrote:", lambda t: remove(t, ATTRIBUTIONS))
 
 
+#: What a text must hold for a disclaimer to match, by pattern.
+DISCLAIMER_WORDS = ("ty not", ("cla", "mer"), ("conf", "dent"), ("rece", "ved", "you"), ("nformat", "conta", "ned"), "ronment")
+
+
 def strip_disclaimers(text: Column) -> Column:
-    return strip(remove(text, DISCLAIMERS))
+    return strip(remove_all(text, DISCLAIMER_WORDS, [CONTAINED if p == DISCLAIMERS[4] else p for p in DISCLAIMERS]))
 
 
 def preprocess(df: DataFrame, content: str = "content", eml: str | None = None) -> DataFrame:
@@ -49,7 +54,7 @@ def preprocess(df: DataFrame, content: str = "content", eml: str | None = None)
         plain, failed = F.when(F.col("__eml"), F.coalesce("__m.text", F.lit(""))).otherwise(F.col("__raw")), F.col("__m.error")
     else:
         source, plain, failed = F.when(is_html(F.col("__raw")), F.col("__raw")), F.col("__raw"), none
-    step = step.withColumn("__p", tree_text(without_forwarded(source)))
+    step = with_tree(step, "__p", without_forwarded(source))
     step = step.withColumns({"text": F.coalesce("__p.text", plain), "html": F.coalesce("__p.html", F.lit("")), "error": F.coalesce(failed, "__p.error")})
     step = with_nfc(step.drop("__raw", "__eml", "__m", "__p").withColumn("text", strip_attributions(F.col("text"))), "text")
     step = step.withColumn("text", strip_disclaimers(squeeze(F.col("text"))))

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.rx import before, collapse, java, let, lines, strip
+from ..functions.rx import WS_SET, before, collapse, java, let, lines, strip
 
 #: What begins a signature, in the order of the search; lines that name a device or program.
 PATTERNS = (
@@ -27,32 +23,40 @@ PATTERNS = (
 DEVICE = r"\A\s*(?:Sent from my \w+|Sent from Mail for Windows|Sent from Outlook|Sent from Thunderbird|Get Outlook for \w+|Download the Outlook app)"
 CLOSING = r"\A(?:Best|Regards|Cheers|Thanks|Thank you|Sincerely|Yours truly),?\s*\z"
 MOST_LINES, LONGEST_LINE = 11, 60
-PHONE = re.compile(r"^sent from my[\s,!\w]*$|^sent from Mailbox for iPhone.*$|^sent (?:\S* )?from my BlackBerry.*$|^Enviado desde mi (?:\w+ ){0,2}BlackBerry.*$", re.I | re.M)
-BEGINS = re.compile(r"(?:^\s*--*\s*[a-z .]*$|^thanks[\s,!]*$|^regards[\s,!]*$|^cheers[\s,!]*$|^best[ a-z]*[\s,!]*$).*", re.I | re.M | re.S)
-CANDIDATE = re.compile(r"(c+d?(?!d)|c+|d(?!d))")
-
-
-def block_at_end(text: str) -> tuple[str, str | None]:
-    """Body and signature (None: none) by looking at the last lines only."""
-    body, phone = text.strip(), PHONE.search(text)
-    if phone:
-        body = body[: phone.start()]
-    rows = body.splitlines()
-    full = [i for i, x in enumerate(rows) if x.strip()]
-    some = full[1:][-MOST_LINES:]
-    marks = "".join("l" if len(x) > LONGEST_LINE else "d" if x.startswith("-") and x.strip("-") else "c" for x in (rows[i].strip() for i in some))
-    found = CANDIDATE.match(marks[::-1])
-    block = "\n".join(rows[some[-found.end()] :]) if found else ""
-    m = BEGINS.search(block)
-    if not m:
-        return body.strip(), phone and phone[0]
-    return "\n".join(rows)[: -len(m[0])].strip(), "\n".join([m[0], phone[0]] if phone else [m[0]]).strip()
-
-
-@F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("found", T.BooleanType())]))
-def end_block(text: pd.Series) -> pd.DataFrame:
-    rows = [(None, False) if t is None else ((x := block_at_end(t))[0], bool(x[1] and x[1].strip())) for t in text]
-    return pd.DataFrame(rows, columns=["body", "found"])
+#: Lines of devices that end a message, lines that begin a signature, runs of short lines from the last up.
+PHONE = r"\A(?:sent from my[\s,!\w]*\Z|sent from Mailbox for iPhone|sent (?:\S* )?from my BlackBerry|Enviado desde mi (?:\w+ ){0,2}BlackBerry)"
+BEGINS = r"\A(?:\s*-+\s*[a-z .]*|thanks[\s,!]*|regards[\s,!]*|cheers[\s,!]*|best[ a-z]*[\s,!]*)\Z"
+CANDIDATE = r"\A(c+d?(?!d)|c+|d(?!d))"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def end_block(text: Column) -> Column:
+    """body and found, by looking at the last lines only: of the MOST_LINES last lines that aren't blank, but for the first of all, a run of
+    short ones in which a line of dashes or a closing begins the signature. A device's line and all below it go anyway. Null stays null, not found.
+    """
+    def without_device(t: Column) -> Column:
+        rows = lines(t)
+        at = F.array_min(F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(java(PHONE, "i")), i)), lambda i: i.isNotNull()))
+        start = lambda i: F.length(F.array_join(F.slice(rows, 1, i), "\n")) + F.when(i > 0, 1).otherwise(0)
+        body = let(strip(t), lambda x: let(at, lambda i: F.struct(F.when(i.isNull(), x).otherwise(F.left(x, start(i))).alias("body"), i.isNotNull().alias("found"))))
+        return F.when(t.rlike("(?i)sent (?:\\S* )?from m|enviado desde mi"), body).otherwise(F.struct(strip(t).alias("body"), F.lit(False).alias("found")))
+
+    def cut(rows: Column, whole: Column, found: Column) -> Column:
+        full = F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(f"[^{WS_SET}]"), i)), lambda i: i.isNotNull())
+        some = let(full, lambda x: F.when(F.size(x) > 1, F.slice(x, F.greatest(F.lit(2), F.size(x) - MOST_LINES + 1), F.lit(MOST_LINES))).otherwise(F.slice(x, 1, 0)))
+
+        def kind(i: Column) -> Column:
+            return let(strip(F.get(rows, i)), lambda x: F.when(F.length(x) > LONGEST_LINE, "l").when(x.startswith("-") & x.rlike("[^-]"), "d").otherwise("c"))
+
+        def begin(last: Column) -> Column:
+            many = F.length(F.regexp_extract(F.reverse(F.array_join(F.transform(last, kind), "")), CANDIDATE, 1))
+            return let(many, lambda n: F.array_min(F.filter(F.transform(last, lambda i, k: F.when((k >= F.size(last) - n) & F.get(rows, i).rlike(java(BEGINS, "i")), i)), lambda i: i.isNotNull())))
+
+        body = lambda i: F.when(i.isNull(), whole).otherwise(F.array_join(F.slice(rows, 1, i), "\n"))
+        return let(let(some, begin), lambda i: F.struct(strip(body(i)).alias("body"), (found | i.isNotNull()).alias("found")))
+
+    parted = lambda x: let(F.split(x["body"], LINE_END, -1), lambda rows: cut(rows, x["body"], x["found"]))
+    return F.when(text.isNull(), F.struct(F.lit(None).cast("string").alias("body"), F.lit(False).alias("found"))).otherwise(let(let(text, without_device), parted))
 
 
 def without_device_lines(text: Column) -> Column:
@@ -76,6 +80,10 @@ def cut_at_lines(text: Column) -> Column:
     return let(lines(text), cut)
 
 
+#: How a line begins where a pattern can match: one search instead of one a pattern in most texts.
+LINES = r"^\s*+(?:--|—|__|Best|Regards|Cheers|Thank|Sincerely|Yours truly|Warm|Kind|Tel:|Phone:|Mobile:|Cell:|E-?mail:|LinkedIn:|Twitter:|Skype:|www\.|Ltd\.|LLC|Inc\.|Corp\.|GmbH)"
+
+
 def cut_at_pattern(text: Column) -> Column:
     """The text before the first match of the first pattern that matches anywhere."""
     def cut(t: Column) -> Column:
@@ -83,7 +91,7 @@ def cut_at_pattern(text: Column) -> Column:
         for p in reversed(PATTERNS):
             p = java(p, "im")
             out = F.when(t.rlike(p), F.regexp_replace(before(t, p), r"[\s\x1c-\x1f\x85\p{Z}]+\z", "")).otherwise(out)
-        return out
+        return F.when(t.rlike(java(LINES, "im")), out).otherwise(t)
 
     return let(text, cut)
 

@@ -38,7 +38,7 @@ def _replies(df: DataFrame) -> DataFrame:
 
 
 def _signature(df: DataFrame) -> DataFrame:
-    df = df.withColumn("__b", signature.end_block("text"))
+    df = df.withColumn("__b", signature.end_block(F.col("text")))
     df = df.withColumn("__o", strip(signature.without_device_lines(signature.cut_at_pattern(signature.cut_at_lines(F.col("text"))))))
     found = F.col("__b.found")
     return _put(df, F.when(found, F.col("__b.body")).otherwise(strip(collapse(F.col("__o")))), found | (F.length("__o") < F.length("text"))).drop("__b")

@@ -13,12 +13,11 @@ from ..operators import agents, disclaimer, html, mime, preprocess, reply, score
 from ..sources.history import content_preview, newest
 from ..sources.providers import azure_url_column, providers_df
 from ..sources.readers import spread
-from ..sources.threads import THREADS_SQL, as_eml, threads
+from ..sources.threads import as_eml, threads
 from ..streaming.events import agent_events, deterministic_events, extract_events, sse
 from .pipeline import run_pipeline
 from .router import extract
-
-FACTORS = ("length", "noise", "quality", "readability", "completeness")
+from .sql import FACTORS, SQL
 
 
 class Echo:
@@ -78,7 +77,7 @@ def html_native_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", html.tree_text(html.without_forwarded(F.col("html"))).alias("p")).select("page_id", "p.*")
+    return html.with_tree(_pages(spark, sf_dir), "p", html.without_forwarded(F.col("html"))).select("page_id", "p.*")
 
 
 def html_tree_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +94,11 @@ def empty_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visible_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads(spark, sf_dir).select("conv_id", reply.rescue(reply.visible_fragments("content"), F.col("content")).alias("text"))
+    return threads(spark, sf_dir).select("conv_id", reply.rescue(reply.visible_fragments(F.col("content")), F.col("content")).alias("text"))
 
 
 def signature_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads(spark, sf_dir).select("conv_id", signature.end_block("content").alias("b")).select("conv_id", "b.body", "b.found")
+    return threads(spark, sf_dir).select("conv_id", signature.end_block(F.col("content")).alias("b")).select("conv_id", "b.body", "b.found")
 
 
 def mime_body(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,132 +210,4 @@ QUERIES = {f.__name__: f for f in (
     "device_lines": _on_threads(signature.without_device_lines), "disclaimer_phrases": _on_threads(disclaimer.by_phrase), "disclaimer_position": _on_threads(disclaimer.by_position),
 }
 
-# The same in SQL. Its expressions are RE2's: white space and word characters are spelled out, and what would be a look-ahead is put back.
-_S = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
-_SET = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
-
-
-def _re2(pattern: str, flags: str) -> str:
-    out = pattern.replace(r"[\d\s\-+()]", rf"[\d{_SET}\-+()]").replace(r"[^\w\s.,;:!?'\"-]", rf"[^\p{{L}}\p{{M}}\p{{N}}_{_SET}.,;:!?'\"-]")
-    out = out.replace(r"\S", f"[^{_SET}]").replace(r"\Z", r"\z") if "[^" not in pattern else out.replace(r"\Z", r"\z")
-    return f"(?{flags})" + out.replace("'", "''") if rf"{_SET}" in out and r"\s*" not in out and r"\s+" not in out else f"(?{flags})" + out.replace(r"\s*", f"{_S}*").replace(r"\s+", f"{_S}+").replace("'", "''")
-
-
-def _sub(text: str, pattern: str, flags: str, to: str = "") -> str:
-    return f"regexp_replace({text}, '{_re2(pattern, flags)}', '{to}', 'g')"
-
-
-def _strip(text: str) -> str:
-    return f"regexp_replace({text}, '^{_S}+|{_S}+$', '', 'g')"
-
-
-def _chain(text: str, patterns, flags: str = "is") -> str:
-    for p in patterns:
-        text = _sub(text, p.replace(r"(?=\n\n|\Z)", r"(\n\n|\z)"), flags, r"\1" if "(?=" in p else "")
-    return text
-
-
-def _plain(text: str) -> str:
-    """ASCII stand-ins, so that word borders fall where they do in Unicode."""
-    spaced = rf"regexp_replace({text}, '[\x{{85}}\p{{Z}}]', ' ', 'g')"
-    return rf"regexp_replace(regexp_replace({spaced}, '[^\x{{00}}-\x{{7f}}\p{{L}}\p{{M}}\p{{N}}]', '#', 'g'), '[^\x{{00}}-\x{{7f}}]', 'x', 'g')"
-
-
-def _counts(patterns) -> str:
-    return ", ".join(f"len(regexp_extract_all({'p' if chr(92) + 'b' in p else 't'}, '{_re2(p, 'im')}'))" for p in patterns)
-
-
-def _score_sql(key: str, source: str) -> str:
-    n, q = len(score.NOISE), len(score.QUALITY)
-    noise, quality = (" + ".join(f"least({c}[{i + 1}] * {each}::DOUBLE, {most}::DOUBLE)" for i in range(k)) for c, k, each, most in (("n", n, 0.05, 0.2), ("q", q, 0.03, 0.1)))
-    return rf"""a AS (SELECT {key}, {_strip("coalesce(text, '')")} AS t FROM {source}), b AS (SELECT *, {_plain('t')} AS p, length(t) AS l FROM a),
-c AS (SELECT *, [{_counts(score.NOISE)}] AS n, [{_counts(score.QUALITY)}] AS q FROM b),
-d AS (SELECT *, CASE WHEN l < 10 THEN 0.1::DOUBLE WHEN l < 50 THEN 0.6::DOUBLE WHEN l < 200 THEN 0.9::DOUBLE WHEN l > 10000 THEN greatest(0.5::DOUBLE, 1.0::DOUBLE - (l - 10000) / 50000) ELSE 1.0::DOUBLE END AS f1,
-  greatest(0::DOUBLE, 1::DOUBLE - (0::DOUBLE + {noise})) AS f2, least(1::DOUBLE, 0.5::DOUBLE + (0::DOUBLE + {quality})) AS f3,
-  CASE WHEN len(regexp_extract_all(p, '[^a-zA-Z0-9_\s\x1c-\x1f.,;:!?''"-]')) / l > 0.1 THEN 0.6::DOUBLE WHEN len(list_filter(regexp_split_to_array(p, '[\s\x1c-\x1f]+'), lambda w: w <> '')) / l < 0.1 THEN 0.7::DOUBLE ELSE 1::DOUBLE END AS f4,
-  CASE WHEN NOT regexp_matches(right(t, 50), '[.!?]') THEN 0.7::DOUBLE WHEN regexp_matches(left(t, 1), '[,.;:!?]') THEN 0.8::DOUBLE ELSE 1::DOUBLE END AS f5 FROM c),
-s AS (SELECT *, f1 * 0.2::DOUBLE + f2 * 0.3::DOUBLE + f3 * 0.2::DOUBLE + f4 * 0.15::DOUBLE + f5 * 0.15::DOUBLE AS total FROM d)"""
-
-
-def _threads(select: str) -> str:
-    return f"WITH threads AS ({THREADS_SQL}) {select}"
-
-
-_TOTAL = "CASE WHEN t = '' THEN 0::DOUBLE ELSE round_even(greatest(0::DOUBLE, least(1::DOUBLE, total)), 3) END AS score, t <> '' AND total >= 0.85::DOUBLE AS is_reliable"
-
-
-def _diagnostics(column: str, patterns) -> str:
-    each = ", ".join("CASE WHEN {c}[{i}] > 0 THEN concat('{p}: ', {c}[{i}], ' matches') END".format(c=column, i=i + 1, p=p.replace("'", "''")) for i, p in enumerate(patterns))
-    return f"array_to_string(list_filter([{each}], lambda x: x IS NOT NULL), '; ')"
-
-
-def _attribution(text: str, patterns) -> str:
-    return _chain(text, patterns)
-
-
-def _squeeze(text: str) -> str:
-    lines = rf"string_split(regexp_replace(replace({text}, chr(0), ''), '\r\n?', chr(10), 'g'), chr(10))"
-    each = rf"""list_transform({lines}, lambda x: {_strip(f"regexp_replace(x, '{_S}+', ' ', 'g')")})"""
-    return _strip(rf"regexp_replace(array_to_string({each}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")
-
-
-def _preprocessed(select: str) -> str:
-    """Over p (conv_id, text, error): the threads, all of them plain, after preprocessing."""
-    text = _strip(_chain(_squeeze(f"nfc_normalize({_chain('content', preprocess.ATTRIBUTIONS)})"), preprocess.DISCLAIMERS))
-    found = f"SELECT conv_id, text, CASE WHEN text = '' THEN '{preprocess.EMPTY}' END AS error FROM (SELECT conv_id, {text} AS text FROM threads)"
-    return f"WITH threads AS ({THREADS_SQL}), p AS ({found}) {select}"
-
-
-_DEVICE = _re2(signature.DEVICE.replace(r"\A", "^"), "i").replace(r"\w", r"[\p{L}\p{M}\p{N}_]")
-_HEADER = _re2(disclaimer.HEADER, "i")
-SQL = {
-    "score_factors": f"WITH {_score_sql('doc_id', 'documents')} SELECT doc_id, " + ", ".join(f"CASE WHEN t <> '' THEN round_even(f{i + 1}, 3) END AS {f}_score" for i, f in enumerate(FACTORS)) + " FROM s",
-    "score_total": f"WITH {_score_sql('doc_id', 'documents')}, r AS (SELECT doc_id, {_TOTAL} FROM s) SELECT *, CASE WHEN score >= 0.85::DOUBLE THEN 'High' WHEN score >= 0.6::DOUBLE THEN 'Medium' ELSE 'Low' END AS band FROM r",
-    "score_threads": f"WITH threads AS (SELECT conv_id, content AS text FROM ({THREADS_SQL})), {_score_sql('conv_id', 'threads')} SELECT conv_id, {_TOTAL} FROM s",
-    "noise_diagnostics": f"WITH threads AS (SELECT conv_id, content AS text FROM ({THREADS_SQL})), {_score_sql('conv_id', 'threads')} SELECT conv_id, {_diagnostics('n', score.NOISE)} AS noise, {_diagnostics('q', score.QUALITY)} AS quality FROM s",
-    "sniff_html": f"SELECT page_id, coalesce(regexp_matches(html, '{_re2(html.SNIFF, 'i').replace(chr(92) + 's', _S)}'), false) AS is_html FROM pages",
-    "html_native_text": rf"""WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
-b AS (SELECT page_id, regexp_replace({"".join("regexp_replace(" for _ in html.REMOVED)}h{"".join(f", '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')" for t in html.REMOVED)}, '(?is)<hr\b[^>]*>', '', 'g') AS h FROM a),
-c AS (SELECT page_id, list_transform(regexp_split_to_array(h, '<[^>]*>'), lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS n FROM b)
-SELECT page_id, array_to_string(list_filter(list_transform(n, lambda x: {_strip('x')}), lambda x: x <> ''), ' ') AS text FROM c""",
-    "normalize_text": f"SELECT doc_id, {_squeeze('nfc_normalize(text)')} AS text FROM documents",
-    "empty_gate": f"SELECT doc_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[^{_SET}]') THEN '{preprocess.EMPTY}' END AS error FROM documents",
-    "preprocess_threads": _preprocessed("SELECT conv_id, text, error FROM p"),
-    "mime_body": _threads("SELECT conv_id, content AS text, CAST(NULL AS VARCHAR) AS html FROM threads"),
-    "extract_llm": _preprocessed(f"""SELECT conv_id, error IS NULL AS success, CASE WHEN error IS NULL THEN 'llm' ELSE '' END AS flow_used, 'LLM Agent' AS flow_label,
-  least(1::DOUBLE, length(m) / 1000::DOUBLE) AS confidence, m AS latest_message, error FROM (SELECT *, {_strip("string_split(text, chr(10) || chr(10))[1]")} AS m FROM p)"""),
-    "agent_event_rows": _preprocessed(f"""SELECT conv_id, CAST(i AS INTEGER) AS seq, CASE WHEN error IS NOT NULL THEN 'error' WHEN i BETWEEN 1 AND n THEN 'token' WHEN i = n + 6 THEN 'done' WHEN i IN (0, n + 2, n + 4) THEN 'start' ELSE 'agent_done' END AS type,
-  CASE WHEN error IS NOT NULL OR i BETWEEN 1 AND n OR i = n + 6 THEN NULL WHEN i IN (0, n + 1) THEN 'extraction' WHEN i IN (n + 2, n + 3) THEN 'cleanup' ELSE 'confidence' END AS agent,
-  CASE WHEN i BETWEEN 1 AND n THEN concat(w[i], ' ') END AS text, error AS message, CASE WHEN error IS NULL AND i = n + 6 THEN array_to_string(w, ' ') END AS latest_message,
-  CASE WHEN error IS NULL AND i = n + 6 THEN least(1::DOUBLE, length(array_to_string(w, ' ')) / 1000::DOUBLE) END AS confidence
-FROM (SELECT *, len(w) AS n, unnest(range(0, CASE WHEN error IS NULL THEN len(w) + 7 ELSE 1 END)) AS i
-  FROM (SELECT *, list_filter(regexp_split_to_array(string_split(text, chr(10) || chr(10))[1], '{_S}+'), lambda x: x <> '') AS w FROM p))"""),
-    "preview": _threads("SELECT conv_id, replace(left(content, 120), chr(10), ' ') AS content_preview FROM threads"),
-    "history_topk": "SELECT event_id AS id, replace(left(coalesce(props, ''), 120), chr(10), ' ') AS content_preview FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000",
-    "sse_events": """SELECT event_id, concat('data: {"type":"token"', CASE WHEN event_type IS NULL THEN '' ELSE concat(',"text":"', event_type, '"') END, '}', chr(10), chr(10)) AS line FROM events""",
-    "azure_urls": "SELECT page_id, CASE WHEN suffix(u, '.com/') THEN concat(u, 'openai/v1/') ELSE u END AS url FROM (SELECT page_id, concat(regexp_extract(url, '^(https?://[^/]+)', 1), '/') AS u FROM pages)",
-    "strip_attribution": _threads(f"SELECT conv_id, {_chain('content', preprocess.ATTRIBUTIONS)} AS text FROM threads"),
-    "preprocess_disclaimers": _threads(f"SELECT conv_id, {_strip(_chain('content', preprocess.DISCLAIMERS))} AS text FROM threads"),
-    "provider_list": """SELECT name, name IN ('anthropic', 'gemini') AS available, name IN ('anthropic', 'gemini') AS configured, name = 'anthropic' AS is_default
-FROM (VALUES ('openai'), ('azure_openai'), ('anthropic'), ('gemini')) AS p(name)""",
-    "agent_confidence": """SELECT event_id, round(CASE event_id % 6 WHEN 0 THEN CAST(concat('0.', n) AS DOUBLE) WHEN 1 THEN CASE WHEN n > 1 THEN n / 100 ELSE n END WHEN 2 THEN 0.5 WHEN 3 THEN CAST(concat('0.', n) AS DOUBLE) WHEN 4 THEN 1 ELSE CASE WHEN n > 1 THEN n / 100 ELSE n END END::DOUBLE, 3) AS confidence
-FROM (SELECT event_id, event_id % 100 AS n FROM events)""",
-    "agent_messages": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('m ', event_id % 100) WHEN 1 THEN concat('n ', event_id % 100) WHEN 2 THEN concat('plain ', event_id % 100) ELSE concat('{"other": "', event_id % 100, '"}') END AS message FROM events""",
-    "extract_event_errors": _threads(f"SELECT conv_id, CAST(0 AS INTEGER) AS seq, 'error' AS type, CASE WHEN regexp_matches(content, '[^{_SET}]') THEN 'no provider' ELSE '{preprocess.EMPTY}' END AS message FROM threads"),
-    "sig_lines": _threads(rf"""SELECT conv_id, array_to_string(CASE WHEN n IS NULL THEN l ELSE l[1 : n - 1] END, chr(10)) AS text FROM (
-  SELECT conv_id, l, coalesce(list_min(list_filter(range(1, len(l) + 1), lambda i: s[i] IN ('--', '—', '__') OR regexp_matches(s[i], '(?i)^(Best|Regards|Cheers|Thanks|Thank you|Sincerely|Yours truly),?{_S}*$')
-    AND i < len(l) AND s[i + 1] <> '' AND length(s[i + 1]) < 60 AND NOT regexp_matches(s[i + 1], '^[a-z]'))), list_min(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '{_DEVICE}')))) AS n
-  FROM (SELECT conv_id, l, list_transform(l, lambda x: {_strip('x')}) AS s FROM (SELECT conv_id, string_split(content, chr(10)) AS l FROM threads)))"""),
-    "reply_headers": _threads(f"SELECT conv_id, {_strip(_sub(_chain('content', reply.PATTERNS), r'''\n{3,}''', 's', chr(10) + chr(10)))} AS text FROM threads"),
-    "blockquote_fold": _threads(f"""SELECT conv_id, CASE WHEN contains(content, '>') THEN list_reduce(list_transform(string_split(content, chr(10)), lambda x: {{'q': false, 'n': 0, 't': x}}),
-      lambda s, x: CASE WHEN regexp_matches(x.t, '^{_S}*>') OR s.q AND NOT regexp_matches(x.t, '[^{_SET}]') THEN {{'q': true, 'n': s.n, 't': s.t}} ELSE {{'q': false, 'n': s.n + 1, 't': CASE WHEN s.n = 0 THEN x.t ELSE concat(s.t, chr(10), x.t) END}} END,
-      {{'q': false, 'n': 0, 't': ''}}).t ELSE content END AS text FROM threads"""),
-    "device_lines": _threads(f"SELECT conv_id, array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '{_DEVICE}')), chr(10)) AS text FROM threads"),
-    "disclaimer_phrases": _threads(f"SELECT conv_id, {_strip(_sub(_chain('content', disclaimer.PHRASES), r'''\n{3,}''', 's', chr(10) + chr(10)))} AS text FROM threads"),
-    "disclaimer_position": _threads(rf"""SELECT conv_id, CASE WHEN b IS NULL THEN content ELSE {_strip("CASE " + " ".join(f"WHEN regexp_matches(right(b, 100), '{s}') THEN concat(left(b, greatest(length(b) - 100, 0)), regexp_replace(right(b, 100), '(?s){s}.*', ''))" for s in disclaimer.SEPARATORS) + " ELSE b END")} END AS text
-FROM (SELECT conv_id, content, CASE WHEN regexp_matches(content, '{_HEADER}') THEN regexp_replace(content, '{_HEADER}(?s:.*)', '') END AS b FROM threads)"""),
-    "sig_patterns": _threads("SELECT conv_id, CASE " + " ".join(rf"WHEN regexp_matches(content, '{p}') THEN regexp_replace(regexp_replace(content, '{p}(?s:.*)', ''), '{_S}+\z', '')" for p in (_re2(x, "im") for x in signature.PATTERNS)) + " ELSE content END AS text FROM threads"),
-}
-# The same, but the tree knows all named references: the pages hold these two besides the basic five.
-_MORE = SQL["html_native_text"].replace("replace(x, '&lt;', '<')", "replace(replace(replace(x, '&lt;', '<'), '&copy;', '©'), '&middot;', '·')")
-SQL["html_tree_plain"] = f"SELECT page_id, text, CAST(NULL AS VARCHAR) AS error FROM ({_MORE})"
+__all__ = ["QUERIES", "SQL"]
