@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as str.split() and \s have it, for use inside and outside a character class.
@@ -20,6 +20,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The same table. Filters on what follows from the column aren't pushed below it, where Spark would write its whole expression into the filter, once for each use."""
+    return df.withColumn(name, F.when(F.rand(0) < 2, F.col(name)))
+
+
 def java(pattern: str, flags: str = "") -> str:
     """The Java form of a Python pattern: Unicode classes, Python's white space, \\n as the only line end, \\Z and $ at the end.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import squeeze, with_nfc
-from ..functions.rx import Spans, is_blank, remove, remove_all, strip, up_to_last
+from ..functions.rx import Spans, is_blank, remove, remove_all, settled, strip, up_to_last
 from .html import is_html, with_tree, without_forwarded
 from .mime import mime_bodies
 
@@ -57,5 +57,5 @@ def preprocess(df: DataFrame, content: str = "content", eml: str | None = None)
     step = with_tree(step, "__p", without_forwarded(source))
     step = step.withColumns({"text": F.coalesce("__p.text", plain), "html": F.coalesce("__p.html", F.lit("")), "error": F.coalesce(failed, "__p.error")})
     step = with_nfc(step.drop("__raw", "__eml", "__m", "__p").withColumn("text", strip_attributions(F.col("text"))), "text")
-    step = step.withColumn("text", strip_disclaimers(squeeze(F.col("text"))))
+    step = settled(step.withColumn("text", strip_disclaimers(squeeze(F.col("text")))), "text")
     return step.withColumn("error", F.coalesce("error", F.when(is_blank(F.col("text")), EMPTY)))

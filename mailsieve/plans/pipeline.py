@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rx import collapse, strip
+from ..functions.rx import collapse, settled, strip
 from ..operators import disclaimer, reply, signature
 from ..operators.score import THRESHOLD, score
 
@@ -72,4 +72,4 @@ def run_pipeline(df: DataFrame, threshold: float = THRESHOLD, steps: Sequence[St
     done = F.array_compact(F.array(*[F.when(F.col(f"__m{i}"), n) for i, n in enumerate(names)], F.lit("confidence_scoring")))
     ratio = F.when(F.col("original_length") > 0, F.bround((F.col("original_length") - F.length("text")) / F.col("original_length"), 3)).otherwise(0.0)
     df = df.withColumns({"steps_executed": done, "reduction_ratio": ratio}).drop(*[f"__m{i}" for i in range(len(names))])
-    return score(df, "text", threshold)
+    return score(settled(df, "text"), "text", threshold)
