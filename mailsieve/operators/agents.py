@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 3, 1.0, 10.0
@@ -28,6 +30,11 @@ ASK = {
 }
 TRACE = "array<struct<agent:string,success:boolean,output_preview:string,is_valid:boolean,issues:array<string>,suggested_fix:string,confidence:double>>"
 RESULT = f"llm_text string, llm_confidence double, llm_iterations int, llm_trace {TRACE}, llm_error string"
+ANSWER = pa.schema([
+    ("llm_text", pa.string()), ("llm_confidence", pa.float64()), ("llm_iterations", pa.int32()),
+    ("llm_trace", pa.list_(pa.struct([("agent", pa.string()), ("success", pa.bool_()), ("output_preview", pa.string()), ("is_valid", pa.bool_()), ("issues", pa.list_(pa.string())), ("suggested_fix", pa.string()), ("confidence", pa.float64())]))),
+    ("llm_error", pa.string()),
+])
 
 
 class Provider(Protocol):
@@ -37,7 +44,38 @@ class Provider(Protocol):
 
 
 class Transient(Exception):
-    """A failure that another attempt may mend: rate limits, connections, time-outs, server errors."""
+    """A failure that another attempt may mend: rate limits, connections, time-outs, server errors. after: seconds to wait, if the service says so."""
+
+    def __init__(self, *args, after: float | None = None):
+        super().__init__(*args)
+        self.after = after
+
+
+class Pace:
+    """At most so many requests a second, shared by the threads of a task: each takes the next free moment. 0: no limit."""
+
+    def __init__(self, per_second: float = 0, clock: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep):
+        self.gap, self.clock, self.wait, self.free, self.lock = 1 / per_second if per_second else 0.0, clock, wait, 0.0, threading.Lock()
+
+    def __call__(self) -> None:
+        if self.gap:
+            with self.lock:
+                now = self.clock()
+                at = max(now, self.free)
+                self.free = at + self.gap
+            if at > now:
+                self.wait(at - now)
+
+
+class _Paced:
+    """A provider that waits for its turn."""
+
+    def __init__(self, own: Provider, pace: Pace):
+        self.own, self.pace = own, pace
+
+    def invoke(self, prompt: str, system_message: str) -> str:
+        self.pace()
+        return self.own.invoke(prompt, system_message)
 
 
 def salvage(reply: str) -> str:
@@ -95,10 +133,10 @@ def ask(provider: Provider, agent: str, text: str, wait: Callable[[float], None]
     for attempt in range(ATTEMPTS):
         try:
             return provider.invoke(ASK[agent] + text, SYSTEM[agent])
-        except Transient:
+        except Transient as e:
             if attempt + 1 == ATTEMPTS:
                 raise
-            wait(min(LONGEST_WAIT, FIRST_WAIT * 2**attempt))
+            wait(min(LONGEST_WAIT, FIRST_WAIT * 2**attempt) if e.after is None else e.after)
     raise AssertionError
 
 
@@ -141,28 +179,39 @@ def flow(provider: Provider, content: str, wait: Callable[[float], None] = time.
     return {"llm_text": text, "llm_confidence": sure, "llm_iterations": cleanups, "llm_trace": trace, "llm_error": None}
 
 
-def llm_flow(df: DataFrame, provider: Callable[[], Provider], text: str = "text", only: str | None = None, strategy: str = "graph") -> DataFrame:
+def llm_flow(df: DataFrame, provider: Callable[[], Provider], text: str = "text", only: str | None = None, strategy: str = "graph", in_flight: int = 1, per_second: float = 0) -> DataFrame:
     """Adds llm_text, llm_confidence, llm_iterations, llm_trace and llm_error to every row; a provider for each partition.
 
     provider: builds the provider inside the task; if it can't, every row gets the error. only: a boolean column; the
-    provider sees the rows where it is true, the others get nulls. Null texts count as empty. strategy: that of `flow`.
+    provider sees the rows where it is true, the others get nulls. Null texts count as empty. strategy: that of `flow`. in_flight:
+    documents that a task has under way at once (the provider must bear as many threads); rows keep their order. per_second: requests
+    of a task a second, 0 for any number. Other columns pass in Arrow batches as they are, whatever their types; a table with
+    one of the new columns is an error.
     """
     if strategy not in MOST_CLEANUPS:
         raise ValueError(f"Unknown strategy: {strategy}")
-    names = df.columns
+    if clash := {c.lower() for c in df.columns} & {*ANSWER.names}:
+        raise ValueError(f"the table has columns {sorted(clash)} already")
+    texts, asks = df.columns.index(text), None if only is None else df.columns.index(only)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            own, why = provider(), None
+            own, why = _Paced(provider(), Pace(per_second)), None
         except Exception as e:
             own, why = None, str(e)
-        none = dict.fromkeys(("llm_text", "llm_confidence", "llm_iterations", "llm_trace", "llm_error"))
-        for pdf in batches:
-            asked = [True] * len(pdf) if only is None else pdf[only].tolist()
-            rows = [none if not a else none | {"llm_error": why} if own is None else flow(own, t or "", strategy=strategy) for a, t in zip(asked, pdf[text], strict=True)]
-            for c in none:
-                pdf[c] = pd.Series([r[c] for r in rows], index=pdf.index, dtype=object)
-            yield pdf
+        none = dict.fromkeys(ANSWER.names)
+
+        def answer(asked: bool | None, content: str | None) -> dict:
+            if not asked:
+                return none
+            return none | {"llm_error": why} if own is None else flow(own, content or "", strategy=strategy)
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                wanted = [True] * batch.num_rows if asks is None else batch.column(asks).to_pylist()
+                rows = [*pool.map(answer, wanted, batch.column(texts).to_pylist())]
+                columns = [pa.array([r[f.name] for r in rows], f.type) for f in ANSWER]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *ANSWER.names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{kinds}, {RESULT}").select(*names, "llm_text", "llm_confidence", "llm_iterations", "llm_trace", "llm_error")
+    return df.mapInArrow(run, f"{kinds}, {RESULT}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normalize import squeeze, with_nfc
 from ..functions.rx import Spans, is_blank, remove, remove_all, settled, strip, up_to_last
@@ -40,16 +41,18 @@ def preprocess(df: DataFrame, content: str = "content", eml: str | None = None)
     """Adds text (normalised), html (cleaned HTML, empty if the body is plain) and error (null if fine) to every row.
 
     eml: name of a boolean column that marks RFC-822 sources. The parsers get null for rows they aren't for, so only .eml
-    and HTML rows, and texts beyond ASCII, pass through Arrow. Null content counts as empty; an empty result has an error.
+    and HTML rows, and texts beyond ASCII, pass through Arrow. Null content counts as empty; an empty result has an error. Content may be
+    binary: messages are parsed as bytes, each part in its charset, and anything else is UTF-8; bytes that don't fit become U+FFFD.
     No shuffle; works on streams.
     """
-    for name in ("text", "html", "error"):
-        if name in df.columns:
-            raise ValueError(f"the table has a column {name} already")
-    raw, none = F.coalesce(F.col(f"`{content}`").cast("string"), F.lit("")), F.lit(None).cast("string")
+    if clash := {c.lower() for c in df.columns} & {"text", "html", "error", "__raw", "__eml", "__m", "__p", "__s"}:
+        raise ValueError(f"the table has columns {sorted(clash)} already")
+    binary, none = isinstance(df.schema[content].dataType, T.BinaryType), F.lit(None).cast("string")
+    text = F.col(f"`{content}`").cast("string")
+    raw = F.coalesce(F.make_valid_utf8(text) if binary else text, F.lit(""))
     step = df.withColumns({"__raw": raw, "__eml": F.coalesce(F.col(f"`{eml}`"), F.lit(False)) if eml else F.lit(False)})
     if eml:
-        step = step.withColumn("__m", mime_bodies(F.when(F.col("__eml"), F.col("__raw"))))
+        step = step.withColumn("__m", mime_bodies(F.when(F.col("__eml"), F.coalesce(F.col(f"`{content}`"), F.lit(b"")) if binary else F.col("__raw"))))
         source = F.when(F.col("__eml"), F.col("__m.html")).when(is_html(F.col("__raw")), F.col("__raw"))
         plain, failed = F.when(F.col("__eml"), F.coalesce("__m.text", F.lit(""))).otherwise(F.col("__raw")), F.col("__m.error")
     else:

@@ -10,23 +10,28 @@ from pyspark.sql import functions as F
 from ..operators.agents import TRACE, Provider, llm_flow
 from ..operators.preprocess import preprocess
 from ..operators.score import THRESHOLD
+from ..sources.answers import Answers
 from .pipeline import run_pipeline
 
 MODES = ("non_llm", "llm", "auto")
 NO_PROVIDER = "no provider"
+#: Columns that the router adds or needs for itself.
+OWN = ("success", "flow_used", "confidence", "latest_message", "metadata", "agent_trace", "llm_text", "llm_confidence", "llm_iterations", "llm_trace", "llm_error", "__mode", "__source", "__error", "__need")
 
 
-def route(df: DataFrame, mode: str | None = "auto", threshold: float = THRESHOLD, provider: Callable[[], Provider] | None = None, strategy: str = "graph") -> DataFrame:
+def route(df: DataFrame, mode: str | None = "auto", threshold: float = THRESHOLD, provider: Callable[[], Provider] | None = None, strategy: str = "graph", in_flight: int = 1, per_second: float = 0, answers: Answers | None = None) -> DataFrame:
     """Responses for preprocessed rows (columns text, error): success, flow_used, confidence, latest_message, error, metadata, agent_trace.
 
     mode: one of MODES, or None for a column `mode` (null: auto; other values: an error in the row). One pass: the agents
     are asked, inside their tasks, only for mode llm and the unreliable rows of mode auto, with the preprocessed text. A
     provider that can't be built leaves auto rows with the deterministic result; where the model answered in mode auto, that
-    result is kept in metadata.non_llm_fallback. With a provider, save the result before
-    using it twice: each action asks it again. strategy: the agents' loop (`operators.agents.flow`). All other columns stay; no shuffle, no union, no second scan.
+    result is kept in metadata.non_llm_fallback. With a provider but without `answers`, save the result before
+    using it twice: each action asks it again. answers: a store that is asked first and gets what is new, at once (`sources.answers`). in_flight, per_second: those of `llm_flow`. A table that has a column of OWN is an error. strategy: the agents' loop (`operators.agents.flow`). All other columns stay; no shuffle, no union, no second scan.
     """
     if mode is not None and mode not in MODES:
         raise ValueError(f"Unknown mode: {mode}")
+    if clash := {c.lower() for c in df.columns} & {*OWN}:
+        raise ValueError(f"the table has columns {sorted(clash)} already")
     names = [c for c in df.columns if c not in ("text", "html", "error", "mode")]
     own, none = F.coalesce("mode", F.lit("auto")) if mode is None else F.lit(mode), F.lit(None).cast("string")
     unknown = F.when(~F.col("__mode").isin(*MODES), F.concat(F.lit("Unknown mode: "), F.col("__mode")))
@@ -37,7 +42,8 @@ def route(df: DataFrame, mode: str | None = "auto", threshold: float = THRESHOLD
     if provider is None:
         rows = rows.withColumns({"llm_text": none, "llm_confidence": none.cast("double"), "llm_iterations": none.cast("int"), "llm_trace": F.lit(None).cast(TRACE), "llm_error": F.when(need, NO_PROVIDER)})
     elif mode != "non_llm":
-        rows = llm_flow(rows.withColumn("__need", need), provider, "__source", "__need", strategy)
+        rows, options = rows.withColumn("__need", need), {"strategy": strategy, "in_flight": in_flight, "per_second": per_second}
+        rows = answers.complete(rows, provider, "__source", "__need", **options) if answers else llm_flow(rows, provider, "__source", "__need", **options)
     else:
         rows = rows.withColumns({"llm_text": none, "llm_confidence": none.cast("double"), "llm_iterations": none.cast("int"), "llm_trace": F.lit(None).cast(TRACE), "llm_error": none})
     answered, failed = F.col("llm_text").isNotNull(), F.col("llm_error").isNotNull()
@@ -59,6 +65,6 @@ def route(df: DataFrame, mode: str | None = "auto", threshold: float = THRESHOLD
     )
 
 
-def extract(df: DataFrame, mode: str | None = "auto", content: str = "content", eml: str | None = None, threshold: float = THRESHOLD, provider: Callable[[], Provider] | None = None, strategy: str = "graph") -> DataFrame:
-    """The latest message of every document, in batch or on a stream: `preprocess`, then `route`."""
-    return route(preprocess(df, content, eml), mode, threshold, provider, strategy)
+def extract(df: DataFrame, mode: str | None = "auto", content: str = "content", eml: str | None = None, threshold: float = THRESHOLD, provider: Callable[[], Provider] | None = None, **options) -> DataFrame:
+    """The latest message of every document, in batch or on a stream: `preprocess`, then `route` with its options."""
+    return route(preprocess(df, content, eml), mode, threshold, provider, **options)

@@ -14,16 +14,29 @@ def requests(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"mode": F.coalesce("mode", F.lit("auto")), "is_eml": F.coalesce("is_eml", F.lit(False))})
 
 
+def utf8(content):
+    """Bytes as text, with U+FFFD for what isn't UTF-8."""
+    return F.make_valid_utf8(F.col(content).cast("string"))
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """path and content of whole files, as UTF-8 with U+FFFD for what isn't."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("content"))
+    return spark.read.format("binaryFile").load(path).select("path", utf8("content").alias("content"))
 
 
 def eml_files(spark: SparkSession, path: str) -> DataFrame:
-    return text_files(spark, path).withColumn("is_eml", F.lit(True))
+    """path, content (the bytes, as a message's parts name their own charsets) and is_eml of whole files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content", F.lit(True).alias("is_eml"))
+
+
+#: A table below this size for each core may be dealt out anew.
+SPREAD_BYTES = 128 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than the session has cores, dealt over all cores: each row group is read by one task, and texts take time. Other tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    """A table whose scan has fewer splits than the session has cores, and at most SPREAD_BYTES a core, dealt over all cores: cleaning takes
+    far longer than moving so little. Any larger table, and any with enough splits, stays as it is, whatever its number of files."""
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if plan.toRdd().getNumPartitions() >= cores or int(str(plan.optimizedPlan().stats().sizeInBytes())) > cores * SPREAD_BYTES:
+        return df
+    return df.repartition(cores)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,10 @@ from ..operators.score import THRESHOLD
 from ..plans.pipeline import run_pipeline
 
 RESULT = "struct<latest_message:string,confidence:double,flow_used:string>"
+KINDS = pa.schema([
+    ("seq", pa.int32()), ("type", pa.string()), ("agent", pa.string()), ("text", pa.string()), ("message", pa.string()),
+    ("result", pa.struct([("latest_message", pa.string()), ("confidence", pa.float64()), ("flow_used", pa.string())])),
+])
 EVENT = f"seq int, type string, agent string, text string, message string, result {RESULT}"
 
 
@@ -65,18 +69,19 @@ def agent_events(df: DataFrame, provider: Callable[[], Provider], id_col: str =
         yield {"type": "agent_done", "agent": "confidence"}
         yield {"type": "done", "result": {"latest_message": got, "confidence": sure, "flow_used": "llm_stream"}}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             own, why = provider(), None
         except Exception as e:
             own, why = None, str(e)
-        for pdf in batches:
-            for key, text, error in pdf.itertuples(index=False):
+        for batch in batches:
+            for i, (text, error) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 bad = error or why
-                rows = [{id_col: key, "seq": seq, "agent": None, "text": None, "message": None, "result": None} | e for seq, e in enumerate([{"type": "error", "message": bad}] if bad else events(own, text))]
-                yield pd.DataFrame(rows, columns=[id_col, "seq", "type", "agent", "text", "message", "result"], dtype=object)  # a document's events go on at once
+                rows = [dict.fromkeys(KINDS.names) | {"seq": seq} | e for seq, e in enumerate([{"type": "error", "message": bad}] if bad else events(own, text))]
+                key = batch.column(0).take(pa.array([i] * len(rows)))  # the id as it is, in its own type
+                yield pa.RecordBatch.from_arrays([key, *[pa.array([r[f.name] for r in rows], f.type) for f in KINDS]], names=[id_col, *KINDS.names])  # a document's events go on at once
 
-    return ready.mapInPandas(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {EVENT}")
+    return ready.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {EVENT}")
 
 
 def extract_events(df: DataFrame, mode: str = "auto", provider: Callable[[], Provider] | None = None, **options) -> DataFrame:
