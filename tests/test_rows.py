@@ -133,8 +133,8 @@ def test_spread_goes_by_splits(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan(spread(spark.read.parquet(f"{tmp_path}/one")))
     old = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
     try:
         assert "Repartition" not in plan(spread(spark.read.parquet(f"{tmp_path}/one"))) and "Repartition" not in plan(spread(spark.read.parquet(f"{tmp_path}/many")))
     finally:
