@@ -34,6 +34,9 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+_OWN: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors reach: spark.checkpoint.dir. Only a local session without it gets one of its own."""
     context = spark.sparkContext
@@ -45,6 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = context.getCheckpointDir()
     elif not context.getCheckpointDir():
         context.setCheckpointDir(found)
+    own = context.getCheckpointDir()
+    if own not in _OWN:  # Spark keeps checkpoints; its folder for this application's goes when the driver ends
+        _OWN.add(own)
+        atexit.register(_forget, spark, own)
     return found.rstrip("/")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -104,6 +105,8 @@ COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©|[:,]?[ \t]*[0-
 SEPARATORS = r"[^\p{L}\p{N}]+"
 #: Every known text has one of these words; documents without them have no notices.
 KEY = "licen|permission|software|(?:released|distributed|available) under"
+#: So does every run that is one, in at least one of its canonical lines.
+KEY_WORD = re.compile("licen|permission|software|under")
 
 
 def canonical(text: Column) -> Column:
@@ -124,13 +127,17 @@ def known_texts(spark: SparkSession, texts: Sequence[tuple[str, str]] | None = N
 
 
 def runs(lines: list[str], known: dict[str, str], counts: np.ndarray) -> list[str]:
-    """The licences whose known text is a run of whole canonical lines, in alphabetical order; counts: the words of known texts, each once."""
+    """The licences whose known text is a run of whole canonical lines, in alphabetical order; counts: the words of known texts, each once.
+
+    Only runs with a word that all known texts have are hashed: texts cost in proportion to their lines near such words.
+    """
     lines = [x for x in lines if x]
     ends = np.cumsum([0, *(x.count(" ") + 1 for x in lines)])
+    keys = np.cumsum([0, *(KEY_WORD.search(x) is not None for x in lines)])
     found = set()
     for c in counts.tolist():
-        to = np.searchsorted(ends, ends + c)
-        for i in np.flatnonzero((to < len(ends)) & (ends[np.minimum(to, len(ends) - 1)] == ends + c)).tolist():
+        to = np.minimum(np.searchsorted(ends, ends + c), len(ends) - 1)
+        for i in np.flatnonzero((ends[to] == ends + c) & (keys[to] > keys)).tolist():
             if licence := known.get(hashlib.sha256(" ".join(lines[i : int(to[i])]).encode()).hexdigest()):
                 found.add(licence)
     return sorted(found)

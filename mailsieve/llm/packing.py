@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import CHUNKS, LETTERS, PLAIN, Memory, Vocabulary, no_cycles, vocabulary
-from .common import only, scratch, slices
+from .common import free, only, scratch, slices
 
 
 class IdEncoder:
@@ -157,15 +157,16 @@ def pack(docs: DataFrame, vocab: str, capacity: int = 2048, id_col: str = "doc_i
     32-bit little-endian ids), doc_tokens (ids with the closing id), sequence_id (from 0) and offset (gapless from 0).
     Only documents longer than a sequence are cut. The program counts in steps of `unit` tokens (it divides the capacity;
     lengths are rounded up, which pads less than a step a piece), so the driver gets a histogram of at most
-    capacity / unit classes whatever the input. Ranks inside a class come from parts of about `deal` pieces, so a class that holds most
-    pieces is no single task. Null and empty texts are one piece of one id; null or repeated ids and repeated rows are
+    capacity / unit classes whatever the input. Ranks inside a class come from parts of about `deal` pieces, dealt by the number that each piece
+    was written with, so neither a class that holds most pieces nor copies of one row are a single task. Null and empty texts are one piece of one id; null or repeated ids and repeated rows are
     documents of their own; an empty table gives no rows.
     """
     spark = docs.sparkSession
     path = scratch(spark, "pieces")
     if capacity % unit:
         raise ValueError("the unit must divide the capacity")
-    cut_documents(docs, vocab, capacity, id_col=id_col, text_col=text_col).write.parquet(path)
+    number = free(docs, "piece")
+    cut_documents(docs, vocab, capacity, id_col=id_col, text_col=text_col).withColumn(number, F.monotonically_increasing_id()).write.parquet(path)
     pieces = spark.read.parquet(path)
     classed = pieces.withColumn("class", F.expr(f"int((length + {unit - 1}) div {unit}) - 1"))
     demand = np.zeros(capacity // unit, np.int64)
@@ -182,7 +183,7 @@ def pack(docs: DataFrame, vocab: str, capacity: int = 2048, id_col: str = "doc_i
     tables = {k: (np.array([0, *accumulate(a * t for a, t, _, _ in u)]), np.array([a for a, _, _, _ in u]), np.array([b for _, _, b, _ in u]), np.array([s for _, _, _, s in u])) for k, u in uses.items()}
 
     salts = max(1, -(-int(demand.max(initial=0)) // deal))
-    classed = classed.withColumn("part", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(salts)))
+    classed = classed.withColumn("part", F.pmod(F.xxhash64(number), F.lit(salts)))
     before = classed.groupBy("class", "part").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("class", "part", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = classed.withColumn("rank", F.row_number().over(Window.partitionBy("class", "part").orderBy(F.desc("length"), id_col, "start", "ids_crc32")) - 1)

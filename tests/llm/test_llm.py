@@ -502,3 +502,37 @@ def test_pipeline_stages_on_odd_tables(spark):
             assert kept.columns == odd.columns and kept.count() <= 10
         else:
             assert kept.where("start = 0").count() == 10
+
+
+def test_runs_of_one_word_lines_are_fast():
+    """A million lines of a word list that mentions software once: only runs near it are hashed."""
+    known = licences.FULL
+    counts, digests = np.unique([n for _, _, n in known]), {d: licence for licence, d, _ in known}
+    lines = [f"w{i}" for i in range(1_000_000)]
+    lines[500_000] = "software"
+    began = time.perf_counter()
+    assert licences.runs(lines, digests, counts) == [] and time.perf_counter() - began < 10
+    text = ["this work is free", "software for all"]
+    digest = hashlib.sha256(" ".join(text).encode()).hexdigest()
+    assert licences.runs(["x", *text, "y"], {digest: "own"}, np.array([7])) == ["own"]
+
+
+def test_copies_of_a_row_are_ranked_in_parts(spark):
+    """One row many times over: parts hold about equally many, and all pieces fit."""
+    rows = docs(spark, [(1, "same words again")]).crossJoin(spark.range(3000).select())
+    got = packing.pack(rows, bpe.vocabulary_path("byte_bpe_50k.json"), deal=500).collect()
+    assert len(got) == 3000 and len({(r["sequence_id"], r["offset"]) for r in got}) == 3000 and max(r["offset"] + r["length"] for r in got) <= 2048
+
+
+def test_checkpoints_go_with_the_driver(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/c").getOrCreate()
+from mailsieve.llm.common import cut
+cut(spark.range(5)).count()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2], capture_output=True, timeout=200)
+    assert not [p for p in tmp_path.rglob("rdd-*")]
