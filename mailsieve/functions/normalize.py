@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rx import WS, collapse, lines, strip
+from .rx import WS, collapse, let, lines, strip
 
 
 @F.pandas_udf(T.StringType())
@@ -23,8 +23,15 @@ def with_nfc(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(nfc(other), F.col(column)))
 
 
+#: What a squeezed text never holds.
+LOOSE = r"[\x00\t\x0b-\r\x1c-\x1f\x85\p{Z}&&[^ ]]| [ \n]|\n |\n{3}|\A[ \n]|[ \n]\z"
+
+
 def squeeze(text: Column) -> Column:
-    """No NUL, \\n as line end, single spaces, at most one empty line in a row, nothing blank at the ends."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"\x00", ""), "\r\n?", "\n")
-    each = F.transform(lines(plain), lambda x: strip(F.regexp_replace(x, f"{WS}+", " ")))
-    return strip(collapse(F.array_join(each, "\n")))
+    """No NUL, \\n as line end, single spaces, at most one empty line in a row, nothing blank at the ends. Texts that are so already are only looked at."""
+    def lines_of(t: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(t, r"\x00", ""), "\r\n?", "\n")
+        each = F.transform(lines(plain), lambda x: strip(F.regexp_replace(x, f"{WS}+", " ")))
+        return strip(collapse(F.array_join(each, "\n")))
+
+    return let(text, lambda t: F.when(t.rlike(LOOSE), lines_of(t)).otherwise(t))

@@ -27,6 +27,8 @@ MOST_LINES, LONGEST_LINE = 11, 60
 PHONE = r"\A(?:sent from my[\s,!\w]*\Z|sent from Mailbox for iPhone|sent (?:\S* )?from my BlackBerry|Enviado desde mi (?:\w+ ){0,2}BlackBerry)"
 BEGINS = r"\A(?:\s*-+\s*[a-z .]*|thanks[\s,!]*|regards[\s,!]*|cheers[\s,!]*|best[ a-z]*[\s,!]*)\Z"
 CANDIDATE = r"\A(c+d?(?!d)|c+|d(?!d))"
+#: What stands at the beginning of some line of a text with a signature or a device's line.
+SOME_LINE = r"(?:\A|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])[\t \x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*+(?:-|thanks|regards|cheers|best|sent |enviado)"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -56,7 +58,8 @@ def end_block(text: Column) -> Column:
         return let(let(some, begin), lambda i: F.struct(strip(body(i)).alias("body"), (found | i.isNotNull()).alias("found")))
 
     parted = lambda x: let(F.split(x["body"], LINE_END, -1), lambda rows: cut(rows, x["body"], x["found"]))
-    return F.when(text.isNull(), F.struct(F.lit(None).cast("string").alias("body"), F.lit(False).alias("found"))).otherwise(let(let(text, without_device), parted))
+    searched = lambda t: F.when(t.rlike(f"(?iu){SOME_LINE}"), let(without_device(t), parted)).otherwise(F.struct(strip(t).alias("body"), F.lit(False).alias("found")))
+    return F.when(text.isNull(), F.struct(F.lit(None).cast("string").alias("body"), F.lit(False).alias("found"))).otherwise(let(text, searched))
 
 
 def without_device_lines(text: Column) -> Column:
