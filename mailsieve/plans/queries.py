@@ -13,7 +13,7 @@ from ..operators import agents, disclaimer, html, mime, preprocess, reply, score
 from ..sources.history import content_preview, newest
 from ..sources.providers import azure_url_column, providers_df
 from ..sources.readers import spread
-from ..sources.threads import as_eml, threads
+from ..sources.threads import as_eml, as_eml_bytes, html_threads, threads
 from ..streaming.events import agent_events, deterministic_events, extract_events, sse
 from .pipeline import run_pipeline
 from .router import extract
@@ -105,6 +105,17 @@ def mime_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads(spark, sf_dir).select("conv_id", mime.mime_bodies(as_eml(F.col("content"))).alias("m")).select("conv_id", "m.text", "m.html")
 
 
+def mime_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as bytes: nested multiparts, base64, quoted-printable and ISO-8859-1."""
+    messages = threads(spark, sf_dir).select("conv_id", as_eml_bytes(F.col("content"), F.col("conv_id")).alias("source"))
+    return messages.select("conv_id", mime.mime_bodies("source").alias("m")).select("conv_id", "m.text", "m.html", "m.error")
+
+
+def html_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTML mails without their quoted subtrees."""
+    return html.with_tree(html_threads(spark, sf_dir), "p", html.without_forwarded(F.col("html"))).select("conv_id", "p.text", "p.error")
+
+
 def preprocess_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.preprocess(threads(spark, sf_dir)).select("conv_id", "text", "error")
 
@@ -202,7 +213,7 @@ def _quoted(text: Column) -> Column:
 
 
 QUERIES = {f.__name__: f for f in (
-    extract_non_llm, score_factors, score_total, score_threads, noise_diagnostics, sniff_html, html_native_text, html_tree_text, html_tree_plain, normalize_text, empty_gate, visible_fragments, signature_block, mime_body, preprocess_threads,
+    extract_non_llm, score_factors, score_total, score_threads, noise_diagnostics, sniff_html, html_native_text, html_tree_text, html_tree_plain, normalize_text, empty_gate, visible_fragments, signature_block, mime_body, mime_bytes, html_quotes, preprocess_threads,
     pipeline_metadata, extract_auto_no_provider, extract_auto_llm, extract_llm, extract_documents, history_topk, preview, sse_events, event_rows, azure_urls, provider_list, agent_confidence, agent_messages, agent_event_rows, extract_event_errors,
 )} | {
     "strip_attribution": _on_threads(preprocess.strip_attributions), "preprocess_disclaimers": _on_threads(preprocess.strip_disclaimers), "blockquote_fold": _on_threads(_quoted),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import disclaimer, html, preprocess, reply, score, signature
-from ..sources.threads import THREADS_SQL
+from ..sources.threads import HTML_SQL, THREADS_SQL
 
 FACTORS = ("length", "noise", "quality", "readability", "completeness")
 
@@ -248,3 +248,18 @@ SELECT conv_id, t3 AS text, array_to_string(list_filter([CASE WHEN m1 THEN 'repl
   CAST(length(c.t) AS INTEGER) AS original_length, CAST(length(t1) AS INTEGER) AS after_reply_removal_length, CAST(length(t2) AS INTEGER) AS after_signature_removal_length, CAST(length(t3) AS INTEGER) AS after_disclaimer_removal_length,
   CASE WHEN length(c.t) > 0 THEN round_even((length(c.t) - length(t3)) / length(c.t)::DOUBLE, 3) ELSE 0::DOUBLE END AS reduction_ratio, score, is_reliable
 FROM cleaned c JOIN (SELECT conv_id, {_TOTAL} FROM s) u USING (conv_id)"""
+SQL["mime_bytes"] = _threads(r"SELECT conv_id, CASE WHEN conv_id % 4 = 1 THEN regexp_replace(content, '[^\x00-\x{ff}]', '?', 'g') ELSE content END AS text, CAST(NULL AS VARCHAR) AS html, CAST(NULL AS VARCHAR) AS error FROM threads")
+# Tags are numbered and nested by a running depth. Between a quoted tag and its end a sum over marks is above 0; what no tag outside parts is one text.
+SQL["html_quotes"] = rf"""WITH h AS ({HTML_SQL}),
+t AS (SELECT conv_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT conv_id, regexp_extract_all(html, '<[^>]*>|[^<]+') AS x FROM h)),
+k AS (SELECT *, CASE WHEN starts_with(x, '</') THEN -1 WHEN regexp_matches(x, '^<[a-z]') AND NOT starts_with(x, '<hr') THEN 1 ELSE 0 END AS step,
+  regexp_matches(x, '(?i)^<[a-z]+[^>]* class="[^"]*(reply|forward|quote|original)') OR regexp_matches(x, '^<[a-z]+[^>]* class="([^"]* )?gmail_(attr|extra)[ "]') AS quoted FROM t),
+d AS (SELECT *, sum(step) OVER (PARTITION BY conv_id ORDER BY i) AS depth FROM k),
+q AS (SELECT d.conv_id, d.i AS a, min(e.i) AS b FROM d JOIN d e ON e.conv_id = d.conv_id AND e.i > d.i AND e.step = -1 AND e.depth = d.depth - 1 WHERE d.quoted GROUP BY d.conv_id, d.i),
+m AS (SELECT conv_id, a AS i, 1 AS mark FROM q UNION ALL SELECT conv_id, b + 1, -1 FROM q),
+s AS (SELECT d.*, coalesce(sum(m.mark), 0) AS mark FROM d LEFT JOIN m ON m.conv_id = d.conv_id AND m.i = d.i GROUP BY ALL),
+o AS (SELECT *, sum(mark) OVER (PARTITION BY conv_id ORDER BY i) AS inside FROM s),
+n AS (SELECT *, sum(CASE WHEN step <> 0 AND inside = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS node FROM o),
+g AS (SELECT conv_id, node, string_agg(x, '' ORDER BY i) AS x FROM n WHERE inside = 0 AND NOT starts_with(x, '<') GROUP BY conv_id, node),
+c AS (SELECT conv_id, node, {_strip("replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS x FROM g)
+SELECT conv_id, coalesce(text, '') AS text, CAST(NULL AS VARCHAR) AS error FROM h LEFT JOIN (SELECT conv_id, string_agg(x, ' ' ORDER BY node) AS text FROM c WHERE x <> '' GROUP BY conv_id) USING (conv_id)"""

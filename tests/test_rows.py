@@ -13,6 +13,7 @@ from mailsieve.operators.preprocess import preprocess
 from mailsieve.plans.queries import Echo
 from mailsieve.plans.router import OWN, extract
 from mailsieve.sources.answers import Answers
+from mailsieve.sources.history import History
 from mailsieve.sources.readers import eml_files, spread, text_files
 from mailsieve.streaming.events import agent_events
 
@@ -140,3 +141,33 @@ def test_spread_goes_by_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", old[0])
         spark.conf.set("spark.sql.files.maxPartitionBytes", old[1])
+
+
+def test_history_of_a_stream(spark, tmp_path):
+    """A batch that is played again adds nothing; ids stay; compaction keeps the newest; a failing save only warns."""
+    (tmp_path / "in").mkdir()
+    kept = History(spark, f"{tmp_path}/h")
+    save = kept.sink()
+
+    def twice(batch, number):
+        save(batch, number)
+        save(batch, number)
+
+    for k in range(3):
+        spark.createDataFrame([(f"Message {k} is here.\nAnd {i}.",) for i in range(4)], "content string").select("content", F.col("content").alias("raw")).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("content string, raw string").parquet(f"{tmp_path}/in")
+        extract(stream, "non_llm").writeStream.foreachBatch(twice).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    rows = kept.load().collect()
+    assert len(rows) == 12 and len({r["id"] for r in rows}) == 12
+    batch = extract(spark.createDataFrame([("Once more.", "Once more.")], "content string, raw string"), "non_llm")
+    save(batch, 7)
+    save(batch, 7)
+    assert kept.load().count() == 13
+    kept.compact(5)
+    assert kept.load().count() == 5 and "Once more." in {r["latest_message"] for r in kept.load().collect()}
+    kept.save(batch)
+    assert kept.load().count() == 6
+    with pytest.warns(UserWarning, match="not saved"):
+        assert kept.try_save(batch, content="nowhere") is False
+    kept.clear()
+    assert kept.load().count() == 0
