@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,16 @@ class Echo:
         yield from (w + " " for w in prompt.partition("\n\n")[2].split("\n\n")[0].split())
 
 
+class Picky(Echo):
+    """Finds messages of more than 120 characters invalid, however often they are cleaned."""
+
+    def invoke(self, prompt: str, system_message: str) -> str:
+        if prompt.startswith(agents.ASK["validation"]):
+            fine = len(prompt) - len(agents.ASK["validation"]) <= 120
+            return json.dumps({"is_valid": fine, "issues": [] if fine else ["long"], "suggested_fix": "" if fine else "shorten it"})
+        return super().invoke(prompt, system_message)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
@@ -193,9 +204,31 @@ def agent_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.pandas_udf(lambda reply: reply.map(agents.parse_confidence), "double")("reply").alias("confidence"))
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def agent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _replies(spark, sf_dir, ('{"extracted_message": "m #"}', 'Here: ```json\n{"extracted_message": "n #"}\n``` done', " plain # ", '{"other": "#"}'))
-    return rows.select("event_id", F.pandas_udf(lambda reply: reply.map(lambda r: agents.parse_text(r, "extracted_message")), "string")("reply").alias("message"))
+    """Every turn as what a model might reply with: as JSON, fenced, bare, beside other JSON."""
+    whole = F.to_json(F.struct(F.col("text").alias("extracted_message")))
+    reply_of = F.when(F.col("turn") % 4 == 0, whole).when(F.col("turn") % 4 == 1, F.concat(F.lit("Here: ```json\n"), whole, F.lit("\n``` done"))).when(F.col("turn") % 4 == 2, F.concat(F.lit(" \n"), F.col("text"), F.lit("\t"))).otherwise(F.concat(F.lit('{"other": 1} '), F.col("text")))
+    parse = F.pandas_udf(lambda reply: reply.map(lambda r: agents.parse_text(r, "extracted_message")), "string")
+    return _turns(spark, sf_dir).select("conv_id", "turn", parse(reply_of).alias("message"))
+
+
+def agent_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every turn: as JSON with the turn as an issue, in words, with fields of wrong types."""
+    whole = F.to_json(F.struct((F.length("text") > 100).alias("is_valid"), F.array("text", F.lit("b")).alias("issues"), F.left("text", F.lit(20)).alias("suggested_fix")))
+    reply_of = F.when(F.col("turn") % 3 == 0, whole).when(F.col("turn") % 3 == 1, F.when(F.length("text") > 100, "All is well").otherwise("This is INVALID")).otherwise(F.concat(F.lit('{"is_valid": "yes", "issues": 1} '), F.when(F.length("text") > 100, "False").otherwise("")))
+    parse = F.pandas_udf(lambda reply: pd.DataFrame([agents.parse_validation(r) for r in reply], columns=["is_valid", "issues", "suggested_fix"]), "is_valid boolean, issues array<string>, suggested_fix string")
+    return _turns(spark, sf_dir).select("conv_id", "turn", parse(reply_of).alias("v")).select("conv_id", "turn", "v.is_valid", F.array_join("v.issues", "|").alias("issues"), "v.suggested_fix")
+
+
+def agent_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each agent did, with one that is never content with long messages."""
+    found = extract(threads(spark, sf_dir), "llm", provider=Picky, in_flight=4)
+    steps = found.select("conv_id", F.col("metadata.iterations").alias("iterations"), F.posexplode("agent_trace").alias("seq", "step"))
+    return steps.select("conv_id", "iterations", "seq", "step.agent", "step.success", "step.output_preview", "step.is_valid", F.array_join("step.issues", "|").alias("issues"), "step.suggested_fix", "step.confidence")
 
 
 def agent_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +247,7 @@ def _quoted(text: Column) -> Column:
 
 QUERIES = {f.__name__: f for f in (
     extract_non_llm, score_factors, score_total, score_threads, noise_diagnostics, sniff_html, html_native_text, html_tree_text, html_tree_plain, normalize_text, empty_gate, visible_fragments, signature_block, mime_body, mime_bytes, html_quotes, preprocess_threads,
-    pipeline_metadata, extract_auto_no_provider, extract_auto_llm, extract_llm, extract_documents, history_topk, preview, sse_events, event_rows, azure_urls, provider_list, agent_confidence, agent_messages, agent_event_rows, extract_event_errors,
+    pipeline_metadata, extract_auto_no_provider, extract_auto_llm, extract_llm, extract_documents, history_topk, preview, sse_events, event_rows, azure_urls, provider_list, agent_confidence, agent_messages, agent_validation, agent_traces, agent_event_rows, extract_event_errors,
 )} | {
     "strip_attribution": _on_threads(preprocess.strip_attributions), "preprocess_disclaimers": _on_threads(preprocess.strip_disclaimers), "blockquote_fold": _on_threads(_quoted),
     "reply_headers": _on_threads(reply.without_reply_headers), "sig_lines": _on_threads(signature.cut_at_lines), "sig_patterns": _on_threads(signature.cut_at_pattern),

@@ -207,7 +207,14 @@ FROM (SELECT *, len(w) AS n, unnest(range(0, CASE WHEN error IS NULL THEN len(w)
 FROM (VALUES ('openai'), ('azure_openai'), ('anthropic'), ('gemini')) AS p(name)""",
     "agent_confidence": """SELECT event_id, round(CASE event_id % 6 WHEN 0 THEN CAST(concat('0.', n) AS DOUBLE) WHEN 1 THEN CASE WHEN n > 1 THEN n / 100 ELSE n END WHEN 2 THEN 0.5 WHEN 3 THEN CAST(concat('0.', n) AS DOUBLE) WHEN 4 THEN 1 ELSE CASE WHEN n > 1 THEN n / 100 ELSE n END END::DOUBLE, 3) AS confidence
 FROM (SELECT event_id, event_id % 100 AS n FROM events)""",
-    "agent_messages": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('m ', event_id % 100) WHEN 1 THEN concat('n ', event_id % 100) WHEN 2 THEN concat('plain ', event_id % 100) ELSE concat('{"other": "', event_id % 100, '"}') END AS message FROM events""",
+    "agent_messages": f"SELECT conv_id, turn, CASE WHEN turn % 4 IN (0, 1) THEN t WHEN turn % 4 = 2 THEN {_strip('t')} ELSE {_strip("concat('{\"other\": 1} ', t)")} END AS message FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)",
+    "agent_validation": """SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN n <= 100 ELSE n > 100 END AS is_valid, CASE WHEN turn % 3 = 0 THEN concat(t, '|b') ELSE 'Could not parse structured validation' END AS issues,
+  CASE WHEN turn % 3 = 0 THEN left(t, 20) ELSE '' END AS suggested_fix FROM (SELECT conv_id, turn, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM conversations)""",
+    "agent_traces": _preprocessed(f"""SELECT conv_id, iterations, CAST(i AS INTEGER) AS seq, agent, agent <> 'validation' OR n <= 120 AS success, CASE WHEN agent IN ('extraction', 'cleanup') THEN left(m, 200) END AS output_preview,
+  CASE WHEN agent = 'validation' THEN n <= 120 END AS is_valid, CASE WHEN agent = 'validation' THEN CASE WHEN n <= 120 THEN '' ELSE 'long' END END AS issues, CASE WHEN agent = 'validation' THEN CASE WHEN n <= 120 THEN '' ELSE 'shorten it' END END AS suggested_fix,
+  CASE WHEN agent = 'confidence' THEN least(1::DOUBLE, n / 1000::DOUBLE) END AS confidence
+FROM (SELECT *, CASE WHEN i = 0 THEN 'extraction' WHEN i = 2 * iterations + 1 THEN 'confidence' WHEN i % 2 = 1 THEN 'cleanup' ELSE 'validation' END AS agent
+  FROM (SELECT *, unnest(range(0, 2 * iterations + 2)) AS i FROM (SELECT *, length(m) AS n, CAST(CASE WHEN length(m) <= 120 THEN 1 ELSE 2 END AS INTEGER) AS iterations FROM (SELECT *, {_strip("string_split(text, chr(10) || chr(10))[1]")} AS m FROM p WHERE error IS NULL))))"""),
     "extract_event_errors": _threads(f"SELECT conv_id, CAST(0 AS INTEGER) AS seq, 'error' AS type, CASE WHEN regexp_matches(content, '[^{_SET}]') THEN 'no provider' ELSE '{preprocess.EMPTY}' END AS message FROM threads"),
     "sig_lines": _threads(f"SELECT conv_id, text FROM {_cut_at_lines('threads', 'text', 'content')}"),
     "reply_headers": _threads(f"SELECT conv_id, {_strip(_collapsed(_chain('content', reply.PATTERNS)))} AS text FROM threads"),
