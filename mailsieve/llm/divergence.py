@@ -23,7 +23,7 @@ from .common import only, scratch, slices
 #: Documents of a language that a term must stand in; what is added to each count; shares are multiples of one part in SCALE, and one more.
 LEAST_DOCS, ADDED, SCALE, MOST_TERMS = 30, 5, 1_000_000_000, 50
 #: Kept terms in one automaton (about: they are dealt by hash); counts that a task holds before it hands them on; terms of one task when sources are compared, and sources in a tile.
-TERMS_AT_ONCE, HELD, CHUNK, TILE = 250_000, 600_000, 4096, 512
+TERMS_AT_ONCE, HELD, CHUNK, TILE = 250_000, 600_000, 1024, 512
 #: ASCII letters in lower case, everything else in ASCII as a space; bytes of other characters as they are.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
