@@ -536,3 +536,25 @@ cut(spark.range(5)).count()
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2], capture_output=True, timeout=200)
     assert not [p for p in tmp_path.rglob("rdd-*")]
+
+
+def test_whole_pipeline_on_odd_tables(spark, tmp_path):
+    """run() as a whole: odd rows, no rows, labels without classes."""
+    r = np.random.default_rng(6)
+    clean = " ".join(f"{w}," if i % 9 == 8 else w for i, w in enumerate(a + b for a, b in zip(r.choice(WORDS.split(), 300), r.choice(["s", "ed", "ing", "er", ""], 300), strict=True)))
+    for name, table in (("odd", edge(spark).union(docs(spark, [(70, clean), (70, clean), (80, clean.upper())]))), ("none", empty(spark))):
+        path = f"{tmp_path}/{name}"
+        table.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(6, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        with pytest.warns(UserWarning, match="no two classes"):
+            got = corpus_pipeline.run(spark, path).collect()
+        assert {r["doc_id"] for r in got} == ({70} if name == "odd" else set()) and sum(r["length"] for r in got) == (got[0]["doc_tokens"] if got else 0)
+
+
+def test_warc_long_payload(spark):
+    """Payloads of megabytes, equal ones among them, come back by digest."""
+    big = "<p>" + "long text " * 300_000
+    pages = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "u", big + "x"), (4, "u", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.archive_round_trip(pages).collect()}
+    assert [got[i]["refers_to"] for i in (1, 2, 3, 4)] == [None, 1, None, None] and got[3]["payload_bytes"] == len(big) + 1
+    assert got[2]["payload_digest"] == hashlib.sha256(big.encode()).hexdigest()
