@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,10 @@ PROVIDERS = {
 }
 
 
+#: A service that wants longer pauses than this gets the next attempt sooner.
+MOST_WAIT = 120.0
+
+
 class NotConfigured(Exception):
     pass
 
@@ -42,6 +48,20 @@ def azure_url_column(endpoint: Column) -> Column:
     return F.when(F.endswith(endpoint, F.lit(".com/")) & ~F.contains(endpoint, F.lit("openai/v1")), F.concat(endpoint, F.lit("openai/v1/"))).otherwise(endpoint)
 
 
+def retry_after(header: str | None, now: Callable[[], float] = time.time) -> float | None:
+    """Seconds to wait by a Retry-After header, a number or a date; None if there is none that makes sense. MOST_WAIT at most."""
+    if not header:
+        return None
+    try:
+        seconds = float(header)
+    except ValueError:
+        try:
+            seconds = parsedate_to_datetime(header).timestamp() - now()
+        except ValueError:
+            return None
+    return min(max(seconds, 0.0), MOST_WAIT) if seconds == seconds else None
+
+
 @dataclass(frozen=True)
 class Chat:
     """A provider; rate limits, connections, time-outs and server errors are transient."""
@@ -65,7 +85,9 @@ class Chat:
         try:
             return urllib.request.urlopen(request, timeout=self.timeout)
         except urllib.error.HTTPError as e:
-            raise (Transient if e.code == 429 or e.code >= 500 else RuntimeError)(str(e)) from e
+            if e.code != 429 and e.code < 500:
+                raise RuntimeError(str(e)) from e
+            raise Transient(str(e), after=retry_after(e.headers.get("Retry-After"))) from e
         except OSError as e:
             raise Transient(str(e)) from e
 

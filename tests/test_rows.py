@@ -3,6 +3,7 @@
 import threading
 import time
 from decimal import Decimal
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from mailsieve.plans.queries import Echo
 from mailsieve.plans.router import OWN, extract
 from mailsieve.sources.answers import Answers
 from mailsieve.sources.history import History
+from mailsieve.sources.providers import Chat, retry_after
 from mailsieve.sources.readers import eml_files, spread, text_files
 from mailsieve.streaming.events import agent_events
 
@@ -171,3 +173,33 @@ def test_history_of_a_stream(spark, tmp_path):
         assert kept.try_save(batch, content="nowhere") is False
     kept.clear()
     assert kept.load().count() == 0
+
+
+def test_a_service_says_when_to_come_back():
+    """Over a socket: busy with a Retry-After, then down, then the answer; other refusals aren't tried again."""
+    replies = [(429, "0.25"), (503, None), (200, None), (401, None)]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            code, after = replies.pop(0)
+            self.send_response(code)
+            if after:
+                self.send_header("Retry-After", after)
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(b'{"choices": [{"message": {"content": "fine"}}]}')
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        chat, waits = Chat("own", "m", "k", f"http://127.0.0.1:{server.server_port}/"), []
+        assert ask(chat, "cleanup", "text", waits.append) == "fine" and waits == [0.25, 2.0]
+        with pytest.raises(RuntimeError, match="401"):
+            ask(chat, "cleanup", "text", waits.append)
+    finally:
+        server.shutdown()
+    assert retry_after("Thu, 01 Jan 1970 00:01:40 GMT", now=lambda: 40.0) == 60.0 and retry_after("soon") is None and retry_after("-3") == 0.0 and retry_after("1e9") == 120.0
