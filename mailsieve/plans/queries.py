@@ -12,7 +12,7 @@ from ..functions.normalize import squeeze, with_nfc
 from ..functions.rx import is_blank
 from ..operators import agents, disclaimer, html, mime, preprocess, reply, score, signature
 from ..sources.history import content_preview, newest
-from ..sources.providers import azure_url_column, providers_df
+from ..sources.providers import azure_url_column, providers_df, resolve_column
 from ..sources.readers import spread
 from ..sources.threads import as_eml, as_eml_bytes, html_threads, threads
 from ..streaming.events import agent_events, deterministic_events, extract_events, sse
@@ -188,8 +188,11 @@ def azure_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provider_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over an environment of its own: what is listed depends on the variables that are set."""
-    return providers_df(spark, {"ANTHROPIC_API_KEY": "k", "GEMINI_API_KEY": "k", "AZURE_OPENAI_API_KEY": "k"})
+    """The providers over an environment of its own, as what is listed depends on the variables that are set, and the turns that ask for each, by names as people write them."""
+    listed = providers_df(spark, {"ANTHROPIC_API_KEY": "k", "GEMINI_API_KEY": "k", "AZURE_OPENAI_API_KEY": "k"})
+    written = F.array(*map(F.lit, ("OpenAI", "azure-openai", "AZURE_OPENAI", "anthropic", "Gemini", "nobody")))
+    asked = _turns(spark, sf_dir).select(resolve_column(F.get(written, ((F.col("conv_id") + F.col("turn")) % 6).cast("int"))).alias("name")).groupBy("name").agg(F.count("*").alias("turns"))
+    return listed.join(asked, "name", "left").select("name", "available", "configured", "is_default", F.coalesce("turns", F.lit(0)).alias("turns"))
 
 
 def _replies(spark: SparkSession, sf_dir: str, texts: tuple[str, ...]) -> DataFrame:

@@ -203,8 +203,9 @@ FROM (SELECT *, len(w) AS n, unnest(range(0, CASE WHEN error IS NULL THEN len(w)
     "azure_urls": "SELECT page_id, CASE WHEN suffix(u, '.com/') THEN concat(u, 'openai/v1/') ELSE u END AS url FROM (SELECT page_id, concat(regexp_extract(url, '^(https?://[^/]+)', 1), '/') AS u FROM pages)",
     "strip_attribution": _threads(f"SELECT conv_id, {_chain('content', preprocess.ATTRIBUTIONS)} AS text FROM threads"),
     "preprocess_disclaimers": _threads(f"SELECT conv_id, {_strip(_chain('content', preprocess.DISCLAIMERS))} AS text FROM threads"),
-    "provider_list": """SELECT name, name IN ('anthropic', 'gemini') AS available, name IN ('anthropic', 'gemini') AS configured, name = 'anthropic' AS is_default
-FROM (VALUES ('openai'), ('azure_openai'), ('anthropic'), ('gemini')) AS p(name)""",
+    "provider_list": """SELECT name, name IN ('anthropic', 'gemini') AS available, name IN ('anthropic', 'gemini') AS configured, name = 'anthropic' AS is_default, count(conv_id) AS turns
+FROM (VALUES ('openai'), ('azure_openai'), ('anthropic'), ('gemini')) AS p(name)
+LEFT JOIN (SELECT conv_id, CASE (conv_id + turn) % 6 WHEN 0 THEN 'openai' WHEN 1 THEN 'azure_openai' WHEN 2 THEN 'azure_openai' WHEN 3 THEN 'anthropic' WHEN 4 THEN 'gemini' END AS name FROM conversations) USING (name) GROUP BY name""",
     "agent_confidence": """SELECT event_id, round(CASE event_id % 6 WHEN 0 THEN CAST(concat('0.', n) AS DOUBLE) WHEN 1 THEN CASE WHEN n > 1 THEN n / 100 ELSE n END WHEN 2 THEN 0.5 WHEN 3 THEN CAST(concat('0.', n) AS DOUBLE) WHEN 4 THEN 1 ELSE CASE WHEN n > 1 THEN n / 100 ELSE n END END::DOUBLE, 3) AS confidence
 FROM (SELECT event_id, event_id % 100 AS n FROM events)""",
     "agent_messages": f"SELECT conv_id, turn, CASE WHEN turn % 4 IN (0, 1) THEN t WHEN turn % 4 = 2 THEN {_strip('t')} ELSE {_strip("concat('{\"other\": 1} ', t)")} END AS message FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)",

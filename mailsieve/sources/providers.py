@@ -40,6 +40,12 @@ def resolve(name: str) -> str:
     return known
 
 
+def resolve_column(name: Column) -> Column:
+    """The same for a column; null for unknown names."""
+    known = F.translate(F.lower(name), "-", "_")
+    return F.when(known.isin(*PROVIDERS), known)
+
+
 def azure_url(endpoint: str) -> str:
     return endpoint + "openai/v1/" if endpoint.endswith(".com/") and "openai/v1" not in endpoint else endpoint
 
