@@ -195,20 +195,16 @@ def provider_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.join(asked, "name", "left").select("name", "available", "configured", "is_default", F.coalesce("turns", F.lit(0)).alias("turns"))
 
 
-def _replies(spark: SparkSession, sf_dir: str, texts: tuple[str, ...]) -> DataFrame:
-    """event_id and a reply of a model to each event: one of the texts, with # for a number of the event."""
-    number = (F.col("event_id") % 100).cast("string")
-    reply_of = F.coalesce(*[F.when(F.col("event_id") % len(texts) == k, F.replace(F.lit(t), F.lit("#"), number)) for k, t in enumerate(texts)])
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", reply_of.alias("reply"))
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def agent_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _replies(spark, sf_dir, ('{"confidence_score": 0.#}', "about # percent", "none", "0,#", 'Sure: ```json\n{"confidence_score": 1}\n```', '{"confidence_score": "high"} or #'))
-    return rows.select("event_id", F.pandas_udf(lambda reply: reply.map(agents.parse_confidence), "double")("reply").alias("confidence"))
-
-
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    """Ratings by every turn's length: as JSON, in the words of the turn, as a fraction with a comma, fenced, and none at all."""
+    size, words = F.length("text").cast("string"), F.regexp_replace("text", "[0-9{}]", "")
+    reply_of = F.when(F.col("turn") % 5 == 0, F.concat(F.lit('{"confidence_score": 0.'), size, F.lit("}"))).when(F.col("turn") % 5 == 1, F.concat(words, F.lit(" about "), size, F.lit(" percent")))
+    reply_of = reply_of.when(F.col("turn") % 5 == 2, F.concat(F.lit("0,"), size, words)).when(F.col("turn") % 5 == 3, F.concat(F.lit('Sure:\n```json\n{"confidence_score": "high"}\n``` or '), size)).otherwise(words)
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.pandas_udf(lambda reply: reply.map(agents.parse_confidence), "double")(reply_of).alias("confidence"))
 
 
 def agent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,8 +206,8 @@ FROM (SELECT *, len(w) AS n, unnest(range(0, CASE WHEN error IS NULL THEN len(w)
     "provider_list": """SELECT name, name IN ('anthropic', 'gemini') AS available, name IN ('anthropic', 'gemini') AS configured, name = 'anthropic' AS is_default, count(conv_id) AS turns
 FROM (VALUES ('openai'), ('azure_openai'), ('anthropic'), ('gemini')) AS p(name)
 LEFT JOIN (SELECT conv_id, CASE (conv_id + turn) % 6 WHEN 0 THEN 'openai' WHEN 1 THEN 'azure_openai' WHEN 2 THEN 'azure_openai' WHEN 3 THEN 'anthropic' WHEN 4 THEN 'gemini' END AS name FROM conversations) USING (name) GROUP BY name""",
-    "agent_confidence": """SELECT event_id, round(CASE event_id % 6 WHEN 0 THEN CAST(concat('0.', n) AS DOUBLE) WHEN 1 THEN CASE WHEN n > 1 THEN n / 100 ELSE n END WHEN 2 THEN 0.5 WHEN 3 THEN CAST(concat('0.', n) AS DOUBLE) WHEN 4 THEN 1 ELSE CASE WHEN n > 1 THEN n / 100 ELSE n END END::DOUBLE, 3) AS confidence
-FROM (SELECT event_id, event_id % 100 AS n FROM events)""",
+    "agent_confidence": """SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN CAST(concat('0.', n) AS DOUBLE) WHEN 2 THEN round(CAST(concat('0.', n) AS DOUBLE), 3) WHEN 4 THEN 0.5::DOUBLE ELSE round(CASE WHEN n > 1 THEN least(1::DOUBLE, n / 100) ELSE n END, 3) END AS confidence
+FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations)""",
     "agent_messages": f"SELECT conv_id, turn, CASE WHEN turn % 4 IN (0, 1) THEN t WHEN turn % 4 = 2 THEN {_strip('t')} ELSE {_strip("concat('{\"other\": 1} ', t)")} END AS message FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)",
     "agent_validation": """SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN n <= 100 ELSE n > 100 END AS is_valid, CASE WHEN turn % 3 = 0 THEN concat(t, '|b') ELSE 'Could not parse structured validation' END AS issues,
   CASE WHEN turn % 3 = 0 THEN left(t, 20) ELSE '' END AS suggested_fix FROM (SELECT conv_id, turn, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM conversations)""",
