@@ -43,7 +43,7 @@ def preprocess(df: DataFrame, content: str = "content", eml: str | None = None)
     eml: name of a boolean column that marks RFC-822 sources. The parsers get null for rows they aren't for, so only .eml
     and HTML rows, and texts beyond ASCII, pass through Arrow. Null content counts as empty; an empty result has an error. Content may be
     binary: messages are parsed as bytes, each part in its charset, and anything else is UTF-8; bytes that don't fit become U+FFFD.
-    No shuffle; works on streams.
+    No shuffle; works on streams. Filter rows before: filters on the result stay above the text (`functions.rx.settled`), so that it is computed once.
     """
     if clash := {c.lower() for c in df.columns} & {"text", "html", "error", "__raw", "__eml", "__m", "__p", "__s"}:
         raise ValueError(f"the table has columns {sorted(clash)} already")
