@@ -224,3 +224,11 @@ def test_sequential_agents_hand_the_fix_on():
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError, match="Unknown strategy"):
         llm_flow(spark.range(1).selectExpr("'x' text"), lambda: None, strategy="other")
+
+
+def test_steps_with_udfs(spark):
+    """A UDF may stand before and behind the steps of columns."""
+    upper = column_step("upper", F.pandas_udf(lambda s: s.str.upper(), "string"))
+    text = "Héllo there.\n\nOn Mon, 3 Mar 2025, Ann wrote:\n> old"
+    for steps in ([REPLIES, upper], [upper, REPLIES]):
+        assert clean(spark, text, steps=steps)["text"] == "HÉLLO THERE."
