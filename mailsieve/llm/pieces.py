@@ -386,38 +386,57 @@ class PieceModel:
 
 
 class PieceEncoder:
-    """Encodes texts chunk by chunk; chunks that come again are looked up."""
+    """Encodes texts chunk by chunk; chunks that come again are looked up, with the bytes of the chunk where each of their ids ends."""
 
     def __init__(self, model: PieceModel):
         self.model, self.known = model, Known(self._chunk, MOST)
 
-    def _chunk(self, c: str) -> tuple[bytes, str, bool]:
+    def _chunk(self, c: str) -> tuple[bytes, bytes, int, int, str, bool, bool]:
         m = self.model
-        codes, _, is_open = m.encode_part(c, False, False)
+        codes, source, is_open = m.encode_part(c, False, False)
         ids = m.ids_of(codes)
         shown = m.decode(ids, False)
-        return ids.tobytes(), c if shown == c else shown, is_open
+        return ids.tobytes(), self._ends(codes, source).tobytes(), len(ids), source[-1], c if shown == c else shown, is_open, source[0] > 0
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids with begin and end (32 bits each, little-endian) and what they decode to."""
+    def _ends(self, codes: list[int], source: Sequence[int]) -> array:
+        return array("I", [e for _, e in self.model.project(codes, source)])
+
+    def aligned(self, text: str) -> tuple[bytes, np.ndarray, str]:
+        """Ids with begin and end (32 bits each, little-endian), the bytes of the text that each stands for (a row of start and end an id), and what they decode to."""
         m = self.model
         edge = struct.pack("<I", m.begin), struct.pack("<I", m.end)
         cut = CHUNKS.findall(text) if m.cuttable else []
         if len(cut) > 1:
-            codes, _, is_open = m.encode_part(cut[0], True, False)
-            raw, shown, opened = zip(*map(self.known.__getitem__, cut[1:]), strict=True)
-            if not (is_open or any(opened[:-1]) or m.squeeze and opened[-1]):
+            codes, source, is_open = m.encode_part(cut[0], True, False)
+            raw, ends, counts, sizes, shown, opened, late = zip(*map(self.known.__getitem__, cut[1:]), strict=True)
+            if not (is_open or any(opened[:-1]) or any(late) or m.squeeze and opened[-1]):
                 ids = m.ids_of(codes)
-                return b"".join([edge[0], ids.tobytes(), *raw, edge[1]]), "".join([m.decode([m.begin, *ids]), *shown])
-        ids = m.ids_of(m.encode_part(text, True, True)[0])
-        return b"".join([edge[0], ids.tobytes(), edge[1]]), m.decode([m.begin, *ids, m.end])
+                begins = [*accumulate(sizes, initial=source[-1])]
+                moved = np.repeat(np.array([0, *begins[:-1]], np.uint32), [len(ids), *counts]) + np.frombuffer(b"".join([self._ends(codes, source).tobytes(), *ends]), "<u4")
+                return b"".join([edge[0], ids.tobytes(), *raw, edge[1]]), self._spans(source[0], moved, begins[-1]), "".join([m.decode([m.begin, *ids]), *shown])
+        codes, source, _ = m.encode_part(text, True, True)
+        ids = m.ids_of(codes)
+        spans = self._spans(source[0], np.array(self._ends(codes, source), np.uint32), len(text.encode("utf-8", "replace")))
+        return b"".join([edge[0], ids.tobytes(), edge[1]]), spans, m.decode([m.begin, *ids, m.end])
+
+    @staticmethod
+    def _spans(start: int, ends: np.ndarray, size: int) -> np.ndarray:
+        """Each id begins where the one before it ends; begin and end have no bytes."""
+        out = np.zeros((len(ends) + 2, 2), "<u4")
+        out[1:-1, 1], out[2:-1, 0], out[-1] = ends, ends[:-1], size
+        if len(ends):
+            out[1, 0] = start
+        return out
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Ids with begin and end (32 bits each, little-endian) and what they decode to."""
+        raw, _, decoded = self.aligned(text)
+        return raw, decoded
 
     def spans(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids with begin and end, and the bytes of the text that each stands for."""
-        m = self.model
-        codes, source, _ = m.encode_part(text, True, True)
-        end = len(text.encode("utf-8", "replace"))
-        return [m.begin, *m.ids_of(codes), m.end], [(0, 0), *m.project(codes, source), (end, end)]
+        raw, spans, _ = self.aligned(text)
+        return np.frombuffer(raw, "<u4").tolist(), [*map(tuple, spans.tolist())]
 
 
 @functools.cache
@@ -431,7 +450,8 @@ def encode_pieces(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
 
     Returns the id, n_tokens (begin and end included) and ids (array<int>), starts and ends (array<int>: the bytes of the
     text's UTF-8 that each id stands for; of a character in bytes the last one has them, begin and end have none) and decoded
-    (string) or, with `digests`, the SHA-256 of the ids (little-endian, 32 bits) and of the decoded text. Null and empty
+    (string) or, with `digests`, the SHA-256 of the ids (little-endian, 32 bits), of the decoded text, and of the starts and
+ends (one after the other, like the ids), for which every text is projected just the same. Null and empty
     texts have the two ids alone and decode to nothing; null or repeated ids and repeated rows keep one row each; strings of
     special pieces inside texts are plain text; other columns don't matter. Time is linear in the text but for a logarithm. No shuffle.
     """
@@ -440,20 +460,19 @@ def encode_pieces(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocab)
         for batch in slices(batches):
-            columns: list[list] = [[] for _ in range(3 if digests else 5)]
+            columns: list[list] = [[] for _ in range(4 if digests else 5)]
             for text in batch.column(1).to_pylist():
-                raw, decoded = own.encode(text or "")
+                raw, spans, decoded = own.aligned(text or "")
                 if digests:
-                    row = len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+                    row = len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), hashlib.sha256(spans.tobytes()).hexdigest()
                 else:
-                    ids, spans = own.spans(text or "")
-                    row = len(ids), ids, [b for b, _ in spans], [e for _, e in spans], decoded
+                    row = len(raw) // 4, np.frombuffer(raw, "<i4"), *spans.T.astype(np.int32), decoded
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), *[pa.list_(pa.int32())] * 3, pa.string()]
-            names = ["n", "ids_sha256", "decoded_sha256"] if digests else ["n", "ids", "starts", "ends", "decoded"]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string()] if digests else [pa.int64(), *[pa.list_(pa.int32())] * 3, pa.string()]
+            names = ["n", "ids_sha256", "decoded_sha256", "spans_sha256"] if digests else ["n", "ids", "starts", "ends", "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], names=["id", *names])
 
     source = only(docs, id_col, text_col)
-    names = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, starts array<int>, ends array<int>, decoded string"
+    names = "ids_sha256 string, decoded_sha256 string, spans_sha256 string" if digests else "ids array<int>, starts array<int>, ends array<int>, decoded string"
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens long, {names}")

@@ -78,6 +78,34 @@ def test_op11_equals_library(spark, texts):
     assert pieces.encode_pieces(empty(spark), path).count() == 0
 
 
+def test_op11_projects_every_text(spark, texts):
+    """The query's spans are the library's, of texts looked up chunk by chunk as of whole ones."""
+    other, rows = library(vocabulary_path(MODEL)), [(i, t) for i, t in enumerate(ODD + [t for _, t in texts if t][:60])]
+    want = {}
+    for i, t in rows:
+        spans = [(p.begin, p.end) for p in other.encode(t, return_type="proto").pieces]
+        flat = [0, 0, *[x for s in spans for x in s], *[len(t.encode())] * 2]
+        want[i] = hashlib.sha256(struct.pack(f"<{len(flat)}I", *flat)).hexdigest()
+    got = pieces.encode_pieces(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary_path(MODEL), digests=True)
+    assert {r["doc_id"]: r["spans_sha256"] for r in got.collect()} == want
+
+
+def test_chunks_whose_first_character_goes_are_whole_texts(tmp_path):
+    """A rule that deletes spaces moves the end of the piece before them."""
+    model = pieces.PieceModel(vocabulary_path(MODEL))
+    own, plain = pieces.PieceEncoder(model), model.normalise
+
+    def without_spaces(text, first=True, last=True):
+        shown, source = plain(text, first, last)
+        kept = [i for i, c in enumerate(shown) if c != pieces.SPACE or i == 0 and first]
+        return "".join(shown[i] for i in kept), [*[source[i] for i in kept], source[len(shown)]]
+
+    model.normalise = without_spaces
+    cut = own.spans("ab cd  ef")
+    model.cuttable = False
+    assert cut == pieces.PieceEncoder(model).spans("ab cd  ef")
+
+
 def test_spans_cover_the_text(spark):
     rows = pieces.encode_pieces(edge(spark), vocabulary_path(MODEL)).join(edge(spark).select("doc_id", "text").distinct(), "doc_id").where(F.length("text") > 0).collect()
     assert len(rows) == 7
