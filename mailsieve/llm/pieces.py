@@ -185,6 +185,7 @@ class PieceModel:
         self.rank = {self.pieces[i]: order[scores[i]] for i in normal}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.sizes = [*map(len, self.pieces)]
         self.touching = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
         self.known = Known(self._codes, MOST // 2)
         #: Whether texts may be cut before runs of spaces: no piece and no rule of the map has one inside.
@@ -339,6 +340,13 @@ class PieceModel:
             at, before = at + n, code
         return spans
 
+    def ends(self, codes: list[int], source: Sequence[int]) -> array:
+        """Where the span of each id ends; of whole pieces alone, that is where the characters counted so far end."""
+        if codes and min(codes) < 0:
+            return array("I", [e for _, e in self.project(codes, source)])
+        sizes = self.sizes
+        return array("I", [source[at] for at in accumulate([sizes[c] for c in codes])])
+
     def decode(self, ids, first: bool = True) -> str:
         """The text of ids: bytes decoded together (U+FFFD for what isn't UTF-8), control pieces silent, the space in front dropped if `first`."""
         if not first and self.normal.issuperset(ids):
@@ -396,10 +404,7 @@ class PieceEncoder:
         codes, source, is_open = m.encode_part(c, False, False)
         ids = m.ids_of(codes)
         shown = m.decode(ids, False)
-        return ids.tobytes(), self._ends(codes, source).tobytes(), len(ids), source[-1], c if shown == c else shown, is_open, source[0] > 0
-
-    def _ends(self, codes: list[int], source: Sequence[int]) -> array:
-        return array("I", [e for _, e in self.model.project(codes, source)])
+        return ids.tobytes(), m.ends(codes, source).tobytes(), len(ids), source[-1], c if shown == c else shown, is_open, source[0] > 0
 
     def aligned(self, text: str) -> tuple[bytes, np.ndarray, str]:
         """Ids with begin and end (32 bits each, little-endian), the bytes of the text that each stands for (a row of start and end an id), and what they decode to."""
@@ -412,11 +417,11 @@ class PieceEncoder:
             if not (is_open or any(opened[:-1]) or any(late) or m.squeeze and opened[-1]):
                 ids = m.ids_of(codes)
                 begins = [*accumulate(sizes, initial=source[-1])]
-                moved = np.repeat(np.array([0, *begins[:-1]], np.uint32), [len(ids), *counts]) + np.frombuffer(b"".join([self._ends(codes, source).tobytes(), *ends]), "<u4")
+                moved = np.repeat(np.array([0, *begins[:-1]], np.uint32), [len(ids), *counts]) + np.frombuffer(b"".join([m.ends(codes, source).tobytes(), *ends]), "<u4")
                 return b"".join([edge[0], ids.tobytes(), *raw, edge[1]]), self._spans(source[0], moved, begins[-1]), "".join([m.decode([m.begin, *ids]), *shown])
         codes, source, _ = m.encode_part(text, True, True)
         ids = m.ids_of(codes)
-        spans = self._spans(source[0], np.array(self._ends(codes, source), np.uint32), len(text.encode("utf-8", "replace")))
+        spans = self._spans(source[0], np.array(m.ends(codes, source), np.uint32), len(text.encode("utf-8", "replace")))
         return b"".join([edge[0], ids.tobytes(), edge[1]]), spans, m.decode([m.begin, *ids, m.end])
 
     @staticmethod
