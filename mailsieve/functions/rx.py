@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space as str.split() and \s have it, for use inside and outside a character class.
 WS_SET = r"\s\x1c-\x1f\x85\p{Z}"
 WS = f"[{WS_SET}]"
+#: The same characters one by one.
+WS_SIGNS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,7 +53,7 @@ def java(pattern: str, flags: str = "") -> str:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(WS_SIGNS))  # looks at the ends only, where a pattern goes through the whole text
 
 
 def is_blank(text: Column) -> Column:
@@ -69,7 +71,22 @@ def lines(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """At most one empty line in a row."""
-    return F.regexp_replace(text, "\n{3,}", "\n\n")
+    return let(text, lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, "\n{3,}", "\n\n")).otherwise(t))
+
+
+def occurrences(text: Column, literal: str) -> Column:
+    """How often an ASCII string occurs, as `regexp_count` has it, without an array of what was found."""
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(literal), F.lit("")))) / len(literal)).cast("int")
+
+
+#: What keeps words from being counted by single spaces and ends of lines: other white space, a longer run of spaces, three ends of lines.
+UNEVEN = rf"{WS}(?:(?<=[^ \n])|(?<= )[ \n]|(?<=\n)(?: |\n\n))"
+
+
+def words(text: Column) -> Column:
+    """Runs of what is no white space, in a text that neither begins nor ends with any and isn't empty. Runs are counted as matches only where a text has uneven gaps."""
+    gaps = occurrences(text, " ") + occurrences(text, "\n") - occurrences(text, "\n\n")
+    return F.when(text.rlike(UNEVEN), F.regexp_count(text, F.lit(f"[^{WS_SET}]+"))).otherwise(gaps + 1)
 
 
 def before(text: Column, pattern: str) -> Column:

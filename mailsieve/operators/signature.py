@@ -22,13 +22,15 @@ PATTERNS = (
 )
 DEVICE = r"\A\s*(?:Sent from my \w+|Sent from Mail for Windows|Sent from Outlook|Sent from Thunderbird|Get Outlook for \w+|Download the Outlook app)"
 CLOSING = r"\A(?:Best|Regards|Cheers|Thanks|Thank you|Sincerely|Yours truly),?\s*\z"
+#: What a text with a separator, a closing or a device's line holds behind some end of a line (one is put before the text).
+CUTS = java(r"\n\s*(?:--|—|__|Best|Regards|Cheers|Thank|Sincerely|Yours|Sent from|Get Outlook|Download)", "i")
 MOST_LINES, LONGEST_LINE = 11, 60
 #: Lines of devices that end a message, lines that begin a signature, runs of short lines from the last up.
 PHONE = r"\A(?:sent from my[\s,!\w]*\Z|sent from Mailbox for iPhone|sent (?:\S* )?from my BlackBerry|Enviado desde mi (?:\w+ ){0,2}BlackBerry)"
 BEGINS = r"\A(?:\s*-+\s*[a-z .]*|thanks[\s,!]*|regards[\s,!]*|cheers[\s,!]*|best[ a-z]*[\s,!]*)\Z"
 CANDIDATE = r"\A(c+d?(?!d)|c+|d(?!d))"
-#: What stands at the beginning of some line of a text with a signature or a device's line.
-SOME_LINE = r"(?:\A|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])[\t \x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*+(?:-|thanks|regards|cheers|best|sent |enviado)"
+#: What stands at the beginning of some line of a text with a signature or a device's line (an end of a line is put before the text).
+SOME_LINE = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029][\t \x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*+(?:-|thanks|regards|cheers|best|sent |enviado)"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -58,12 +60,13 @@ def end_block(text: Column) -> Column:
         return let(let(some, begin), lambda i: F.struct(strip(body(i)).alias("body"), (found | i.isNotNull()).alias("found")))
 
     parted = lambda x: let(F.split(x["body"], LINE_END, -1), lambda rows: cut(rows, x["body"], x["found"]))
-    searched = lambda t: F.when(t.rlike(f"(?iu){SOME_LINE}"), let(without_device(t), parted)).otherwise(F.struct(strip(t).alias("body"), F.lit(False).alias("found")))
+    searched = lambda t: F.when(F.concat(F.lit("\n"), t).rlike(f"(?iu){SOME_LINE}"), let(without_device(t), parted)).otherwise(F.struct(strip(t).alias("body"), F.lit(False).alias("found")))
     return F.when(text.isNull(), F.struct(F.lit(None).cast("string").alias("body"), F.lit(False).alias("found"))).otherwise(let(text, searched))
 
 
 def without_device_lines(text: Column) -> Column:
-    return F.array_join(F.filter(lines(text), lambda x: ~x.rlike(java(DEVICE, "i"))), "\n")
+    kept = lambda t: F.array_join(F.filter(lines(t), lambda x: ~x.rlike(java(DEVICE, "i"))), "\n")
+    return let(text, lambda t: F.when(F.concat(F.lit("\n"), t).rlike(CUTS), kept(t)).otherwise(t))
 
 
 def cut_at_lines(text: Column) -> Column:
@@ -80,7 +83,7 @@ def cut_at_lines(text: Column) -> Column:
         at = F.coalesce(first(begins), first(lambda x, i: x.rlike(java(DEVICE, "i"))))
         return let(at, lambda n: F.array_join(F.when(n.isNull(), rows).otherwise(F.slice(rows, 1, n)), "\n"))
 
-    return let(lines(text), cut)
+    return let(text, lambda t: F.when(F.concat(F.lit("\n"), t).rlike(CUTS), let(lines(t), cut)).otherwise(t))
 
 
 #: How a line begins where a pattern can match: one search instead of one a pattern in most texts.

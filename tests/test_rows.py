@@ -1,5 +1,6 @@
 """What passes through: ids, other columns, bytes, requests under way, kept answers."""
 
+import re
 import threading
 import time
 from decimal import Decimal
@@ -8,7 +9,8 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from mailsieve.operators import agents
+from mailsieve.functions import rx
+from mailsieve.operators import agents, score
 from mailsieve.operators.agents import Transient, ask, llm_flow
 from mailsieve.operators.preprocess import preprocess
 from mailsieve.plans.queries import Echo
@@ -203,3 +205,16 @@ def test_a_service_says_when_to_come_back():
     finally:
         server.shutdown()
     assert retry_after("Thu, 01 Jan 1970 00:01:40 GMT", now=lambda: 40.0) == 60.0 and retry_after("soon") is None and retry_after("-3") == 0.0 and retry_after("1e9") == 120.0
+
+
+def test_cheaper_counts_are_exact(spark):
+    """Words, special signs, stripping and line guards on odd white space, accents and signs, against Python."""
+    odd = ["a b\nc\n\nd", "a  b", "a \nb", "a\n b", "a\n\n\nb", "a　b c", "a\x1cb\x85c\xa0d", "x", "###€ a×b é́ 名_١ \U0001f600%", "?!?\n\n\n\n!", " \x1f a b  \n", "a​b ᠎ c"]
+    space = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+    t = F.col("t")
+    special = F.length(F.regexp_replace(F.regexp_replace(t, f"[{score.PLAIN}]++", ""), score.OTHERS, ""))
+    df = spark.createDataFrame([(x,) for x in odd], "t string").select("t", rx.strip(t).alias("s"), rx.words(rx.strip(t)).alias("w"), special.alias("n"), F.regexp_count(t, F.lit(rx.java(score.SPECIAL))).alias("m"), score.counts(t, score.QUALITY).alias("q"))
+    for r in df.collect():
+        x = r["t"].strip(space)
+        assert r["s"] == x and r["w"] == len(re.findall(f"[^{space}]+", x)) and r["n"] == r["m"], r
+        assert r["q"][1] == r["t"].count("\n\n") and r["q"][3] == r["t"].count("?") + r["t"].count("!"), r
