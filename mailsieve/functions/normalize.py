@@ -24,7 +24,7 @@ def with_nfc(df: DataFrame, column: str) -> DataFrame:
 
 
 #: What a squeezed text never holds.
-LOOSE = r"[\x00\t\x0b-\r\x1c-\x1f\x85\p{Z}&&[^ ]]| [ \n]|\n |\n{3}|\A[ \n]|[ \n]\z"
+LOOSE = r"[\x00\t-\r\x1c-\x1f\x85\p{Z}](?:(?<=[^ \n])|(?<= )(?:[ \n]|\z)|(?<=\n)(?: |\n\n|\z)|(?<=\A[ \n]))"
 
 
 def squeeze(text: Column) -> Column:
