@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,22 @@ def eml_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content", F.lit(True).alias("is_eml"))
 
 
+#: Rows of an Arrow batch in the queries' sessions and in what a worker makes of one: a worker's memory follows neither the table's size nor a batch's.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """For sessions of one's own: what a Python worker holds of texts at once. Operators leave sessions alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of at most so many rows, as sessions may have batches of any size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 #: A table below this size for each core may be dealt out anew.
 SPREAD_BYTES = 128 << 20
 

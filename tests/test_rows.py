@@ -6,15 +6,17 @@ import time
 from decimal import Decimal
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mailsieve.functions import rx
+from mailsieve.functions import normalize, rx
 from mailsieve.operators import agents, score
 from mailsieve.operators.agents import Transient, ask, llm_flow
 from mailsieve.operators.preprocess import preprocess
-from mailsieve.plans.queries import Echo
+from mailsieve.plans.queries import QUERIES, Echo
 from mailsieve.plans.router import OWN, extract
+from mailsieve.sources import readers
 from mailsieve.sources.answers import Answers
 from mailsieve.sources.history import History
 from mailsieve.sources.providers import Chat, retry_after
@@ -218,3 +220,25 @@ def test_cheaper_counts_are_exact(spark):
         x = r["t"].strip(space)
         assert r["s"] == x and r["w"] == len(re.findall(f"[^{space}]+", x)) and r["n"] == r["m"], r
         assert r["q"][1] == r["t"].count("\n\n") and r["q"][3] == r["t"].count("?") + r["t"].count("!"), r
+
+
+@pytest.mark.parametrize("name", ["html_tree_text", "agent_traces", "extract_event_errors", "agent_event_rows", "extract_llm"])
+def test_queries_hold_small_batches(spark, name):
+    """Whatever the session had before: a worker gets few rows at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_large_batches_are_cut(spark):
+    """The agents' operators make pieces of a session's large batches; rows, order and columns stay."""
+    batch = pa.record_batch({"a": list(range(1203))})
+    cut = [*readers.slices(iter([batch, batch.slice(0, 0), batch.slice(5, 2)]))]
+    assert [b.num_rows for b in cut] == [500, 500, 203, 2] and sum((b.column(0).to_pylist() for b in cut), []) == [*range(1203), 5, 6]
+
+
+@pytest.mark.parametrize("text", ["", "a b\nc\n\nd", " a", "a ", "\na", "a\n", "a  b", "a \nb", "a\n b", "a\n\n\nb", "a\tb", "a\x00b", "a\xa0b", "a　b", "é", "a\x85b", "a\r\nb"])
+def test_loose_texts(spark, text):
+    old = r"[\x00\t\x0b-\r\x1c-\x1f\x85\p{Z}&&[^ ]]| [ \n]|\n |\n{3}|\A[ \n]|[ \n]\z"
+    r = spark.range(1).select(F.lit(text).rlike(normalize.LOOSE).alias("a"), F.lit(text).rlike(old).alias("b")).first()
+    assert r["a"] == r["b"]
