@@ -15,6 +15,7 @@ import os
 import re
 import struct
 from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
@@ -27,13 +28,14 @@ from .common import only, slices
 SPACE = "▁"  # how models write a space
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Segments up to this length are merged by scanning for the best pair; longer ones with a heap.
+#: Segments up to this length are merged by scanning for the best pair; longer ones with a heap. So many ids are projected and decoded as arrays.
 SHORT = 48
-#: Chunks and segments up to this length are remembered; of chunks at most twice so many.
+#: Chunks and segments up to this length are remembered; of each at most twice so many.
 REMEMBERED, MOST = 64, 500_000
+#: Ids that are decoded at once.
+BLOCK = 1 << 16
 #: A text is cut before runs of spaces, where no piece and no rule of the map can reach across.
 CHUNKS = re.compile(f"[ {SPACE}]+[^ {SPACE}]*|[^ {SPACE}]+")
-SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -136,10 +138,15 @@ class CharacterMap:
         return known
 
 
+def byte_sizes(points: np.ndarray) -> np.ndarray:
+    """Bytes of each code point in UTF-8; a surrogate is replaced by one question mark."""
+    return np.where((points >= 0xD800) & (points < 0xE000), 1, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))
+
+
 class Known(dict):
     """What `make` gives for strings, remembered for short ones, in two generations: what `limit` new strings didn't ask for goes."""
 
-    def __init__(self, make: Callable[[str], tuple], limit: int):
+    def __init__(self, make: Callable[[str], object], limit: int):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key: str):
@@ -179,17 +186,48 @@ class PieceModel:
         self.map = CharacterMap(rules.get(2, b""))
         self.dummy, self.squeeze, self.escape = (bool(rules.get(n, 1)) for n in (3, 4, 5))
         normal = [i for i, k in enumerate(self.kinds) if k == NORMAL]
-        self.ids, self.normal, self.shown = {self.pieces[i]: i for i in normal}, {*normal}, [p.replace(SPACE, " ") for p in self.pieces]
+        self.ids = {self.pieces[i]: i for i in normal}
         # the best score first; of equal scores any, as the place in the text decides then
         order = {s: r for r, s in enumerate(sorted({scores[i] for i in normal}, reverse=True))}
         self.rank = {self.pieces[i]: order[scores[i]] for i in normal}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.sizes = [*map(len, self.pieces)]
+        # what each id stands for in decoded text, in one table
+        shown = [bytes([self.byte_of[i]]) if k == BYTE else b"" if k == CONTROL else (self.unknown_shown if k == UNKNOWN else p.replace(SPACE, " ")).encode() for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
+        self.table, self.lengths = np.frombuffer(b"".join(shown), np.uint8), np.array([*map(len, shown)])
+        self.places, self.normal = self.lengths.cumsum() - self.lengths, np.array([k == NORMAL for k in self.kinds])
+        self.byte_ids = np.array([self.bytes.get(b, self.unknown) for b in range(256)], np.int32)
+        self.sizes = np.array([*map(len, self.pieces)])
         self.touching = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
-        self.known = Known(self._codes, MOST // 2)
+        self.segments = re.compile(self._segments())
+        self.known = Known(self._codes, MOST)
         #: Whether texts may be cut before runs of spaces: no piece and no rule of the map has one inside.
         self.cuttable = self.escape and not self.map.spaces_inside and not any(a != SPACE and b == SPACE for a, b in self.touching)
+        #: Whether normalising a whole text is a pass without Python's loops: nothing is mapped or dropped.
+        self.plain = not self.map.units and not self.squeeze
+
+    def _segments(self) -> str:
+        """The pattern of what can be merged by itself: characters of one group, with the spaces in front. Groups are joined by the pairs that touch in a piece.
+
+        So a word is one segment whatever mark or digit follows it. If a piece has a space after another character, spaces are characters like others.
+        """
+        inside = any(a != SPACE and b == SPACE for a, b in self.touching)
+        near = defaultdict(set)
+        for a, b in self.touching:
+            if inside or a != SPACE:
+                near[a].add(b)
+                near[b].add(a)
+        groups, seen = [], set()
+        for c in near:
+            if c not in seen:
+                seen.add(c)
+                group = [c]
+                for x in group:  # grows on the way
+                    group += near[x] - seen
+                    seen |= near[x]
+                groups.append(group)
+        any_of = [f"[{re.escape(''.join(sorted(g)))}]+" for g in sorted(groups, key=len, reverse=True)]
+        return f"{'' if inside else SPACE + '*+'}(?:{'|'.join([*any_of, f'[^{SPACE}]'])})|{SPACE}+"
 
     def normalise(self, text: str, first: bool = True, last: bool = True) -> tuple[str, Sequence[int]]:
         """The normalised text and, for each of its characters and its end, the byte of the text where its source begins.
@@ -199,10 +237,11 @@ class PieceModel:
         begins, out, source = self.map.begins, [], []
         mapped = self.map.units and any([begins(c) for c in text])
         if not mapped and not self.squeeze and text:
-            at = range(len(text) + 1) if text.isascii() else [*accumulate([len(c.encode("utf-8", "replace")) for c in text], initial=0)]
             space = SPACE if self.escape else " "
             front = self.dummy and first
-            return (space + text if front else text).replace(" ", space), [0, *at] if front else at
+            at = np.zeros(len(text) + 1 + front, np.int64)
+            at[1 + front :] = np.arange(1, len(text) + 1) if text.isascii() else byte_sizes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")).cumsum()
+            return (space + text if front else text).replace(" ", space), at
         raw, at, i, after_space = text.encode("utf-8", "replace"), 0, 0, self.squeeze and first
         pieces: list[tuple[int, str]] = []
         while i < len(text):
@@ -286,71 +325,63 @@ class PieceModel:
                 heapq.heappush(heap, (r, h, u))
         return [p for p in parts if p]
 
-    def _codes(self, segment: str) -> tuple[int, ...]:
-        """The id of each part of a segment; an unknown character c is -1 - ord(c)."""
+    def _codes(self, segment: str) -> bytes:
+        """The id of each part of a segment (32 bits, little-endian); an unknown character c is -1 - ord(c)."""
         ids = self.ids
-        return tuple([ids[p] if p in ids else -1 - ord(p) for p in self.merged(segment)])
+        return struct.pack(f"<{len(parts := self.merged(segment))}i", *[ids[p] if p in ids else -1 - ord(p) for p in parts])
 
-    def codes(self, normalised: str) -> list[int]:
+    def codes(self, normalised: str) -> np.ndarray:
         """The parts of a normalised text. Neighbours that touch in no piece are never joined, so the text is cut there."""
-        touching, known, out = self.touching, self.known, []
-        for segment in SEGMENTS.findall(normalised) if self.cuttable else [normalised]:
-            start = 0
-            for i, pair in enumerate(zip(segment, segment[1:], strict=False), 1):
-                if pair not in touching:
-                    out += known[segment[start:i]]
-                    start = i
-            out += known[segment[start:]]
-        return out
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.segments.findall(normalised))), "<i4")
 
-    def encode_part(self, text: str, first: bool, last: bool) -> tuple[list[int], Sequence[int], bool]:
+    def encode_part(self, text: str, first: bool, last: bool) -> tuple[np.ndarray, Sequence[int], bool]:
         """Codes of a text or a part of one, its alignment, and whether the part is open: its end isn't settled without what follows."""
         shown, source = self.normalise(text, first, last)
         codes = self.codes(shown)
         return codes, source, not shown or shown[-1] == SPACE or codes[-1] < 0 and not self.byte_fallback
 
-    def ids_of(self, codes: list[int]) -> array:
-        """Unknown characters as their bytes or, without such pieces, a run of them as one unknown piece."""
-        if not codes or min(codes) >= 0:
-            return array("I", codes)
-        out, before = array("I"), 0
-        for code in codes:
-            if code >= 0:
-                out.append(code)
-            elif self.byte_fallback:
-                out.extend([self.bytes[b] for b in chr(-1 - code).encode("utf-8", "replace")])
-            elif before >= 0:
-                out.append(self.unknown)
-            before = code
-        return out
+    def project(self, codes: np.ndarray, source: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and the byte of the text where the source of each id ends.
 
-    def project(self, codes: list[int], source: Sequence[int]) -> list[tuple[int, int]]:
-        """The bytes of the text behind each id; of a character in bytes, the last one has them."""
-        spans, at, before = [], 0, 0
-        for code in codes:
-            n = len(self.pieces[code]) if code >= 0 else 1
-            begin, end = source[at], source[at + n]
-            if code >= 0 or self.byte_fallback:
-                spans += [(begin, begin)] * (len(chr(-1 - code).encode("utf-8", "replace")) - 1 if code < 0 else 0)
-                spans.append((begin, end))
-            elif before >= 0:
-                spans.append((begin, end))
-            else:
-                spans[-1] = spans[-1][0], end
-            at, before = at + n, code
-        return spans
-
-    def ends(self, codes: list[int], source: Sequence[int]) -> array:
-        """Where the span of each id ends; of whole pieces alone, that is where the characters counted so far end."""
-        if codes and min(codes) < 0:
-            return array("I", [e for _, e in self.project(codes, source)])
-        sizes = self.sizes
-        return array("I", [source[at] for at in accumulate([sizes[c] for c in codes])])
-
-    def decode(self, ids, first: bool = True) -> str:
+        An unknown character is its bytes, of which the last one has the source, or, without such pieces, a run of them is one unknown piece.
+        """
+        if len(codes) < SHORT and min(few := codes.tolist(), default=0) >= 0:  # arrays take longer to set up
+            return codes.view("<u4"), np.array([source[at] for at in accumulate([len(self.pieces[c]) for c in few])], np.uint32)
+        unknown = codes < 0
+        if not unknown.any():
+            return codes.astype("<u4"), np.asarray(source)[self.sizes[codes].cumsum()]
+        source = np.asarray(source)[np.where(unknown, 1, self.sizes[np.maximum(codes, 0)]).cumsum()]
+        if not self.byte_fallback:
+            last = np.append(~(unknown[:-1] & unknown[1:]), True)
+            return np.where(unknown, self.unknown, codes)[last].astype("<u4"), source[last]
+        points = -1 - codes[unknown]
+        counts = np.ones(len(codes), np.int64)
+        counts[unknown] = byte_sizes(points)
+        ids, ends = np.repeat(codes, counts), np.repeat(np.append(0, source[:-1]), counts)
+        ids[ids < 0] = self.byte_ids[np.frombuffer("".join(map(chr, points.tolist())).encode("utf-8", "replace"), np.uint8)]
+        ends[counts.cumsum() - 1] = source
+        return ids.astype("<u4"), ends
+
+    def decode(self, ids: np.ndarray, first: bool = True) -> str:
         """The text of ids: bytes decoded together (U+FFFD for what isn't UTF-8), control pieces silent, the space in front dropped if `first`."""
-        if not first and self.normal.issuperset(ids):
-            return "".join([self.shown[i] for i in ids])
+        if len(ids) < SHORT or first and self.squeeze:
+            return self._decode_one_by_one(ids, first)
+        out = []
+        for k in range(0, len(ids), BLOCK):
+            some = ids[k : k + BLOCK]
+            ends = (n := self.lengths[some]).cumsum()
+            at = np.repeat(self.places[some] - (ends - n), n)
+            at += np.arange(len(at))
+            out.append(self.table[at].tobytes())
+        begin = next((i for i in ids if self.lengths[i]), self.begin) if first and self.dummy else self.begin
+        raw = b"".join(out)
+        try:
+            return (raw[1:] if self.normal[begin] and self.pieces[begin].startswith(SPACE) else raw).decode()
+        except UnicodeDecodeError:
+            return self._decode_one_by_one(ids, first)
+
+    def _decode_one_by_one(self, ids: np.ndarray, first: bool) -> str:
+        """For few ids, for bytes that make no characters, and where all spaces in front go."""
         out: list[str] = []
         raw = bytearray()
         bare = first and (self.dummy or self.squeeze)  # nothing shown yet
@@ -373,7 +404,7 @@ class PieceModel:
                 bare = False
             raw.clear()
 
-        for i in ids:
+        for i in ids.tolist():
             kind = self.kinds[i]
             if kind == BYTE:
                 raw.append(self.byte_of[i])
@@ -394,7 +425,7 @@ class PieceModel:
 
 
 class PieceEncoder:
-    """Encodes texts chunk by chunk; chunks that come again are looked up, with the bytes of the chunk where each of their ids ends."""
+    """Encodes whole texts. If normalising takes long, texts go chunk by chunk; chunks that come again are looked up, with the bytes of the chunk where each of their ids ends."""
 
     def __init__(self, model: PieceModel):
         self.model, self.known = model, Known(self._chunk, MOST)
@@ -402,27 +433,32 @@ class PieceEncoder:
     def _chunk(self, c: str) -> tuple[bytes, bytes, int, int, str, bool, bool]:
         m = self.model
         codes, source, is_open = m.encode_part(c, False, False)
-        ids = m.ids_of(codes)
+        ids, ends = m.project(codes, source)
         shown = m.decode(ids, False)
-        return ids.tobytes(), m.ends(codes, source).tobytes(), len(ids), source[-1], c if shown == c else shown, is_open, source[0] > 0
+        return ids.tobytes(), ends.astype("<u4", copy=False).tobytes(), len(ids), int(source[-1]), c if shown == c else shown, is_open, bool(source[0] > 0)
 
     def aligned(self, text: str) -> tuple[bytes, np.ndarray, str]:
         """Ids with begin and end (32 bits each, little-endian), the bytes of the text that each stands for (a row of start and end an id), and what they decode to."""
         m = self.model
-        edge = struct.pack("<I", m.begin), struct.pack("<I", m.end)
-        cut = CHUNKS.findall(text) if m.cuttable else []
+        cut = CHUNKS.findall(text) if m.cuttable and not m.plain else []
         if len(cut) > 1:
             codes, source, is_open = m.encode_part(cut[0], True, False)
             raw, ends, counts, sizes, shown, opened, late = zip(*map(self.known.__getitem__, cut[1:]), strict=True)
             if not (is_open or any(opened[:-1]) or any(late) or m.squeeze and opened[-1]):
-                ids = m.ids_of(codes)
-                begins = [*accumulate(sizes, initial=source[-1])]
-                moved = np.repeat(np.array([0, *begins[:-1]], np.uint32), [len(ids), *counts]) + np.frombuffer(b"".join([m.ends(codes, source).tobytes(), *ends]), "<u4")
-                return b"".join([edge[0], ids.tobytes(), *raw, edge[1]]), self._spans(source[0], moved, begins[-1]), "".join([m.decode([m.begin, *ids]), *shown])
+                ids, own = m.project(codes, source)
+                begins = [*accumulate(sizes, initial=int(source[-1]))]
+                moved = np.repeat(np.array([0, *begins[:-1]], np.uint32), [len(ids), *counts]) + np.frombuffer(b"".join([own.astype("<u4").tobytes(), *ends]), "<u4")
+                return self._framed(np.frombuffer(b"".join([ids.tobytes(), *raw]), "<u4")).tobytes(), self._spans(source[0], moved, begins[-1]), "".join([m.decode(self._framed(ids)), *shown])
         codes, source, _ = m.encode_part(text, True, True)
-        ids = m.ids_of(codes)
-        spans = self._spans(source[0], np.array(m.ends(codes, source), np.uint32), len(text.encode("utf-8", "replace")))
-        return b"".join([edge[0], ids.tobytes(), edge[1]]), spans, m.decode([m.begin, *ids, m.end])
+        ids, ends = m.project(codes, source)
+        framed = self._framed(ids)
+        return framed.tobytes(), self._spans(source[0], ends, len(text.encode("utf-8", "replace"))), m.decode(framed)
+
+    def _framed(self, ids: np.ndarray) -> np.ndarray:
+        """The ids between begin and end."""
+        out = np.empty(len(ids) + 2, "<u4")
+        out[0], out[1:-1], out[-1] = self.model.begin, ids, self.model.end
+        return out
 
     @staticmethod
     def _spans(start: int, ends: np.ndarray, size: int) -> np.ndarray:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import pytest
@@ -106,6 +107,32 @@ def test_chunks_whose_first_character_goes_are_whole_texts(tmp_path):
     assert cut == pieces.PieceEncoder(model).spans("ab cd  ef")
 
 
+def test_plain_texts_are_normalised_whole_and_words_merged_once():
+    """Marks and digits after a word make no new work: one pass of normalising a text, and each word is merged once."""
+    model = pieces.PieceModel(vocabulary_path(MODEL))
+    own, calls = pieces.PieceEncoder(model), []
+    for name in ("normalise", "merged"):
+        setattr(model, name, lambda *a, name=name, f=getattr(model, name): (calls.append(name), f(*a))[1])
+    words, marks = ["anin", "thblesh", "ñieí", "Öung", "шипка"], [",", ".", "!!", "7", "42", "\n", "漢"]
+    text = " ".join(w + m for m in marks for w in words)
+    for t in (text, text):
+        own.encode(t)
+    assert calls.count("normalise") == 2 and calls.count("merged") <= len(words) + len({c for m in marks for c in m}) + 1
+
+
+def test_mixed_signs_equal_library():
+    signs, draw = [*" ▁\n\t\r.,!!--——'’“0189abceéñßAБгыј漢字ال😀\x00═\u0301\xa0", "the", "ing ", " of", "  "], random.Random(5)
+    same_as_library(vocabulary_path(MODEL), ["".join(draw.choices(signs, k=draw.randint(0, 200))) for _ in range(1000)])
+
+
+def test_bytes_that_are_no_characters():
+    model = pieces.PieceModel(vocabulary_path(MODEL))
+    a, other = model.ids["▁the"], library(vocabulary_path(MODEL))
+    for raw in (b"\xc3", b"\xc3\xa9", b"\xe2\x82", b"\xff\x41\xf0\x9f\x98\x80\x80"):
+        for ids in ([*map(model.bytes.get, raw)], [a, *map(model.bytes.get, raw), a], [model.begin, *[a] * 60, *map(model.bytes.get, raw), a, model.end]):
+            assert model.decode(pieces.np.array(ids)) == other.decode(ids), ids
+
+
 def test_spans_cover_the_text(spark):
     rows = pieces.encode_pieces(edge(spark), vocabulary_path(MODEL)).join(edge(spark).select("doc_id", "text").distinct(), "doc_id").where(F.length("text") > 0).collect()
     assert len(rows) == 7
