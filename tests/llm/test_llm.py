@@ -558,3 +558,9 @@ def test_warc_long_payload(spark):
     got = {r["page_id"]: r for r in warc.archive_round_trip(pages).collect()}
     assert [got[i]["refers_to"] for i in (1, 2, 3, 4)] == [None, 1, None, None] and got[3]["payload_bytes"] == len(big) + 1
     assert got[2]["payload_digest"] == hashlib.sha256(big.encode()).hexdigest()
+
+
+def test_components_of_ascending_chains(spark):
+    """Each node's only smaller neighbour is the one before it: rounds must not follow the length of the chain."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(39)] + [(101, 100)], "a long, b long")
+    assert {r["node"]: r["component"] for r in components(chain, max_rounds=9).collect()} == {**dict.fromkeys(range(40), 0), 100: 100, 101: 100}
